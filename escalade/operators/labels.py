@@ -53,3 +53,15 @@ def label_decode(df: DataFrame, col: str, dictionary: DataFrame, out: str = "lab
     return (df.join(F.broadcast(d), F.col(col) == F.col("__id"), "left")
             .withColumn(out, F.coalesce(F.col("__name"), F.lit("unknown")))
             .drop("__id", "__name"))
+
+
+def encode_with_list(col, labels: list[str], strict: bool = True):
+    """Column: position of ``col`` in the (bounded) class list, 0-based.
+
+    No join: the list is a literal. ``strict`` fails on an unseen label.
+    """
+    pos = (F.array_position(F.array(*[F.lit(l) for l in labels]), col) - 1).cast("int")
+    if not strict:
+        return pos
+    return F.when(col.isNotNull() & (pos < 0),
+                  F.raise_error(F.concat(F.lit("unseen label: "), col.cast("string")))).otherwise(pos)

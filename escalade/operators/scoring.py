@@ -30,13 +30,25 @@ MAX_BROADCAST_MODEL_ROWS = 5_000_000
 
 
 def token_occurrences(samples: DataFrame, keep: list[str], text_col: str = "text",
-                      outer: bool = False) -> DataFrame:
+                      outer: bool = False, terms_col: str = "terms") -> DataFrame:
     """One row per analyzer token of the whole text: ``keep + [term]``.
 
-    ``outer`` keeps samples without tokens (``term`` NULL).
+    Uses the precomputed token array ``terms_col`` when the samples carry
+    one (see ``token_table``), else tokenises ``text_col``. ``outer`` keeps
+    samples without tokens (``term`` NULL).
     """
     ex = F.explode_outer if outer else F.explode
-    return samples.select(*keep, ex(analyzer_tokens(F.col(text_col))).alias("term"))
+    arr = F.col(terms_col) if terms_col in samples.columns else analyzer_tokens(F.col(text_col))
+    return samples.select(*keep, ex(arr).alias("term"))
+
+
+def token_table(samples: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
+    """``keep`` + ``terms`` (analyzer tokens of the whole text), text dropped.
+
+    Tokenise once, then fit and score every tier from this table; callers
+    materialise it (reliable checkpoint) when it is read more than once.
+    """
+    return samples.select(*keep, analyzer_tokens(F.col(text_col)).alias("terms"))
 
 
 def term_class_counts(occ: DataFrame, n_classes: int, n_folds: int) -> DataFrame:
@@ -49,6 +61,14 @@ def term_class_counts(occ: DataFrame, n_classes: int, n_folds: int) -> DataFrame
     return occ.groupBy("term").agg(F.count(F.lit(1)).alias("n"), *per_class, *per_cf)
 
 
+def class_fold_docs(samples: DataFrame, n_classes: int, n_folds: int) -> DataFrame:
+    """One row: number of samples per class (d_l) and per (class, fold) (d_l_k)."""
+    g, f = F.col("gold_label"), F.col("fold")
+    return samples.agg(*[F.count_if(g == l).alias(f"d_{l}") for l in range(n_classes)],
+                       *[F.count_if((g == l) & (f == k)).alias(f"d_{l}_{k}")
+                         for l in range(n_classes) for k in range(n_folds)])
+
+
 @dataclass
 class NaiveBayesTier:
     """One cascade tier.
@@ -75,10 +95,11 @@ class NaiveBayesTier:
     def bounded(self) -> bool:
         return self.vocab_size is not None and self.vocab_size * self.n_folds <= MAX_BROADCAST_MODEL_ROWS
 
-    def fit(self, corpus: DataFrame, counts: DataFrame | None = None) -> "NaiveBayesTier":
+    def fit(self, corpus: DataFrame, counts: DataFrame | None = None,
+            docs: DataFrame | None = None) -> "NaiveBayesTier":
         """``corpus``: labelled samples (sample_id, fold, gold_label, text).
-        ``counts``: optional precomputed ``term_class_counts`` to share one
-        scan between tiers."""
+        ``counts`` / ``docs``: optional precomputed ``term_class_counts`` and
+        ``class_fold_docs`` so that several tiers share one scan."""
         L, K = self.n_classes, self.n_folds
         if counts is None:
             counts = term_class_counts(token_occurrences(corpus, ["fold", "gold_label"]), L, K)
@@ -99,9 +120,8 @@ class NaiveBayesTier:
         tok = counts.agg(F.count(F.lit(1)).alias("V"),
                          *[F.sum(F.col(f"n_{l}")).alias(f"t_{l}") for l in range(L)],
                          *[F.sum(F.col(f"n_{l}_{k}")).alias(f"t_{l}_{k}") for l in range(L) for k in range(K)])
-        g, f = F.col("gold_label"), F.col("fold")
-        docs = corpus.agg(*[F.count_if(g == l).alias(f"d_{l}") for l in range(L)],
-                          *[F.count_if((g == l) & (f == k)).alias(f"d_{l}_{k}") for l in range(L) for k in range(K)])
+        if docs is None:
+            docs = class_fold_docs(corpus, L, K)
         tok_rows = tok.select(F.explode(F.array(*[
             F.struct(F.lit(k).alias("fold"), F.col("V").alias("V"),
                      F.array(*[(F.col(f"t_{l}") - F.col(f"t_{l}_{k}")) for l in range(L)]).alias("t"))

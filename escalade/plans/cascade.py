@@ -20,10 +20,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from escalade.functions.text import utf8_bytes
-from escalade.operators.labels import collect_labels, label_dictionary, label_encode
+from escalade.operators.labels import collect_labels, encode_with_list, label_dictionary
 from escalade.operators.routing import Cascade
-from escalade.operators.scoring import NaiveBayesTier, term_class_counts, token_occurrences
-from escalade.sources.tables import read_table
+from escalade.operators.scoring import (NaiveBayesTier, class_fold_docs, term_class_counts, token_occurrences,
+                                        token_table)
+from escalade.sources.tables import balanced, read_table
 
 # Fixed values of the cascade on documents.
 N_FOLDS = 5
@@ -32,12 +33,12 @@ TIER2_VOCAB = 256
 CONF_DP = 9
 
 
-def document_samples(documents: DataFrame, dictionary: DataFrame, n_folds: int = N_FOLDS) -> DataFrame:
-    d = documents.select(F.col("doc_id").alias("sample_id"), "text", "lang",
+def document_tokens(documents: DataFrame, n_folds: int = N_FOLDS) -> DataFrame:
+    """Per document: sample_id, lang, fold, bytes_sent and its token array."""
+    d = documents.select(F.col("doc_id").alias("sample_id"), "lang", "text",
                          F.pmod(F.col("doc_id"), F.lit(n_folds)).cast("int").alias("fold"),
                          utf8_bytes(F.col("text")).alias("bytes_sent"))
-    d = label_encode(d, "lang", dictionary, out="gold_label")
-    return d.drop("lang")
+    return token_table(d, ["sample_id", "lang", "fold", "bytes_sent"])
 
 
 @dataclass
@@ -50,15 +51,25 @@ class DocumentCascade:
 
 def build(spark: SparkSession, sf_dir: str, vocab1: int = TIER1_VOCAB, vocab2: int = TIER2_VOCAB,
           n_folds: int = N_FOLDS) -> DocumentCascade:
-    documents = read_table(spark, sf_dir, "documents")
-    dictionary = label_dictionary(documents, "lang")
-    labels = collect_labels(dictionary)
-    samples = document_samples(documents, dictionary, n_folds)
+    """Fit the three tiers on ``documents`` and return the scorers.
+
+    The text is read and tokenised once: the per-document token table is
+    materialised with a reliable checkpoint (shared checkpoint folder), and
+    fitting and every tier read it. The fitted statistics are aggregates
+    (per term; per class and fold) that all tiers read several times, so
+    they are checkpointed too.
+    """
+    documents = balanced(read_table(spark, sf_dir, "documents"), "doc_id")
+    toks = document_tokens(documents, n_folds).checkpoint()
+    labels = collect_labels(label_dictionary(toks, "lang"))
     L = len(labels)
-    counts = term_class_counts(token_occurrences(samples, ["fold", "gold_label"]), L, n_folds)
-    t1 = NaiveBayesTier(1, L, vocab1, "softmax", n_folds, CONF_DP).fit(samples, counts)
-    t2 = NaiveBayesTier(2, L, vocab2, "softmax", n_folds, CONF_DP).fit(samples, counts)
-    t3 = NaiveBayesTier(3, L, None, "one_hot", n_folds, CONF_DP).fit(samples, counts)
+    samples = toks.select("sample_id", "fold", "bytes_sent", "terms",
+                          encode_with_list(F.col("lang"), labels).alias("gold_label"))
+    counts = term_class_counts(token_occurrences(samples, ["fold", "gold_label"]), L, n_folds).checkpoint()
+    docs = class_fold_docs(samples, L, n_folds).checkpoint()
+    t1 = NaiveBayesTier(1, L, vocab1, "softmax", n_folds, CONF_DP).fit(samples, counts, docs)
+    t2 = NaiveBayesTier(2, L, vocab2, "softmax", n_folds, CONF_DP).fit(samples, counts, docs)
+    t3 = NaiveBayesTier(3, L, None, "one_hot", n_folds, CONF_DP).fit(samples, counts, docs)
     keep = ["sample_id", "gold_label", "bytes_sent"]
     casc = Cascade(lambda s: t1.score(s, keep), lambda s: t2.score(s, keep), lambda s: t3.score(s, keep))
     return DocumentCascade(samples, labels, (t1, t2, t3), casc)

@@ -10,3 +10,18 @@ from pyspark.sql import DataFrame, SparkSession
 def read_table(spark: SparkSession, base_dir: str, name: str) -> DataFrame:
     """``<base_dir>/<name>.parquet`` (a file or a directory of parts)."""
     return spark.read.parquet(os.path.join(base_dir, f"{name}.parquet"))
+
+
+def balanced(df: DataFrame, *keys: str) -> DataFrame:
+    """Spread an under-split scan over the cluster's cores.
+
+    A large table arrives in many splits and is returned as is (no shuffle).
+    A table stored as a few big row groups scans in a few tasks, so heavy
+    per-row work (tokenising text) would run on a few cores: then rows are
+    hash-partitioned on ``keys`` (or round-robin) into ``defaultParallelism``
+    partitions. Checking the split count plans the scan but runs no job.
+    """
+    target = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    return df.repartition(target, *keys) if keys else df.repartition(target)
