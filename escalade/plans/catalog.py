@@ -1,4 +1,5 @@
 """Imports every plan module so the registry is complete."""
 
 from escalade.plans import decision_plans  # noqa: F401
+from escalade.plans import text_plans  # noqa: F401
 from escalade.plans.registry import ORACLES, PLANS  # noqa: F401
