@@ -4,4 +4,5 @@ from escalade.plans import decision_plans  # noqa: F401
 from escalade.plans import text_plans  # noqa: F401
 from escalade.plans import proba_plans  # noqa: F401
 from escalade.plans import profile_plans  # noqa: F401
+from escalade.plans import io_plans  # noqa: F401
 from escalade.plans.registry import ORACLES, PLANS  # noqa: F401

@@ -245,3 +245,18 @@ FROM conversations GROUP BY conv_id""")
 def q_flatten_utterance(spark, sf_dir):
     from escalade.sources.corpus import flatten_turns
     return flatten_turns(read_table(spark, sf_dir, "conversations"), "conv_id", "turn", "text")
+
+
+@plan("lr_fit_score")
+def q_lr_fit_score(spark, sf_dir):
+    """Learned tier 1 (Spark ML) on the stratified split; rows-only check."""
+    from escalade.functions.text import analyzer_tokens
+    from escalade.operators.labels import collect_labels, encode_with_list
+    from escalade.operators.learned import lr_fit_score
+
+    sp = _split(spark, sf_dir)
+    labels = collect_labels(label_dictionary(sp, "lang"))
+    d = sp.select("doc_id", "split", analyzer_tokens(F.col("text")).alias("tokens"),
+                  encode_with_list(F.col("lang"), labels).cast("double").alias("gold"))
+    scored = lr_fit_score(d.where(F.col("split") == "train"), d.where(F.col("split") == "test"), "tokens", "gold")
+    return rounded(scored.select("doc_id", F.col("gold").cast("int").alias("gold_label"), "label", "confidence"))
