@@ -38,8 +38,17 @@ def corpus_scan(spark: SparkSession, path: str, encoding: str = "ISO-8859-1", js
     split is skipped; no file at all is an error (checked on the file list
     only, no data is read on the driver).
     """
+    import fnmatch
+    import warnings
+
+    from escalade.sources.results import list_names
+
+    names = list_names(spark, path)
     frames = []
     for split, pattern in SPLIT_PATTERNS.items():
+        if not any(fnmatch.fnmatch(n, pattern) for n in names):
+            warnings.warn(f"no {split} corpus files ({pattern}) under {path}")
+            continue
         if json_lines:
             r = spark.read.option("pathGlobFilter", pattern).text(path)
             r = r.select(F.col("_metadata.file_name").alias("file_name"), F.col("value").alias("content"))
@@ -47,8 +56,6 @@ def corpus_scan(spark: SparkSession, path: str, encoding: str = "ISO-8859-1", js
             r = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
             r = r.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("file_name"),
                          F.decode("content", encoding).alias("content"))
-        if not r.inputFiles():
-            continue
         frames.append(parse_corpus(r).withColumn("split", F.lit(split)))
     if not frames:
         raise FileNotFoundError(f"no corpus files under {path}")
