@@ -8,11 +8,11 @@ scored (no held-out subset is dropped) and no sample sees its own label.
 Fitting is one distributed aggregation over token occurrences: per term, the
 count per (class) and per (class, fold). The per-fold model is derived by
 subtraction, so the corpus is scanned once whatever the number of folds.
-Scoring is a join of a sample's token occurrences with the model and one
-aggregation per sample. A model over a top-N vocabulary has at most
-N x folds rows, so it is broadcast; a full-vocabulary model is left to a
-shuffle join that AQE converts to broadcast only when the measured size
-allows, and whose hot terms it splits (skew join).
+Scoring is a join of a sample's token occurrences with the model (one row
+per term holding the weights of every fold) and one aggregation per sample,
+combined map-side. A model over a top-N vocabulary has at most N rows, so it
+is broadcast; a full-vocabulary model is a shuffle join on the term, whose hot
+terms AQE splits (skew join).
 """
 
 from __future__ import annotations
@@ -93,7 +93,7 @@ class NaiveBayesTier:
 
     @property
     def bounded(self) -> bool:
-        return self.vocab_size is not None and self.vocab_size * self.n_folds <= MAX_BROADCAST_MODEL_ROWS
+        return self.vocab_size is not None and self.vocab_size <= MAX_BROADCAST_MODEL_ROWS
 
     def fit(self, corpus: DataFrame, counts: DataFrame | None = None,
             docs: DataFrame | None = None) -> "NaiveBayesTier":
@@ -107,14 +107,11 @@ class NaiveBayesTier:
             top = counts.orderBy(F.col("n").desc(), F.col("term")).limit(self.vocab_size).select("term")
             counts = counts.join(F.broadcast(top), "term", "left_semi")
 
-        # model rows: (fold, term, w) with w[l] = ln(count outside fold + 1), w[L] = 1
-        # (the last slot counts in-vocabulary tokens per sample).
-        per_fold = []
-        for k in range(K):
-            w = [F.log(F.col(f"n_{l}") - F.col(f"n_{l}_{k}") + F.lit(1.0)) for l in range(L)]
-            per_fold.append(F.struct(F.lit(k).alias("fold"), F.array(*w, F.lit(1.0)).alias("w")))
-        self.model = (counts.select("term", F.explode(F.array(*per_fold)).alias("m"))
-                      .select(F.col("m.fold").alias("fold"), "term", F.col("m.w").alias("w")))
+        # model rows, one per term: wf[k][l] = ln(count of class l outside fold k + 1),
+        # wf[k][L] = 1 (that slot counts in-vocabulary tokens per sample).
+        per_fold = [F.array(*[F.log(F.col(f"n_{l}") - F.col(f"n_{l}_{k}") + F.lit(1.0)) for l in range(L)],
+                            F.lit(1.0)) for k in range(K)]
+        self.model = counts.select("term", F.array(*per_fold).alias("wf"))
 
         # header rows, one per fold: log prior and log normaliser ln(tokens + V) per class
         tok = counts.agg(F.count(F.lit(1)).alias("V"),
@@ -149,16 +146,12 @@ class NaiveBayesTier:
         L = self.n_classes
         keys = list(dict.fromkeys(["sample_id", "fold", *keep]))
         occ = token_occurrences(samples, keys, outer=True)
-        if self.bounded:
-            model = F.broadcast(self.model)
-        else:
-            # full vocabulary: pre-aggregate per (sample, term) so a hot term
-            # occurs once per sample before the shuffle join.
-            occ = occ.groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("c"))
-            model = self.model
-        j = occ.join(model, ["fold", "term"], "left")
-        c = F.col("c") if "c" in occ.columns else F.lit(1)
-        sums = j.groupBy(*keys).agg(*[F.coalesce(F.sum(F.col("w")[i] * c), F.lit(0.0)).alias(f"s_{i}")
+        # bounded model: broadcast; full vocabulary: shuffle join on term (AQE
+        # splits hot terms and broadcasts only when the measured side is small)
+        model = F.broadcast(self.model) if self.bounded else self.model
+        j = occ.join(model, "term", "left")
+        w = F.element_at(F.col("wf"), F.col("fold") + 1)
+        sums = j.groupBy(*keys).agg(*[F.coalesce(F.sum(w[i]), F.lit(0.0)).alias(f"s_{i}")
                                       for i in range(L + 1)])
         sc = sums.join(F.broadcast(self.header), "fold")
         nt = F.col(f"s_{L}")

@@ -24,6 +24,7 @@ from escalade.operators.labels import collect_labels, encode_with_list, label_di
 from escalade.operators.routing import Cascade
 from escalade.operators.scoring import (NaiveBayesTier, class_fold_docs, term_class_counts, token_occurrences,
                                         token_table)
+from escalade.session import materialize
 from escalade.sources.tables import balanced, read_table
 
 # Fixed values of the cascade on documents.
@@ -54,19 +55,19 @@ def build(spark: SparkSession, sf_dir: str, vocab1: int = TIER1_VOCAB, vocab2: i
     """Fit the three tiers on ``documents`` and return the scorers.
 
     The text is read and tokenised once: the per-document token table is
-    materialised with a reliable checkpoint (shared checkpoint folder), and
-    fitting and every tier read it. The fitted statistics are aggregates
-    (per term; per class and fold) that all tiers read several times, so
-    they are checkpointed too.
+    written as parquet to the shared checkpoint folder, and fitting and every
+    tier read it. The fitted statistics are aggregates (per term; per class
+    and fold) that all tiers read several times, so they are written too.
     """
     documents = balanced(read_table(spark, sf_dir, "documents"), "doc_id")
-    toks = document_tokens(documents, n_folds).checkpoint()
+    toks = materialize(document_tokens(documents, n_folds), "doc-tokens")
     labels = collect_labels(label_dictionary(toks, "lang"))
     L = len(labels)
     samples = toks.select("sample_id", "fold", "bytes_sent", "terms",
                           encode_with_list(F.col("lang"), labels).alias("gold_label"))
-    counts = term_class_counts(token_occurrences(samples, ["fold", "gold_label"]), L, n_folds).checkpoint()
-    docs = class_fold_docs(samples, L, n_folds).checkpoint()
+    counts = materialize(term_class_counts(token_occurrences(samples, ["fold", "gold_label"]), L, n_folds),
+                         "term-counts")
+    docs = materialize(class_fold_docs(samples, L, n_folds), "class-fold-docs")
     t1 = NaiveBayesTier(1, L, vocab1, "softmax", n_folds, CONF_DP).fit(samples, counts, docs)
     t2 = NaiveBayesTier(2, L, vocab2, "softmax", n_folds, CONF_DP).fit(samples, counts, docs)
     t3 = NaiveBayesTier(3, L, None, "one_hot", n_folds, CONF_DP).fit(samples, counts, docs)

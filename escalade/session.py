@@ -57,3 +57,20 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A path for an intermediate table under the shared checkpoint folder."""
     base = ensure_checkpoint_dir(spark)
     return os.path.join(base, name)
+
+
+def materialize(df, name: str):
+    """Compute ``df`` once and cut its lineage with a reliable checkpoint in
+    the session's shared checkpoint folder (survives executor loss).
+
+    The plan is persisted while the checkpoint is written: an unpersisted
+    ``checkpoint`` computes its plan twice (once to count, once to write).
+    """
+    from pyspark import StorageLevel
+
+    ensure_checkpoint_dir(df.sparkSession)
+    df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        df.unpersist()
