@@ -275,22 +275,26 @@ def with_config(decisions: DataFrame, config: str, theta1: float | None = None,
                             F.lit(theta2).cast("double").alias("theta2"), *decisions.columns)
 
 
-def all_decisions(cascade: Cascade, samples: DataFrame, theta1s: Sequence[float] = DEFAULT_THETAS,
-                  theta2s: Sequence[float] = DEFAULT_THETAS, two_tier_theta: float = TWO_TIER_THETA) -> DataFrame:
-    """Sweep + the three ablations as one relation keyed by config.
-
-    The tier-3-only ablation needs tier 3 on every row, so tier 3 is scored
-    once for all rows and shared with the sweep; tier 2 is scored for rows
-    below the largest tier-1 threshold in use. The 28 configurations are
-    cells of one literal array exploded over that single wide table.
-    """
+def wide_scores(cascade: Cascade, samples: DataFrame, theta1s: Sequence[float] = DEFAULT_THETAS,
+                two_tier_theta: float = TWO_TIER_THETA) -> DataFrame:
+    """One row per sample with what every configuration of the sweep and the
+    ablations needs: tier 1 and tier 3 on every row (tier 3 alone is an
+    ablation), tier 2 on rows below the largest tier-1 threshold in use."""
     t2x = check_unit_interval("theta", two_tier_theta)
     s1 = _slim(cascade.tier1(samples), 1)
     esc1 = s1.where(F.col("conf1") < F.lit(max(max(theta1s), t2x))).select("sample_id")
     s2 = _slim(cascade.tier2(samples.join(esc1, "sample_id", "left_semi")), 2)
     s3 = _slim(cascade.tier3(samples), 3)
-    wide = (samples.select("sample_id", "gold_label", "bytes_sent").join(s1, "sample_id", "left")
+    return (samples.select("sample_id", "gold_label", "bytes_sent").join(s1, "sample_id", "left")
             .join(s2, "sample_id", "left").join(s3, "sample_id", "left"))
+
+
+def decisions_from_wide(wide: DataFrame, costs: Sequence[float] = DEFAULT_TIER_COST_MS,
+                        theta1s: Sequence[float] = DEFAULT_THETAS, theta2s: Sequence[float] = DEFAULT_THETAS,
+                        two_tier_theta: float = TWO_TIER_THETA) -> DataFrame:
+    """Sweep + the three ablations as one relation keyed by config: the 28
+    configurations are cells of one literal array exploded over the wide table."""
+    t2x = check_unit_interval("theta", two_tier_theta)
     cells = []
     for t1 in theta1s:
         for t2 in theta2s:
@@ -302,7 +306,7 @@ def all_decisions(cascade: Cascade, samples: DataFrame, theta1s: Sequence[float]
                     for c, m, a, b in cells])
     g = wide.select("*", F.explode(arr).alias("g"))
     mode = F.col("g.mode")
-    c1, c2, c3 = (F.lit(float(c)) for c in cascade.costs)
+    c1, c2, c3 = (F.lit(float(c)) for c in costs)
     conf1 = checked_confidence(F.col("conf1"))
     tier = (F.when(mode == "tier1", F.lit(1)).when(mode == "tier3", F.lit(3))
             .when(conf1 >= F.col("g.theta1"), F.lit(1))
@@ -320,3 +324,15 @@ def all_decisions(cascade: Cascade, samples: DataFrame, theta1s: Sequence[float]
         F.col("gold_label").cast("int").alias("gold_label"), (pred == F.col("gold_label")).alias("correct"),
         pick("conf1", "conf2", "conf3").alias("confidence"), latency.alias("latency_ms"),
         F.col("bytes_sent").cast("int").alias("bytes_sent"))
+
+
+def all_decisions(cascade: Cascade, samples: DataFrame, theta1s: Sequence[float] = DEFAULT_THETAS,
+                  theta2s: Sequence[float] = DEFAULT_THETAS, two_tier_theta: float = TWO_TIER_THETA) -> DataFrame:
+    """Sweep + the three ablations, one relation keyed by config.
+
+    Tier 3 is scored once for all rows (the tier-3-only ablation needs it) and
+    shared with the sweep; tier 2 only for rows below the largest tier-1
+    threshold in use.
+    """
+    wide = wide_scores(cascade, samples, theta1s, two_tier_theta)
+    return decisions_from_wide(wide, cascade.costs, theta1s, theta2s, two_tier_theta)

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from escalade.functions.text import utf8_bytes
 from escalade.operators.labels import collect_labels, encode_with_list, label_dictionary
-from escalade.operators.routing import Cascade
+from escalade.operators.routing import Cascade, decisions_from_wide, wide_scores
 from escalade.operators.scoring import (NaiveBayesTier, class_fold_docs, term_class_counts, token_occurrences,
                                         token_table)
 from escalade.session import materialize
@@ -48,10 +48,49 @@ class DocumentCascade:
     labels: list[str]
     tiers: tuple[NaiveBayesTier, NaiveBayesTier, NaiveBayesTier]
     cascade: Cascade
+    _wide: DataFrame | None = None
+
+    def wide(self) -> DataFrame:
+        """Per-sample scores of every tier the sweep and ablations need,
+        computed once and materialised (reused by every decision report)."""
+        if self._wide is None:
+            self._wide = materialize(wide_scores(self.cascade, self.samples), "wide-scores")
+        return self._wide
+
+    def decisions(self) -> DataFrame:
+        return decisions_from_wide(self.wide(), self.cascade.costs)
+
+
+# Fitted cascades of this process, keyed by session, input and parameters
+# (fit once, score many). The key holds the input's size and modification
+# time, so a rewritten table is refitted.
+_FITTED: dict[tuple, DocumentCascade] = {}
+MAX_FITTED = 4
+
+
+def _signature(spark: SparkSession, path: str) -> tuple:
+    jvm = spark._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    st = fs.getContentSummary(p)
+    return (st.getLength(), st.getFileCount(), fs.getFileStatus(p).getModificationTime())
 
 
 def build(spark: SparkSession, sf_dir: str, vocab1: int = TIER1_VOCAB, vocab2: int = TIER2_VOCAB,
           n_folds: int = N_FOLDS) -> DocumentCascade:
+    """The fitted cascade for ``<sf_dir>/documents.parquet`` (memoised per session and input)."""
+    import os
+    path = os.path.join(sf_dir, "documents.parquet")
+    key = (id(spark._jsparkSession), os.path.abspath(sf_dir), _signature(spark, path), vocab1, vocab2, n_folds)
+    if key not in _FITTED:
+        if len(_FITTED) >= MAX_FITTED:
+            _FITTED.pop(next(iter(_FITTED)))
+        _FITTED[key] = fit_cascade(spark, sf_dir, vocab1, vocab2, n_folds)
+    return _FITTED[key]
+
+
+def fit_cascade(spark: SparkSession, sf_dir: str, vocab1: int = TIER1_VOCAB, vocab2: int = TIER2_VOCAB,
+          n_folds: int = N_FOLDS) -> DocumentCascade:
     """Fit the three tiers on ``documents`` and return the scorers.
 
     The text is read and tokenised once: the per-document token table is

@@ -24,8 +24,8 @@ T2S = list(R.DEFAULT_THETAS)
 
 
 def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    dc = C.build(spark, sf_dir)
-    return R.all_decisions(dc.cascade, dc.samples)
+    """Decisions of all 28 configurations (from the fitted cascade's wide scores)."""
+    return C.build(spark, sf_dir).decisions()
 
 
 def _dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
