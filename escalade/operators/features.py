@@ -28,9 +28,16 @@ def vocabulary(term_counts: DataFrame, n: int, count_col: str = "n") -> DataFram
     return top.select((F.row_number().over(w) - 1).cast("int").alias("term_id"), "term", "term_count")
 
 
-def tfidf_fit(term_counts: DataFrame, id_col: str, vocab: DataFrame | None = None) -> DataFrame:
-    """(term, df, idf) with smooth idf ln((1+n)/(1+df)) + 1 over the documents of ``term_counts``."""
-    n_docs = term_counts.select(F.count_distinct(id_col)).scalar()
+def tfidf_fit(term_counts: DataFrame, id_col: str, vocab: DataFrame | None = None,
+              documents: DataFrame | None = None) -> DataFrame:
+    """(term, df, idf) with smooth idf ln((1+n)/(1+df)) + 1.
+
+    n counts every fitted document, also those without tokens, when
+    ``documents`` is given (else the documents present in ``term_counts``)."""
+    if documents is not None:
+        n_docs = documents.select(F.count(F.lit(1))).scalar()
+    else:
+        n_docs = term_counts.select(F.count_distinct(id_col)).scalar()
     tc = term_counts if vocab is None else term_counts.join(F.broadcast(vocab.select("term")), "term", "left_semi")
     dfc = tc.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     return dfc.select("term", "df", (F.log((F.lit(1.0) + n_docs) / (F.lit(1.0) + F.col("df"))) + 1.0).alias("idf"))
@@ -46,9 +53,10 @@ def tfidf_transform(term_counts: DataFrame, id_col: str, idf: DataFrame, broadca
     return raw.select(id_col, "term", (F.col("w") / norm).alias("weight"))
 
 
-def tfidf(term_counts: DataFrame, id_col: str, vocab: DataFrame | None = None) -> DataFrame:
+def tfidf(term_counts: DataFrame, id_col: str, vocab: DataFrame | None = None,
+          documents: DataFrame | None = None) -> DataFrame:
     """Fit and transform on the same documents (vocabulary optional, broadcast when given)."""
-    idf = tfidf_fit(term_counts, id_col, vocab)
+    idf = tfidf_fit(term_counts, id_col, vocab, documents)
     return tfidf_transform(term_counts, id_col, idf, broadcast_idf=vocab is not None)
 
 

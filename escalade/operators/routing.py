@@ -184,8 +184,14 @@ def sweep_summary(cascade: Cascade, samples: DataFrame, theta1s: Sequence[float]
     (|theta1s|+1) x (|theta2s|+1) rows -- and the bins are combined per cell.
     """
     t1s, t2s = sorted(map(float, theta1s)), sorted(map(float, theta2s))
-    c1, c2, c3 = (float(c) for c in cascade.costs)
-    w = cascade.wide(samples, max(t1s), max(t2s))
+    return summary_from_wide(cascade.wide(samples, max(t1s), max(t2s)), cascade.costs, t1s, t2s)
+
+
+def summary_from_wide(w: DataFrame, costs: Sequence[float] = DEFAULT_TIER_COST_MS,
+                      theta1s: Sequence[float] = DEFAULT_THETAS, theta2s: Sequence[float] = DEFAULT_THETAS) -> DataFrame:
+    """Binned sweep summary over a wide per-sample table (see ``sweep_summary``)."""
+    t1s, t2s = sorted(map(float, theta1s)), sorted(map(float, theta2s))
+    c1, c2, c3 = (float(c) for c in costs)
     conf1 = checked_confidence(F.col("conf1"))
     b1 = F.size(F.filter(F.array(*[F.lit(t) for t in t1s]), lambda t: t <= conf1))
     b2 = F.coalesce(F.size(F.filter(F.array(*[F.lit(t) for t in t2s]),

@@ -103,7 +103,7 @@ RATES_RAW_SQL = _rates_sql(None)
 @plan("sweep_summary", with_decisions(f"SELECT * FROM ({RATES_SQL}) WHERE theta1 IS NOT NULL"))
 def q_sweep_summary(spark, sf_dir):
     dc = C.build(spark, sf_dir)
-    return rounded(R.sweep_summary(dc.cascade, dc.samples))
+    return rounded(R.summary_from_wide(dc.wide(), dc.cascade.costs))
 
 
 # ---------------------------------------------------------------- analytics

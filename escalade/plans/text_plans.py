@@ -53,7 +53,7 @@ def q_vocabulary(spark, sf_dir):
 
 
 IDF_SQL = f"""idf AS (
-  SELECT term, ln((1.0 + (SELECT count(DISTINCT doc_id) FROM tc)) / (1.0 + count(*))) + 1.0 AS idf
+  SELECT term, ln((1.0 + (SELECT count(*) FROM documents)) / (1.0 + count(*))) + 1.0 AS idf
   FROM tc WHERE term IN (SELECT term FROM voc) GROUP BY term)"""
 
 
@@ -61,8 +61,9 @@ IDF_SQL = f"""idf AS (
 raw AS (SELECT doc_id, term, (1.0 + ln(n)) * idf AS w FROM tc JOIN idf USING (term))
 SELECT doc_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6) AS weight FROM raw""")
 def q_tfidf(spark, sf_dir):
-    tc = FT.tokenize(_docs(spark, sf_dir), "doc_id")
-    return rounded(FT.tfidf(tc, "doc_id", FT.vocabulary(tc, VOCAB_N)))
+    docs = _docs(spark, sf_dir)
+    tc = FT.tokenize(docs, "doc_id")
+    return rounded(FT.tfidf(tc, "doc_id", FT.vocabulary(tc, VOCAB_N), documents=docs))
 
 
 @plan("tfidf_transform", f"""WITH {TC_SQL}, {VOC_SQL}, {IDF_SQL},
@@ -71,8 +72,9 @@ bc AS (SELECT item_id, term, count(*) AS n
 raw AS (SELECT item_id, term, (1.0 + ln(n)) * idf AS w FROM bc JOIN idf USING (term))
 SELECT item_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY item_id)), 6) AS weight FROM raw""")
 def q_tfidf_transform(spark, sf_dir):
-    tc = FT.tokenize(_docs(spark, sf_dir), "doc_id")
-    idf = FT.tfidf_fit(tc, "doc_id", FT.vocabulary(tc, VOCAB_N))
+    docs = _docs(spark, sf_dir)
+    tc = FT.tokenize(docs, "doc_id")
+    idf = FT.tfidf_fit(tc, "doc_id", FT.vocabulary(tc, VOCAB_N), documents=docs)
     bc = FT.tokenize(read_table(spark, sf_dir, "benchmark"), "item_id")
     return rounded(FT.tfidf_transform(bc, "item_id", idf, broadcast_idf=True))
 
