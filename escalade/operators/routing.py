@@ -230,8 +230,11 @@ def summary_from_wide(w: DataFrame, costs: Sequence[float] = DEFAULT_TIER_COST_M
 # --------------------------------------------------------------------------
 
 def _decisions_from(scores: DataFrame, samples: DataFrame, tier: int, latency: float) -> DataFrame:
-    s = scores.select("sample_id", "label", "confidence")
-    j = samples.select("sample_id", "gold_label", "bytes_sent").join(s, "sample_id")
+    s = scores.select("sample_id", "label", F.col("confidence").alias("__conf"))
+    # every sample must get a score: a missing one fails the row (no silent drop)
+    j = samples.select("sample_id", "gold_label", "bytes_sent").join(s, "sample_id", "left") \
+        .withColumn("confidence", F.when(F.col("label").isNull(), F.raise_error(
+            F.concat(F.lit("no score for sample "), F.col("sample_id").cast("string")))).otherwise(F.col("__conf")))
     return j.select(F.col("sample_id").alias("sample_idx"), F.lit(tier).alias("tier_used"),
                     F.col("label").cast("int").alias("prediction"), F.col("gold_label").cast("int").alias("gold_label"),
                     (F.col("label") == F.col("gold_label")).alias("correct"),
@@ -255,7 +258,8 @@ def ablation_two_tier(cascade: Cascade, samples: DataFrame, theta: float = TWO_T
     s1 = _slim(cascade.tier1(samples), 1)
     esc = s1.where(F.col("conf1") < F.lit(t)).select("sample_id")
     s2 = _slim(cascade.tier2(samples.join(esc, "sample_id", "left_semi")), 2)
-    w = samples.select("sample_id", "gold_label", "bytes_sent").join(s1, "sample_id").join(s2, "sample_id", "left")
+    w = samples.select("sample_id", "gold_label", "bytes_sent").join(s1, "sample_id", "left") \
+        .join(s2, "sample_id", "left")
     tier = F.when(checked_confidence(F.col("conf1")) >= F.lit(t), F.lit(1)).otherwise(F.lit(2))
     pred = F.when(tier == 1, F.col("pred1")).otherwise(F.col("pred2"))
     return w.select(F.col("sample_id").alias("sample_idx"), tier.alias("tier_used"),

@@ -145,3 +145,20 @@ def test_monotone_escalation(spark):
     assert esc == sorted(esc)
     for r in summ.values():
         assert abs(r.rate_tier1 + r.rate_tier2 + r.rate_tier3 - 1) < 1e-9
+
+
+def test_missing_score_fails(spark):
+    c = fixture_cascade(spark, F3[:3])
+    with pytest.raises(Exception):
+        R.ablation_tier1(c, samples_of(spark, F3)).collect()
+
+
+def test_length_rule(spark):
+    df = spark.createDataFrame([("a b c",), ("a b",)], "text string")
+    rule = R.length_rule(2)
+    assert [r.e for r in df.select(rule(F.col("text"), F.lit(None)).alias("e")).collect()] == [True, False]
+    with pytest.raises(ValueError):
+        R.length_rule(-1)
+    conf = R.confidence_rule(0.7)
+    p = spark.createDataFrame([([0.65, 0.35],), ([0.7, 0.3],)], "proba array<double>")
+    assert [r.e for r in p.select(conf(F.lit(None), F.col("proba")).alias("e")).collect()] == [True, False]
