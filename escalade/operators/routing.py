@@ -67,6 +67,16 @@ def length_rule(limit: int, tokens: Callable[[Column], Column] | None = None) ->
 RULES = {"confidence": confidence_rule, "length": length_rule}
 
 
+def strategy(name: str, **params) -> Callable[[Column, Column], Column]:
+    """An escalation rule by name: ``strategy("confidence", theta=0.7)`` or
+    ``strategy("length", limit=20)``. A rule maps (text, proba) columns to a
+    boolean column; the confidence rule reads the probabilities, any other
+    rule the text."""
+    if name not in RULES:
+        raise ValueError(f"unknown strategy {name!r}; known: {sorted(RULES)}")
+    return RULES[name](**params)
+
+
 def any_rule(*rules: Callable[[Column, Column], Column]) -> Callable[[Column, Column], Column]:
     """Escalate when any rule fires (e.g. low confidence OR long input)."""
     def rule(text: Column, proba: Column) -> Column:

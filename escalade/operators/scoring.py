@@ -170,3 +170,38 @@ class NaiveBayesTier:
         else:
             raise ValueError(f"unknown output {self.output!r}")
         return out.withColumn("confidence", F.array_max("proba")).select(*keep, "tier", "label", "proba", "confidence")
+
+
+def pandas_scorer(predict, n_classes: int, tier: int, text_col: str = "text",
+                  keep: list[str] | None = None):
+    """Scorer from a user batch function (e.g. a model loaded once per worker).
+
+    ``predict(texts: list[str]) -> (labels, proba)`` with ``proba`` shaped
+    [n, n_classes]. Runs in Arrow batches through ``mapInPandas``; in a
+    staged cascade it only sees the rows that reach its tier.
+    Returns ``DataFrame(samples) -> DataFrame(keep + tier, label, proba, confidence)``.
+    """
+    import numpy as np
+    import pandas as pd
+
+    def scorer(samples: DataFrame) -> DataFrame:
+        cols = list(dict.fromkeys(["sample_id", *(keep or [])]))
+        fields = [samples.schema[c] for c in cols]
+        from pyspark.sql import types as T
+        schema = T.StructType(fields + [T.StructField("tier", T.IntegerType()),
+                                        T.StructField("label", T.IntegerType()),
+                                        T.StructField("proba", T.ArrayType(T.DoubleType()))])
+
+        def run(batches):
+            for pdf in batches:
+                labels, proba = predict(pdf[text_col].tolist())
+                proba = np.asarray(proba, dtype="float64").reshape(len(pdf), n_classes)
+                out = pdf[cols].copy()
+                out["tier"] = tier
+                out["label"] = np.asarray(labels, dtype="int32")
+                out["proba"] = list(proba)
+                yield out
+
+        scored = samples.select(*cols, text_col).mapInPandas(run, schema)
+        return scored.withColumn("confidence", F.array_max("proba"))
+    return scorer

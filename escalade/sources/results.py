@@ -129,3 +129,19 @@ def profile_union(spark: SparkSession, paths: list[str]) -> DataFrame:
     if out is None:
         raise FileNotFoundError("no profile files")
     return out
+
+
+# Upper bound on rows of a report written as a single file.
+MAX_REPORT_ROWS = 1_000_000
+
+
+def save_report(report: DataFrame, path: str) -> None:
+    """Overwrite an aggregated report (escalation rates, Pareto front, cost
+    per config...) as one CSV file with a header.
+
+    Reports are aggregates with one row per configuration, so a single
+    writer task is bounded; the bound is checked before writing.
+    """
+    if report.limit(MAX_REPORT_ROWS + 1).count() > MAX_REPORT_ROWS:
+        raise ValueError("report too large for a single file; use save_results")
+    report.coalesce(1).write.mode("overwrite").option("header", True).csv(path)

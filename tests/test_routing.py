@@ -162,3 +162,42 @@ def test_length_rule(spark):
     conf = R.confidence_rule(0.7)
     p = spark.createDataFrame([([0.65, 0.35],), ([0.7, 0.3],)], "proba array<double>")
     assert [r.e for r in p.select(conf(F.lit(None), F.col("proba")).alias("e")).collect()] == [True, False]
+
+
+def test_pandas_scorer_is_lazy(spark):
+    """A Python (Arrow) tier 3 in the staged cascade scores only escalated rows."""
+    from pyspark.sql import types as T
+
+    from escalade.operators.scoring import pandas_scorer
+    acc = spark.sparkContext.accumulator(0)
+
+    def predict(texts):
+        acc.add(len(texts))
+        return [1] * len(texts), [[0.0, 1.0, 0.0]] * len(texts)
+
+    base = fixture_cascade(spark, F3)
+    c = R.Cascade(base.tier1, base.tier2, pandas_scorer(predict, 3, 3), base.costs)
+    d = R.route(c, samples_of(spark, F3), 0.7, 0.6).orderBy("sample_idx").collect()
+    assert [r.tier_used for r in d] == [1, 1, 2, 3, 3]
+    assert [r.prediction for r in d][3:] == [1, 1]
+    assert acc.value == 2
+
+
+def test_strategy_dispatch(spark):
+    df = spark.createDataFrame([("a b c", [0.65, 0.35])], "text string, proba array<double>")
+    conf = R.strategy("confidence", theta=0.7)
+    length = R.strategy("length", limit=20)
+    r = df.select(conf(F.col("text"), F.col("proba")).alias("c"), length(F.col("text"), F.col("proba")).alias("l")).collect()[0]
+    assert r.c is True and r.l is False
+    with pytest.raises(ValueError):
+        R.strategy("nope")
+
+
+def test_save_report(spark, tmp_path):
+    from escalade.sources.results import save_report
+    df = spark.createDataFrame([("a", 1.0), ("b", 2.0)], "config string, v double")
+    out = str(tmp_path / "rep")
+    save_report(df, out)
+    files = [f for f in __import__("os").listdir(out) if f.endswith(".csv")]
+    assert len(files) == 1
+    assert spark.read.option("header", True).csv(out).count() == 2
