@@ -151,7 +151,7 @@ def q_optimal_config(spark, sf_dir):
 
 
 @plan("bytes_per_correct", with_decisions("""
-SELECT config, round(sum(bytes_sent)::DOUBLE / nullif(count(*) FILTER (WHERE correct), 0), 2) AS bytes_per_correct
+SELECT config, round_even(sum(bytes_sent)::DOUBLE / nullif(count(*) FILTER (WHERE correct), 0), 2) AS bytes_per_correct
 FROM decisions GROUP BY config"""))
 def q_bytes_per_correct(spark, sf_dir):
     return A.bytes_per_correct(decisions(spark, sf_dir))
@@ -176,7 +176,7 @@ pv AS (
   FROM st)"""
 MCNEMAR_SQL = f"""
 SELECT '{MCNEMAR_A}' AS config_a, '{MCNEMAR_B}' AS config_b, n_both_correct, n_a_only, n_b_only, n_both_wrong,
-       round(statistic, 6) AS statistic, round(greatest(p_value, 0.0), 6) AS p_value, p_value < 0.05 AS significant,
+       round_even(statistic, 6) AS statistic, round_even(greatest(p_value, 0.0), 6) AS p_value, p_value < 0.05 AS significant,
        0.05::DOUBLE AS alpha
 FROM pv"""
 
@@ -202,7 +202,7 @@ DICT_SQL = "(SELECT lang AS class, (row_number() OVER (ORDER BY lang) - 1)::INT
 
 
 @plan("errors_by_class", with_decisions(f"""
-SELECT config, class, n_errors, round(n_errors * 100.0 / sum(n_errors) OVER (PARTITION BY config), 1) AS pct_of_all_errors
+SELECT config, class, n_errors, round_even(n_errors * 100.0 / sum(n_errors) OVER (PARTITION BY config), 1) AS pct_of_all_errors
 FROM (SELECT config, coalesce(k.class, 'unknown') AS class, count(*) AS n_errors
       FROM decisions d LEFT JOIN {DICT_SQL} k ON k.label_id = d.gold_label
       WHERE NOT d.correct GROUP BY ALL)"""))
@@ -219,7 +219,7 @@ def q_escalation_effect(spark, sf_dir):
 
 
 @plan("summarise", with_decisions("""
-SELECT config, round(avg(correct::INT), 4) AS accuracy, round(avg(latency_ms), 2) AS mean_lat_ms,
+SELECT config, round_even(avg(correct::INT), 4) AS accuracy, round_even(avg(latency_ms), 2) AS mean_lat_ms,
        count(*) FILTER (WHERE tier_used = 1) AS tier1_n, count(*) FILTER (WHERE tier_used = 2) AS tier2_n,
        count(*) FILTER (WHERE tier_used = 3) AS tier3_n
 FROM decisions GROUP BY config"""))

@@ -19,8 +19,12 @@ SPLIT_PATTERNS = {"train": "train_*.json", "validate": "validate_*.json"}
 
 
 def flatten_utterance(data: Column) -> Column:
-    """Concatenate the token texts with no separator, then strip; no data -> ''."""
-    return py_strip(F.coalesce(F.array_join(F.transform(data, lambda t: t["text"]), ""), F.lit("")))
+    """Concatenate the token texts with no separator, then strip; no data -> ''.
+
+    A token without ``text`` fails the row (``array_join`` would skip it)."""
+    joined = py_strip(F.coalesce(F.array_join(F.transform(data, lambda t: t["text"]), ""), F.lit("")))
+    return F.when(F.coalesce(F.exists(data, lambda t: t["text"].isNull()), F.lit(False)),
+                  F.raise_error(F.lit("utterance token without text"))).otherwise(joined)
 
 
 def parse_corpus(docs: DataFrame, content_col: str = "content") -> DataFrame:
