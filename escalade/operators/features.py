@@ -13,9 +13,14 @@ from pyspark.sql import functions as F
 from escalade.functions.text import analyzer_tokens
 
 
-def tokenize(df: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
+def _tokens(df: DataFrame, text_col: str, terms_col: str):
+    """The analyzer token array: precomputed (``terms_col``) when present, else from the text."""
+    return F.col(terms_col) if terms_col in df.columns else analyzer_tokens(F.col(text_col))
+
+
+def tokenize(df: DataFrame, id_col: str, text_col: str = "text", terms_col: str = "terms") -> DataFrame:
     """(id, term, n): analyzer term counts per document (whole text)."""
-    occ = df.select(id_col, F.explode(analyzer_tokens(F.col(text_col))).alias("term"))
+    occ = df.select(id_col, F.explode(_tokens(df, text_col, terms_col)).alias("term"))
     return occ.groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -66,14 +71,14 @@ PAD_ID, UNK_ID, FIRST_ID = 0, 1, 2
 
 
 def fixed_length_ids(df: DataFrame, id_col: str, vocab: DataFrame, max_len: int,
-                     text_col: str = "text") -> DataFrame:
+                     text_col: str = "text", terms_col: str = "terms") -> DataFrame:
     """Whole-text id windows: the token ids of each document cut into
     consecutive windows of ``max_len`` (the last one padded), so no token is
     dropped. Output (id, window, input_ids, attention_mask), arrays of length
     ``max_len``. Each window collects at most ``max_len`` ids."""
     if max_len <= 0:
         raise ValueError("max_len must be > 0")
-    occ = df.select(id_col, F.posexplode(analyzer_tokens(F.col(text_col))).alias("pos", "term"))
+    occ = df.select(id_col, F.posexplode(_tokens(df, text_col, terms_col)).alias("pos", "term"))
     v = F.broadcast(vocab.select("term", (F.col("term_id") + FIRST_ID).alias("tid")))
     ids = occ.join(v, "term", "left").select(
         id_col, "pos", F.coalesce(F.col("tid"), F.lit(UNK_ID)).cast("long").alias("tid"))

@@ -76,6 +76,24 @@ def _signature(spark: SparkSession, path: str) -> tuple:
     return (st.getLength(), st.getFileCount(), fs.getFileStatus(p).getModificationTime())
 
 
+_TOKENS: dict[tuple, DataFrame] = {}
+
+
+def corpus_tokens(spark: SparkSession, sf_dir: str, n_folds: int = N_FOLDS) -> DataFrame:
+    """The materialised per-document token table of ``<sf_dir>/documents``
+    (sample_id, lang, fold, bytes_sent, terms), shared by the cascade and the
+    text plans of this session: the corpus is tokenised once."""
+    import os
+    path = os.path.join(sf_dir, "documents.parquet")
+    key = (id(spark._jsparkSession), os.path.abspath(sf_dir), _signature(spark, path), n_folds)
+    if key not in _TOKENS:
+        if len(_TOKENS) >= MAX_FITTED:
+            _TOKENS.pop(next(iter(_TOKENS)))
+        documents = balanced(read_table(spark, sf_dir, "documents"), "doc_id")
+        _TOKENS[key] = materialize(document_tokens(documents, n_folds), "doc-tokens")
+    return _TOKENS[key]
+
+
 def build(spark: SparkSession, sf_dir: str, vocab1: int = TIER1_VOCAB, vocab2: int = TIER2_VOCAB,
           n_folds: int = N_FOLDS) -> DocumentCascade:
     """The fitted cascade for ``<sf_dir>/documents.parquet`` (memoised per session and input)."""
@@ -98,8 +116,7 @@ def fit_cascade(spark: SparkSession, sf_dir: str, vocab1: int = TIER1_VOCAB, voc
     tier read it. The fitted statistics are aggregates (per term; per class
     and fold) that all tiers read several times, so they are written too.
     """
-    documents = balanced(read_table(spark, sf_dir, "documents"), "doc_id")
-    toks = materialize(document_tokens(documents, n_folds), "doc-tokens")
+    toks = corpus_tokens(spark, sf_dir, n_folds)
     labels = collect_labels(label_dictionary(toks, "lang"))
     L = len(labels)
     samples = toks.select("sample_id", "fold", "bytes_sent", "terms",

@@ -36,6 +36,12 @@ def _docs(spark, sf_dir):
     return balanced(read_table(spark, sf_dir, "documents"), "doc_id")
 
 
+def _doc_tokens(spark, sf_dir):
+    """(doc_id, terms): the session's shared, materialised token table."""
+    from escalade.plans.cascade import corpus_tokens
+    return corpus_tokens(spark, sf_dir).select(F.col("sample_id").alias("doc_id"), "terms")
+
+
 TC_SQL = f"""tc AS (SELECT doc_id, term, count(*) AS n
   FROM (SELECT doc_id, unnest({_tok_sql('text')}) AS term FROM documents) GROUP BY ALL)"""
 VOC_SQL = f"""voc AS (SELECT (row_number() OVER (ORDER BY term_count DESC, term) - 1)::INT AS term_id, term, term_count
@@ -44,12 +50,12 @@ VOC_SQL = f"""voc AS (SELECT (row_number() OVER (ORDER BY term_count DESC, term)
 
 @plan("tokenize", f"WITH {TC_SQL} SELECT doc_id, term, n FROM tc")
 def q_tokenize(spark, sf_dir):
-    return FT.tokenize(_docs(spark, sf_dir), "doc_id")
+    return FT.tokenize(_doc_tokens(spark, sf_dir), "doc_id")
 
 
 @plan("vocabulary", f"WITH {TC_SQL}, {VOC_SQL} SELECT * FROM voc")
 def q_vocabulary(spark, sf_dir):
-    return FT.vocabulary(FT.tokenize(_docs(spark, sf_dir), "doc_id"), VOCAB_N)
+    return FT.vocabulary(FT.tokenize(_doc_tokens(spark, sf_dir), "doc_id"), VOCAB_N)
 
 
 IDF_SQL = f"""idf AS (
@@ -61,7 +67,7 @@ IDF_SQL = f"""idf AS (
 raw AS (SELECT doc_id, term, (1.0 + ln(n)) * idf AS w FROM tc JOIN idf USING (term))
 SELECT doc_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6) AS weight FROM raw""")
 def q_tfidf(spark, sf_dir):
-    docs = _docs(spark, sf_dir)
+    docs = _doc_tokens(spark, sf_dir)
     tc = FT.tokenize(docs, "doc_id")
     return rounded(FT.tfidf(tc, "doc_id", FT.vocabulary(tc, VOCAB_N), documents=docs))
 
@@ -72,7 +78,7 @@ bc AS (SELECT item_id, term, count(*) AS n
 raw AS (SELECT item_id, term, (1.0 + ln(n)) * idf AS w FROM bc JOIN idf USING (term))
 SELECT item_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY item_id)), 6) AS weight FROM raw""")
 def q_tfidf_transform(spark, sf_dir):
-    docs = _docs(spark, sf_dir)
+    docs = _doc_tokens(spark, sf_dir)
     tc = FT.tokenize(docs, "doc_id")
     idf = FT.tfidf_fit(tc, "doc_id", FT.vocabulary(tc, VOCAB_N), documents=docs)
     bc = FT.tokenize(read_table(spark, sf_dir, "benchmark"), "item_id")
@@ -236,7 +242,7 @@ SELECT doc_id, (pos // {MAX_LEN})::INT AS window,
   list_resize(list(1::BIGINT ORDER BY pos), {MAX_LEN}, 0::BIGINT) AS attention_mask
 FROM ids GROUP BY doc_id, pos // {MAX_LEN}""")
 def q_fixed_length_ids(spark, sf_dir):
-    docs = _docs(spark, sf_dir)
+    docs = _doc_tokens(spark, sf_dir)
     voc = FT.vocabulary(FT.tokenize(docs, "doc_id"), VOCAB_N)
     return FT.fixed_length_ids(docs, "doc_id", voc, MAX_LEN)
 
