@@ -145,14 +145,22 @@ class NaiveBayesTier:
             raise RuntimeError("fit() first")
         L = self.n_classes
         keys = list(dict.fromkeys(["sample_id", "fold", *keep]))
-        occ = token_occurrences(samples, keys, outer=True)
-        # bounded model: broadcast; full vocabulary: shuffle join on term (AQE
-        # splits hot terms and broadcasts only when the measured side is small)
-        model = F.broadcast(self.model) if self.bounded else self.model
-        j = occ.join(model, "term", "left")
         w = F.element_at(F.col("wf"), F.col("fold") + 1)
-        sums = j.groupBy(*keys).agg(*[F.coalesce(F.sum(w[i]), F.lit(0.0)).alias(f"s_{i}")
-                                      for i in range(L + 1)])
+        if self.bounded:
+            # bounded model: broadcast inner join drops out-of-vocabulary tokens
+            # before the aggregation; samples without any in-vocabulary token
+            # come back through the join with the sample keys
+            occ = token_occurrences(samples, keys)
+            j = occ.join(F.broadcast(self.model), "term")
+            sums = j.groupBy(*keys).agg(*[F.sum(w[i]).alias(f"s_{i}") for i in range(L + 1)])
+            sums = samples.select(*keys).join(sums, keys, "left").fillna(0.0, [f"s_{i}" for i in range(L + 1)])
+        else:
+            # full vocabulary: shuffle join on the term (AQE splits hot terms and
+            # broadcasts only when the measured side is small)
+            occ = token_occurrences(samples, keys, outer=True)
+            j = occ.join(self.model, "term", "left")
+            sums = j.groupBy(*keys).agg(*[F.coalesce(F.sum(w[i]), F.lit(0.0)).alias(f"s_{i}")
+                                          for i in range(L + 1)])
         sc = sums.join(F.broadcast(self.header), "fold")
         nt = F.col(f"s_{L}")
         z_raw = F.array(*[F.col(f"s_{l}") - nt * F.col("lnorm")[l] for l in range(L)])
