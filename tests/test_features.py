@@ -76,3 +76,12 @@ def test_macro_f1_brute(spark):
     assert r2.accuracy == pytest.approx(5 / 8)
     rep = {r["class"]: r for r in M.classification_report(df, dic).collect()}
     assert rep["accuracy"].f1 == pytest.approx(5 / 8) and rep["unknown"].support == 0
+
+
+def test_stratified_split_errors(spark):
+    one = spark.createDataFrame([(0, "a"), (1, "a"), (2, "a"), (3, "b")], "id long, y string")
+    with pytest.raises(Exception):
+        S.stratified_split(one, "y", "id", 0.5).collect()
+    few = spark.createDataFrame([(i, "abc"[i % 3]) for i in range(9)], "id long, y string")
+    with pytest.raises(Exception):
+        S.stratified_split(few, "y", "id", 0.1).collect()  # ceil(0.9) = 1 test row < 3 classes
