@@ -96,14 +96,17 @@ def q_stream_decision_log(spark, sf_dir):
     labels = dc.labels
     docs = read_table(spark, sf_dir, "documents")
 
-    def to_decisions(batch):
+    def to_samples(batch):
         toks = C.document_tokens(balanced(batch, "doc_id"))
-        samples = toks.select("sample_id", "fold", "bytes_sent", "terms",
-                              C.encode_with_list(F.col("lang"), labels).alias("gold_label"))
+        return toks.select("sample_id", "fold", "bytes_sent", "terms",
+                           C.encode_with_list(F.col("lang"), labels).alias("gold_label"))
+
+    def to_decisions(samples):
         return R.route(dc.cascade, samples, 0.7, 0.7)
 
     out, ck = _scratch(spark, "stream-log"), _scratch(spark, "stream-ckpt")
-    q = stream_decision_log(spark, sf_dir, docs.schema, "documents.parquet", to_decisions, out, ck)
+    q = stream_decision_log(spark, sf_dir, docs.schema, "documents.parquet", to_decisions, out, ck,
+                            to_samples=to_samples)
     q.awaitTermination()
     back = RS.read_decision_log(spark, out)
     return rounded(back.select("sample_id", "tier_used", "correct", "latency_ms", "bytes_sent"))

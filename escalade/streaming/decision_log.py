@@ -20,19 +20,22 @@ from escalade.sources.results import decision_log
 
 def stream_decision_log(spark: SparkSession, source_dir: str, schema, glob: str,
                         to_decisions: Callable[[DataFrame], DataFrame], out_path: str, checkpoint: str,
-                        files_per_trigger: int = 1, available_now: bool = True) -> StreamingQuery:
-    """Start the stream; ``to_decisions`` maps a micro-batch of source rows to decision rows."""
+                        files_per_trigger: int = 1, available_now: bool = True,
+                        to_samples: Callable[[DataFrame], DataFrame] | None = None) -> StreamingQuery:
+    """Start the stream; ``to_samples`` (optional) prepares a micro-batch of
+    source rows (e.g. tokenises it), ``to_decisions`` routes the prepared rows.
+    The prepared batch is persisted while the staged tiers read it."""
     src = (spark.readStream.schema(schema).option("pathGlobFilter", glob)
            .option("maxFilesPerTrigger", files_per_trigger).parquet(source_dir))
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        # the batch is read several times by the staged tiers: keep it for the
-        # duration of this batch only (bounded by maxFilesPerTrigger)
-        batch.persist()
+        # the prepared batch is read several times by the staged tiers: keep it
+        # for the duration of this batch only (bounded by maxFilesPerTrigger)
+        prepared = (to_samples(batch) if to_samples else batch).persist()
         try:
-            decision_log(to_decisions(batch), out_path, batch_id=batch_id)
+            decision_log(to_decisions(prepared), out_path, batch_id=batch_id)
         finally:
-            batch.unpersist()
+            prepared.unpersist()
 
     w = src.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
