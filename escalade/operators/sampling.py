@@ -29,13 +29,17 @@ def stratified_split(df: DataFrame, label_col: str, key_col: str, test_ratio: fl
     Test size is ceil(n * ratio), shared among classes in proportion to
     their size by largest remainder (ties by class). A class with fewer than
     2 rows, or a test set smaller than the number of classes, is an error.
-    ``group_col`` (e.g. a hash of the text) orders copies together.
+
+    With ``group_col`` (e.g. a hash of the text) whole groups are allotted
+    within a class, in seeded group order, while the quota is not yet met:
+    copies never straddle the split, and a class's test part exceeds its
+    quota by less than the size of one group.
     """
     if not 0.0 < test_ratio < 1.0:
         raise ValueError("test_ratio must be in (0, 1)")
-    order_key = F.col(group_col) if group_col else F.col(key_col)
-    h = hash_key(order_key, seed)
-    d = df.withColumn("__h", F.concat(h, F.lit(":"), F.col(key_col).cast("string"))) \
+    unit = F.col(group_col).cast("string") if group_col else F.col(key_col).cast("string")
+    h = hash_key(unit, seed)
+    d = df.withColumn("__h", F.concat(h, F.lit(":"), unit)) \
           .withColumn("__b", F.substring(h, 1, BUCKET_HEX_DIGITS))
     # class sizes and quotas (aggregated rows: one per class)
     cls = d.groupBy(label_col).agg(F.count(F.lit(1)).alias("__cnt"))
@@ -62,8 +66,15 @@ def stratified_split(df: DataFrame, label_col: str, key_col: str, test_ratio: fl
                    (F.col("__quota") - F.col("__before")).alias("__need"))
     j = d.join(bc, [label_col, "__b"])
     part = j.where(F.col("__take") == "partial")
-    wr = Window.partitionBy(label_col, "__b").orderBy("__h")
-    part = part.withColumn("__test", F.row_number().over(wr) <= F.col("__need"))
+    if group_col:
+        # whole groups of the boundary bucket while the quota is not yet met
+        g = part.groupBy(label_col, "__b", "__h", "__need").agg(F.count(F.lit(1)).alias("__gc"))
+        wg = Window.partitionBy(label_col, "__b").orderBy("__h").rowsBetween(Window.unboundedPreceding, 0)
+        g = g.withColumn("__test", (F.sum("__gc").over(wg) - F.col("__gc")) < F.col("__need"))
+        part = part.join(g.select(label_col, "__b", "__h", "__test"), [label_col, "__b", "__h"])
+    else:
+        wr = Window.partitionBy(label_col, "__b").orderBy("__h")
+        part = part.withColumn("__test", F.row_number().over(wr) <= F.col("__need"))
     rest = j.where(F.col("__take") != "partial").withColumn("__test", F.col("__take") == "all")
     out = part.unionByName(rest)
     out = out.withColumn("split", F.when(F.col("__ok") & F.col("__test"), F.lit("test")).otherwise(F.lit("train")))

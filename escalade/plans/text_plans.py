@@ -121,6 +121,25 @@ def q_stratified_split(spark, sf_dir):
     return _split(spark, sf_dir).select("doc_id", "lang", "split")
 
 
+GSPLIT_SQL = f"""cls AS (SELECT lang, count(*) AS n FROM documents GROUP BY lang),
+q0 AS (SELECT lang, n, sum(n) OVER () AS big_n, ceil(sum(n) OVER () * {SPLIT_RATIO}) AS t FROM cls),
+q1 AS (SELECT *, t * n / big_n AS ex, floor(t * n / big_n) AS fl FROM q0),
+q2 AS (SELECT *, ex - fl AS rem, t - sum(fl) OVER () AS lft FROM q1),
+quota AS (SELECT lang, fl + CASE WHEN row_number() OVER (ORDER BY rem DESC, lang) <= lft THEN 1 ELSE 0 END AS quota FROM q2),
+grp AS (SELECT lang, md5(text) AS g, count(*) AS c FROM documents GROUP BY lang, md5(text)),
+gcum AS (SELECT lang, g, sum(c) OVER (PARTITION BY lang ORDER BY md5('{SPLIT_SEED}:' || g) || ':' || g
+                                      ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - c AS before FROM grp),
+gsplit AS (SELECT d.doc_id, d.lang, CASE WHEN c.before < q.quota THEN 'test' ELSE 'train' END AS split
+  FROM documents d JOIN gcum c ON c.lang = d.lang AND c.g = md5(d.text) JOIN quota q ON q.lang = d.lang)"""
+
+
+@plan("stratified_split_grouped", f"WITH {GSPLIT_SQL} SELECT doc_id, lang, split FROM gsplit")
+def q_stratified_split_grouped(spark, sf_dir):
+    d = _docs(spark, sf_dir).withColumn("text_key", F.md5("text"))
+    return S.stratified_split(d, "lang", "doc_id", SPLIT_RATIO, SPLIT_SEED, group_col="text_key") \
+        .select("doc_id", "lang", "split")
+
+
 FS_SAMPLED_SQL = f"""pool AS (SELECT * FROM (
   SELECT lang, doc_id, text, row_number() OVER (PARTITION BY lang
     ORDER BY md5('{FEW_SHOT_SEED}:' || doc_id::VARCHAR) || ':' || doc_id::VARCHAR) AS rank

@@ -85,3 +85,15 @@ def test_stratified_split_errors(spark):
     few = spark.createDataFrame([(i, "abc"[i % 3]) for i in range(9)], "id long, y string")
     with pytest.raises(Exception):
         S.stratified_split(few, "y", "id", 0.1).collect()  # ceil(0.9) = 1 test row < 3 classes
+
+
+def test_grouped_split_keeps_copies_together(spark):
+    rows = [(i, "ab"[i % 2], f"t{i % 37}") for i in range(400)]
+    df = spark.createDataFrame(rows, "id long, y string, g string")
+    out = S.stratified_split(df, "y", "id", 0.3, seed=5, group_col="g").collect()
+    side = {}
+    for r in out:
+        side.setdefault((r.y, r.g), set()).add(r.split)
+    assert all(len(v) == 1 for v in side.values())
+    n = Counter(r.y for r in out if r.split == "test")
+    assert sum(n.values()) >= math.ceil(400 * 0.3)
