@@ -112,3 +112,23 @@ def q_scores_tier2(spark, sf_dir):
 @plan("scores_tier3", _scores_sql(3))
 def q_scores_tier3(spark, sf_dir):
     return _scores(spark, sf_dir, 3)
+
+
+# softmax / argmax over a second table: the 64-d embedding vectors as logits
+@plan("softmax_embeddings", """
+SELECT vec_id, list_transform(e, lambda x: round(exp(x - list_max(e)) / list_sum(list_transform(e, lambda y: exp(y - list_max(e)))), 6)) AS proba
+FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings)""")
+def q_softmax_embeddings(spark, sf_dir):
+    from escalade.functions.proba import softmax
+    e = read_table(spark, sf_dir, "embeddings")
+    p = softmax(F.col("embedding").cast("array<double>"))
+    return e.select("vec_id", F.transform(p, lambda x: F.round(x, 6)).alias("proba"))
+
+
+@plan("argmax_embeddings", """
+SELECT vec_id, (list_position(e, list_max(e)) - 1)::INT AS label, gl AS gold_label
+FROM (SELECT vec_id, label AS gl, embedding::DOUBLE[] AS e FROM embeddings)""")
+def q_argmax_embeddings(spark, sf_dir):
+    e = read_table(spark, sf_dir, "embeddings")
+    return e.select("vec_id", argmax(F.col("embedding").cast("array<double>")).alias("label"),
+                    F.col("label").alias("gold_label"))
