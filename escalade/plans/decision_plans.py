@@ -259,7 +259,7 @@ def q_confusion(spark, sf_dir):
 
 PERCLASS_SQL = """
 pc AS (
-  SELECT config, label, sum(tp) AS tp, sum(support) AS support, sum(predicted) AS predicted FROM (
+  SELECT config, label, sum(tp)::BIGINT AS tp, sum(support)::BIGINT AS support, sum(predicted)::BIGINT AS predicted FROM (
     SELECT config, gold_label AS label, (gold_label = prediction)::INT AS tp, 1 AS support, 0 AS predicted FROM decisions
     UNION ALL
     SELECT config, prediction, 0, 0, 1 FROM decisions) GROUP BY ALL),
@@ -287,7 +287,7 @@ def q_macro_f1_fixed(spark, sf_dir):
 
 @plan("classification_report", with_decisions_extra(PERCLASS_SQL + f""",
 tot AS (
-  SELECT config, sum(support) AS n, sum(tp) AS tp, avg(precision) AS mp, avg(recall) AS mr, avg(f1) AS mf,
+  SELECT config, sum(support)::BIGINT AS n, sum(tp)::BIGINT AS tp, avg(precision) AS mp, avg(recall) AS mr, avg(f1) AS mf,
          sum(precision * support) / sum(support) AS wp, sum(recall * support) / sum(support) AS wr,
          sum(f1 * support) / sum(support) AS wf
   FROM prf GROUP BY config)""", f"""

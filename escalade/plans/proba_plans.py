@@ -41,7 +41,7 @@ def q_strategy_confidence(spark, sf_dir):
     return s.select("sample_id", rule(F.lit(None), F.col("proba")).alias("escalate"))
 
 
-WORDS_SQL = "len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> ''))"
+WORDS_SQL = "len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> ''))::INT"
 
 
 @plan("strategy_length", f"""

@@ -45,7 +45,7 @@ def _doc_tokens(spark, sf_dir):
 TC_SQL = f"""tc AS (SELECT doc_id, term, count(*) AS n
   FROM (SELECT doc_id, unnest({_tok_sql('text')}) AS term FROM documents) GROUP BY ALL)"""
 VOC_SQL = f"""voc AS (SELECT (row_number() OVER (ORDER BY term_count DESC, term) - 1)::INT AS term_id, term, term_count
-  FROM (SELECT term, sum(n) AS term_count FROM tc GROUP BY term ORDER BY term_count DESC, term LIMIT {VOCAB_N}))"""
+  FROM (SELECT term, sum(n)::BIGINT AS term_count FROM tc GROUP BY term ORDER BY term_count DESC, term LIMIT {VOCAB_N}))"""
 
 
 @plan("tokenize", f"WITH {TC_SQL} SELECT doc_id, term, n FROM tc")
@@ -149,13 +149,13 @@ FS_HEAD_SQL = f"""pool AS (SELECT * FROM (
   FROM split WHERE split = 'train') WHERE rank <= {FEW_SHOT_K})"""
 
 
-@plan("few_shot_sampled", f"WITH {SPLIT_SQL}, {FS_SAMPLED_SQL} SELECT lang, doc_id, rank FROM pool")
+@plan("few_shot_sampled", f"WITH {SPLIT_SQL}, {FS_SAMPLED_SQL} SELECT lang, doc_id, rank::INT AS rank FROM pool")
 def q_few_shot_sampled(spark, sf_dir):
     tr = _split(spark, sf_dir).where(F.col("split") == "train")
     return S.few_shot_sampled(tr, "lang", "doc_id", FEW_SHOT_K, FEW_SHOT_SEED).select("lang", "doc_id", "rank")
 
 
-@plan("few_shot_head", f"WITH {SPLIT_SQL}, {FS_HEAD_SQL} SELECT lang, doc_id, rank FROM pool")
+@plan("few_shot_head", f"WITH {SPLIT_SQL}, {FS_HEAD_SQL} SELECT lang, doc_id, rank::INT AS rank FROM pool")
 def q_few_shot_head(spark, sf_dir):
     tr = _split(spark, sf_dir).where(F.col("split") == "train")
     return S.few_shot_head(tr, "lang", "doc_id", FEW_SHOT_K).select("lang", "doc_id", "rank")
@@ -179,7 +179,7 @@ msgs AS (
   UNION ALL SELECT t.doc_id, 2 * (SELECT count(*) FROM ex) + 1, 'user', t.text FROM split t WHERE t.split = 'test')"""
 
 
-@plan("chat_messages", f"WITH {SPLIT_SQL}, {FS_HEAD_SQL}, {MSG_SQL} SELECT doc_id, msg_idx, role, content FROM msgs")
+@plan("chat_messages", f"WITH {SPLIT_SQL}, {FS_HEAD_SQL}, {MSG_SQL} SELECT doc_id, msg_idx::INT AS msg_idx, role, content FROM msgs")
 def q_chat_messages(spark, sf_dir):
     m = _messages(spark, sf_dir)
     return m.select("doc_id", F.posexplode("messages").alias("msg_idx", "m")) \
