@@ -27,6 +27,9 @@ from escalade.functions.text import analyzer_tokens
 
 # Upper bound on rows of a model we are willing to broadcast.
 MAX_BROADCAST_MODEL_ROWS = 5_000_000
+# Terms handled map-side (broadcast) in a full-vocabulary join: the most
+# frequent ones, which carry most occurrences and all hot keys.
+HOT_TERMS = 20_000
 
 
 def token_occurrences(samples: DataFrame, keep: list[str], text_col: str = "text",
@@ -90,6 +93,7 @@ class NaiveBayesTier:
 
     model: DataFrame | None = None
     header: DataFrame | None = None
+    hot_model: DataFrame | None = None
 
     @property
     def bounded(self) -> bool:
@@ -112,6 +116,10 @@ class NaiveBayesTier:
         per_fold = [F.array(*[F.log(F.col(f"n_{l}") - F.col(f"n_{l}_{k}") + F.lit(1.0)) for l in range(L)],
                             F.lit(1.0)) for k in range(K)]
         self.model = counts.select("term", F.array(*per_fold).alias("wf"))
+        if not self.bounded:
+            # the HOT_TERMS most frequent terms (bounded, broadcast at scoring)
+            hot = counts.orderBy(F.col("n").desc(), F.col("term")).limit(HOT_TERMS).select("term")
+            self.hot_model = self.model.join(F.broadcast(hot), "term", "left_semi")
 
         # header rows, one per fold: log prior and log normaliser ln(tokens + V) per class
         tok = counts.agg(F.count(F.lit(1)).alias("V"),
@@ -155,10 +163,15 @@ class NaiveBayesTier:
             sums = j.groupBy(*keys).agg(*[F.sum(w[i]).alias(f"s_{i}") for i in range(L + 1)])
             sums = samples.select(*keys).join(sums, keys, "left").fillna(0.0, [f"s_{i}" for i in range(L + 1)])
         else:
-            # full vocabulary: shuffle join on the term (AQE splits hot terms and
-            # broadcasts only when the measured side is small)
+            # full vocabulary, split by term frequency: occurrences of the hot
+            # terms join a bounded broadcast slice of the model map-side; only
+            # the long tail is shuffled to join the rest (no hot key reaches a
+            # shuffle partition; AQE still splits any remaining skew)
             occ = token_occurrences(samples, keys, outer=True)
-            j = occ.join(self.model, "term", "left")
+            hot_terms = F.broadcast(self.hot_model.select("term"))
+            hot = occ.join(F.broadcast(self.hot_model), "term")
+            cold = occ.join(hot_terms, "term", "left_anti").join(self.model, "term", "left")
+            j = hot.unionByName(cold)
             sums = j.groupBy(*keys).agg(*[F.coalesce(F.sum(w[i]), F.lit(0.0)).alias(f"s_{i}")
                                           for i in range(L + 1)])
         sc = sums.join(F.broadcast(self.header), "fold")

@@ -69,3 +69,18 @@ def test_nb_matches_brute_force(spark, vocab_size, output):
             assert got[sid].confidence == max(got[sid].proba)
         else:
             assert got[sid].label == e and got[sid].confidence == 1.0
+
+
+def test_hot_cold_split_matches_brute_force(spark, monkeypatch):
+    """Full-vocabulary tier with only 3 'hot' terms: both join branches run."""
+    import escalade.operators.scoring as SC
+    monkeypatch.setattr(SC, "HOT_TERMS", 3)
+    L, K = 3, 3
+    rows = corpus(seed=8, L=L, K=K)
+    df = spark.createDataFrame(rows, "sample_id long, fold int, gold_label int, text string")
+    tier = NaiveBayesTier(3, L, None, "softmax", K, 9).fit(df)
+    assert tier.hot_model.count() == 3
+    got = {r.sample_id: r.proba for r in tier.score(df, ["sample_id"]).collect()}
+    exp = brute(rows, L, K, None, "softmax")
+    for sid, e in exp.items():
+        assert got[sid] == pytest.approx(e, abs=2e-9)
