@@ -32,6 +32,8 @@ def stream_decision_log(spark: SparkSession, source_dir: str, schema, glob: str,
         # the prepared batch is read several times by the staged tiers: keep it
         # for the duration of this batch only (bounded by maxFilesPerTrigger)
         prepared = (to_samples(batch) if to_samples else batch).persist()
+        # fill the cache before the tiers' stages read it concurrently
+        prepared.count()
         try:
             decision_log(to_decisions(prepared), out_path, batch_id=batch_id)
         finally:
