@@ -104,7 +104,8 @@ class Cascade:
         """One row per sample: pred/conf of every tier it can reach under
         thresholds up to (theta1_max, theta2_max); unreached tiers are NULL.
 
-        ``samples`` holds sample_id, text, gold_label, bytes_sent.
+        ``samples`` holds sample_id, gold_label, bytes_sent and what the scorers
+        read (text, or its token array ``terms``).
         """
         s1 = _slim(self.tier1(samples), 1)
         esc1 = s1.where(F.col("conf1") < F.lit(theta1_max)).select("sample_id")

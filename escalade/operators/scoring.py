@@ -11,8 +11,9 @@ subtraction, so the corpus is scanned once whatever the number of folds.
 Scoring is a join of a sample's token occurrences with the model (one row
 per term holding the weights of every fold) and one aggregation per sample,
 combined map-side. A model over a top-N vocabulary has at most N rows, so it
-is broadcast; a full-vocabulary model is a shuffle join on the term, whose hot
-terms AQE splits (skew join).
+is broadcast. A full-vocabulary join is split by term frequency: the most
+frequent terms (bounded, broadcast) are joined map-side and only the long tail
+is shuffled, so no hot key reaches a shuffle partition.
 """
 
 from __future__ import annotations
