@@ -99,6 +99,9 @@ class Cascade:
     tier2: Scorer
     tier3: Scorer
     costs: Sequence[float] = DEFAULT_TIER_COST_MS
+    # optional: all three tiers for every row in one pass, as a wide table
+    # (sample_id, gold_label, bytes_sent, pred1, conf1, pred2, conf2, pred3, conf3)
+    fused: Callable[[DataFrame], DataFrame] | None = None
 
     def wide(self, samples: DataFrame, theta1_max: float, theta2_max: float) -> DataFrame:
         """One row per sample: pred/conf of every tier it can reach under
@@ -302,6 +305,10 @@ def wide_scores(cascade: Cascade, samples: DataFrame, theta1s: Sequence[float] =
     ablations needs: tier 1 and tier 3 on every row (tier 3 alone is an
     ablation), tier 2 on rows below the largest tier-1 threshold in use."""
     t2x = check_unit_interval("theta", two_tier_theta)
+    if cascade.fused is not None:
+        # native tiers sharing one fit: tier 1 and tier 3 are needed on every
+        # row here anyway, and tier 2 costs nothing extra in the same pass
+        return cascade.fused(samples)
     s1 = _slim(cascade.tier1(samples), 1)
     esc1 = s1.where(F.col("conf1") < F.lit(max(max(theta1s), t2x))).select("sample_id")
     s2 = _slim(cascade.tier2(samples.join(esc1, "sample_id", "left_semi")), 2)

@@ -20,7 +20,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from escalade.functions.proba import argmax, one_hot, round_array, softmax
@@ -95,6 +95,7 @@ class NaiveBayesTier:
     model: DataFrame | None = None
     header: DataFrame | None = None
     hot_model: DataFrame | None = None
+    counts: DataFrame | None = None
 
     @property
     def bounded(self) -> bool:
@@ -108,6 +109,7 @@ class NaiveBayesTier:
         L, K = self.n_classes, self.n_folds
         if counts is None:
             counts = term_class_counts(token_occurrences(corpus, ["fold", "gold_label"]), L, K)
+        self.counts = counts
         if self.vocab_size is not None:
             top = counts.orderBy(F.col("n").desc(), F.col("term")).limit(self.vocab_size).select("term")
             counts = counts.join(F.broadcast(top), "term", "left_semi")
@@ -118,9 +120,11 @@ class NaiveBayesTier:
                             F.lit(1.0)) for k in range(K)]
         self.model = counts.select("term", F.array(*per_fold).alias("wf"))
         if not self.bounded:
-            # the HOT_TERMS most frequent terms (bounded, broadcast at scoring)
-            hot = counts.orderBy(F.col("n").desc(), F.col("term")).limit(HOT_TERMS).select("term")
-            self.hot_model = self.model.join(F.broadcast(hot), "term", "left_semi")
+            # the HOT_TERMS most frequent terms with their frequency rank
+            # (bounded, broadcast at scoring; the window runs on those rows only)
+            hot = counts.orderBy(F.col("n").desc(), F.col("term")).limit(HOT_TERMS) \
+                .select("term", F.row_number().over(Window.orderBy(F.col("n").desc(), F.col("term"))).alias("rank"))
+            self.hot_model = self.model.join(F.broadcast(hot), "term")
 
         # header rows, one per fold: log prior and log normaliser ln(tokens + V) per class
         tok = counts.agg(F.count(F.lit(1)).alias("V"),
@@ -170,28 +174,70 @@ class NaiveBayesTier:
             # shuffle partition; AQE still splits any remaining skew)
             occ = token_occurrences(samples, keys, outer=True)
             hot_terms = F.broadcast(self.hot_model.select("term"))
-            hot = occ.join(F.broadcast(self.hot_model), "term")
+            hot = occ.join(F.broadcast(self.hot_model.drop("rank")), "term")
             cold = occ.join(hot_terms, "term", "left_anti").join(self.model, "term", "left")
             j = hot.unionByName(cold)
             sums = j.groupBy(*keys).agg(*[F.coalesce(F.sum(w[i]), F.lit(0.0)).alias(f"s_{i}")
                                           for i in range(L + 1)])
-        sc = sums.join(F.broadcast(self.header), "fold")
-        nt = F.col(f"s_{L}")
-        z_raw = F.array(*[F.col(f"s_{l}") - nt * F.col("lnorm")[l] for l in range(L)])
+        return self._finish(sums, keep, [f"s_{i}" for i in range(L + 1)])
+
+    def _proba(self, cols: list[str], lp: Column, lnorm: Column) -> Column:
+        """Probability vector from per-sample sums (``cols``: L class sums, then
+        the in-vocabulary token count) and this tier's header columns."""
+        L = self.n_classes
+        nt = F.col(cols[L])
+        z_raw = F.array(*[F.col(cols[l]) - nt * lnorm[l] for l in range(L)])
         if self.output == "softmax":
-            z = F.transform(z_raw, lambda x, i: x / F.greatest(nt, F.lit(1.0)) + F.col("lp")[i])
+            z = F.transform(z_raw, lambda x, i: x / F.greatest(nt, F.lit(1.0)) + lp[i])
             proba = softmax(z)
-            if self.round_dp is not None:
-                proba = round_array(proba, self.round_dp)
-            out = sc.select(*keep, F.lit(self.tier).alias("tier"), proba.alias("proba"))
-            out = out.withColumn("label", argmax(F.col("proba")))
-        elif self.output == "one_hot":
-            z = F.transform(z_raw, lambda x, i: x + F.col("lp")[i])
-            out = sc.select(*keep, F.lit(self.tier).alias("tier"), argmax(z).alias("label"))
-            out = out.withColumn("proba", one_hot(F.col("label"), L))
-        else:
-            raise ValueError(f"unknown output {self.output!r}")
-        return out.withColumn("confidence", F.array_max("proba")).select(*keep, "tier", "label", "proba", "confidence")
+            return round_array(proba, self.round_dp) if self.round_dp is not None else proba
+        if self.output == "one_hot":
+            return one_hot(argmax(F.transform(z_raw, lambda x, i: x + lp[i])), L)
+        raise ValueError(f"unknown output {self.output!r}")
+
+    def _finish(self, sums: DataFrame, keep: list[str], cols: list[str]) -> DataFrame:
+        sc = sums.join(F.broadcast(self.header), "fold")
+        out = sc.select(*keep, F.lit(self.tier).alias("tier"),
+                        self._proba(cols, F.col("lp"), F.col("lnorm")).alias("proba"))
+        return out.select(*keep, "tier", argmax(F.col("proba")).alias("label"), "proba",
+                          F.array_max("proba").alias("confidence"))
+
+
+def score_fused(tiers: list[NaiveBayesTier], samples: DataFrame, keep: list[str]) -> DataFrame | None:
+    """All tiers in one pass when they share one fit (same counts, folds and
+    classes) and include a full-vocabulary tier: the per-term weights are the
+    same for every tier; only vocabulary membership (frequency rank <= N) and
+    the per-fold header differ. One explode, one join (hot terms broadcast,
+    long tail shuffled), one aggregation; returns ``keep`` + pred{k}, conf{k}
+    per tier, or None when the tiers cannot be fused."""
+    full = [t for t in tiers if not t.bounded]
+    if not full or any(t.counts is not tiers[0].counts or t.n_folds != tiers[0].n_folds
+                       or t.n_classes != tiers[0].n_classes for t in tiers):
+        return None
+    if any(t.vocab_size is not None and t.vocab_size > HOT_TERMS for t in tiers):
+        return None
+    ref, L = full[0], tiers[0].n_classes
+    keys = list(dict.fromkeys(["sample_id", "fold", *keep]))
+    occ = token_occurrences(samples, keys, outer=True)
+    hot = occ.join(F.broadcast(ref.hot_model), "term")
+    cold = occ.join(F.broadcast(ref.hot_model.select("term")), "term", "left_anti") \
+        .join(ref.model, "term", "left").withColumn("rank", F.lit(None).cast("int"))
+    j = hot.unionByName(cold)
+    w = F.element_at(F.col("wf"), F.col("fold") + 1)
+    aggs = []
+    for t in tiers:
+        member = F.lit(True) if t.vocab_size is None else (F.col("rank") <= F.lit(t.vocab_size))
+        aggs += [F.coalesce(F.sum(F.when(member, w[i])), F.lit(0.0)).alias(f"t{t.tier}_s_{i}") for i in range(L + 1)]
+    sc = j.groupBy(*keys).agg(*aggs)
+    for t in tiers:
+        k = t.tier
+        sc = sc.join(F.broadcast(t.header.select("fold", F.col("lp").alias(f"lp{k}"),
+                                                 F.col("lnorm").alias(f"lnorm{k}"))), "fold")
+    probas = [t._proba([f"t{t.tier}_s_{i}" for i in range(L + 1)], F.col(f"lp{t.tier}"),
+                       F.col(f"lnorm{t.tier}")).alias(f"proba{t.tier}") for t in tiers]
+    sc = sc.select(*keys, *probas)
+    return sc.select(*keys, *[c for t in tiers for c in (
+        argmax(F.col(f"proba{t.tier}")).alias(f"pred{t.tier}"), F.array_max(f"proba{t.tier}").alias(f"conf{t.tier}"))])
 
 
 def pandas_scorer(predict, n_classes: int, tier: int, text_col: str = "text",

@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from escalade.functions.text import utf8_bytes
 from escalade.operators.labels import collect_labels, encode_with_list, label_dictionary
 from escalade.operators.routing import Cascade, decisions_from_wide, wide_scores
-from escalade.operators.scoring import (NaiveBayesTier, class_fold_docs, term_class_counts, token_occurrences,
-                                        token_table)
+from escalade.operators.scoring import (NaiveBayesTier, class_fold_docs, score_fused, term_class_counts,
+                                        token_occurrences, token_table)
 from escalade.session import materialize
 from escalade.sources.tables import balanced, read_table
 
@@ -128,5 +128,10 @@ def fit_cascade(spark: SparkSession, sf_dir: str, vocab1: int = TIER1_VOCAB, voc
     t2 = NaiveBayesTier(2, L, vocab2, "softmax", n_folds, CONF_DP).fit(samples, counts, docs)
     t3 = NaiveBayesTier(3, L, None, "one_hot", n_folds, CONF_DP).fit(samples, counts, docs)
     keep = ["sample_id", "gold_label", "bytes_sent"]
-    casc = Cascade(lambda s: t1.score(s, keep), lambda s: t2.score(s, keep), lambda s: t3.score(s, keep))
+    def fused(s):
+        w = score_fused([t1, t2, t3], s, keep)
+        return w.select("sample_id", "gold_label", "bytes_sent", "pred1", "conf1", "pred2", "conf2", "pred3", "conf3")
+
+    casc = Cascade(lambda s: t1.score(s, keep), lambda s: t2.score(s, keep), lambda s: t3.score(s, keep),
+                   fused=fused)
     return DocumentCascade(samples, labels, (t1, t2, t3), casc)

@@ -84,3 +84,21 @@ def test_hot_cold_split_matches_brute_force(spark, monkeypatch):
     exp = brute(rows, L, K, None, "softmax")
     for sid, e in exp.items():
         assert got[sid] == pytest.approx(e, abs=2e-9)
+
+
+def test_fused_equals_separate(spark, monkeypatch):
+    import escalade.operators.scoring as SC
+    monkeypatch.setattr(SC, "HOT_TERMS", 4)
+    L, K = 3, 3
+    rows = corpus(seed=11, L=L, K=K)
+    df = spark.createDataFrame(rows, "sample_id long, fold int, gold_label int, text string")
+    counts = SC.term_class_counts(SC.token_occurrences(df, ["fold", "gold_label"]), L, K)
+    tiers = [NaiveBayesTier(1, L, 2, "softmax", K, 9).fit(df, counts),
+             NaiveBayesTier(2, L, 4, "softmax", K, 9).fit(df, counts),
+             NaiveBayesTier(3, L, None, "one_hot", K, 9).fit(df, counts)]
+    fused = {r.sample_id: r for r in SC.score_fused(tiers, df, ["sample_id"]).collect()}
+    assert len(fused) == len(rows)
+    for t in tiers:
+        for r in t.score(df, ["sample_id"]).collect():
+            f = fused[r.sample_id]
+            assert (f[f"pred{t.tier}"], f[f"conf{t.tier}"]) == (r.label, r.confidence)
