@@ -26,8 +26,10 @@ from pyspark.sql import functions as F
 from escalade.functions.proba import argmax, one_hot, round_array, softmax
 from escalade.functions.text import analyzer_tokens
 
-# Upper bound on rows of a model we are willing to broadcast.
-MAX_BROADCAST_MODEL_ROWS = 5_000_000
+# Upper bound on the size of a model we are willing to broadcast: a row holds
+# n_folds x (n_classes + 1) doubles plus its term.
+MAX_BROADCAST_MODEL_BYTES = 256 * 1024 * 1024
+TERM_BYTES = 32
 # Terms handled map-side (broadcast) in a full-vocabulary join: the most
 # frequent ones, which carry most occurrences and all hot keys.
 HOT_TERMS = 20_000
@@ -99,7 +101,12 @@ class NaiveBayesTier:
 
     @property
     def bounded(self) -> bool:
-        return self.vocab_size is not None and self.vocab_size <= MAX_BROADCAST_MODEL_ROWS
+        """A top-N model small enough to broadcast (checked on its size bound,
+        N rows of fixed width); otherwise the hot/cold split join is used."""
+        if self.vocab_size is None:
+            return False
+        row = TERM_BYTES + 8 * self.n_folds * (self.n_classes + 1)
+        return self.vocab_size * row <= MAX_BROADCAST_MODEL_BYTES
 
     def fit(self, corpus: DataFrame, counts: DataFrame | None = None,
             docs: DataFrame | None = None) -> "NaiveBayesTier":

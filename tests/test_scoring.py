@@ -102,3 +102,18 @@ def test_fused_equals_separate(spark, monkeypatch):
         for r in t.score(df, ["sample_id"]).collect():
             f = fused[r.sample_id]
             assert (f[f"pred{t.tier}"], f[f"conf{t.tier}"]) == (r.label, r.confidence)
+
+
+def test_top_n_over_broadcast_bound_uses_split_join(spark, monkeypatch):
+    import escalade.operators.scoring as SC
+    monkeypatch.setattr(SC, "MAX_BROADCAST_MODEL_BYTES", 1)
+    monkeypatch.setattr(SC, "HOT_TERMS", 2)
+    L, K = 3, 3
+    rows = corpus(seed=13, L=L, K=K)
+    df = spark.createDataFrame(rows, "sample_id long, fold int, gold_label int, text string")
+    tier = NaiveBayesTier(2, L, 6, "softmax", K, 9).fit(df)
+    assert not tier.bounded and tier.hot_model is not None
+    got = {r.sample_id: r.proba for r in tier.score(df, ["sample_id"]).collect()}
+    exp = brute(rows, L, K, 6, "softmax")
+    for sid, e in exp.items():
+        assert got[sid] == pytest.approx(e, abs=2e-9)
