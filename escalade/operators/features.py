@@ -43,14 +43,17 @@ def tfidf_fit(term_counts: DataFrame, id_col: str, vocab: DataFrame | None = Non
         n_docs = documents.select(F.count(F.lit(1))).scalar()
     else:
         n_docs = term_counts.select(F.count_distinct(id_col)).scalar()
-    tc = term_counts if vocab is None else term_counts.join(F.broadcast(vocab.select("term")), "term", "left_semi")
+    tc = term_counts if vocab is None else term_counts.join(vocab.select("term"), "term", "left_semi")
     dfc = tc.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     return dfc.select("term", "df", (F.log((F.lit(1.0) + n_docs) / (F.lit(1.0) + F.col("df"))) + 1.0).alias("idf"))
 
 
 def tfidf_transform(term_counts: DataFrame, id_col: str, idf: DataFrame, broadcast_idf: bool = False) -> DataFrame:
     """(id, term, weight): sublinear tf (1 + ln n) x idf, L2-normalised per
-    document; terms without an idf (out of vocabulary) are dropped."""
+    document; terms without an idf (out of vocabulary) are dropped.
+
+    ``broadcast_idf`` is for an idf over a top-N vocabulary (N rows, a proven
+    bound); otherwise Spark decides from its size estimate."""
     idf_side = F.broadcast(idf) if broadcast_idf else idf
     j = term_counts.join(idf_side.select("term", "idf"), "term")
     raw = j.select(id_col, "term", ((F.lit(1.0) + F.log(F.col("n"))) * F.col("idf")).alias("w"))
@@ -60,7 +63,8 @@ def tfidf_transform(term_counts: DataFrame, id_col: str, idf: DataFrame, broadca
 
 def tfidf(term_counts: DataFrame, id_col: str, vocab: DataFrame | None = None,
           documents: DataFrame | None = None) -> DataFrame:
-    """Fit and transform on the same documents (vocabulary optional, broadcast when given)."""
+    """Fit and transform on the same documents; a ``vocab`` is a top-N table
+    (``vocabulary``), so its idf is broadcast."""
     idf = tfidf_fit(term_counts, id_col, vocab, documents)
     return tfidf_transform(term_counts, id_col, idf, broadcast_idf=vocab is not None)
 
@@ -79,7 +83,7 @@ def fixed_length_ids(df: DataFrame, id_col: str, vocab: DataFrame, max_len: int,
     if max_len <= 0:
         raise ValueError("max_len must be > 0")
     occ = df.select(id_col, F.posexplode(_tokens(df, text_col, terms_col)).alias("pos", "term"))
-    v = F.broadcast(vocab.select("term", (F.col("term_id") + FIRST_ID).alias("tid")))
+    v = vocab.select("term", (F.col("term_id") + FIRST_ID).alias("tid"))
     ids = occ.join(v, "term", "left").select(
         id_col, "pos", F.coalesce(F.col("tid"), F.lit(UNK_ID)).cast("long").alias("tid"))
     win = ids.withColumn("window", (F.col("pos") / max_len).cast("int"))

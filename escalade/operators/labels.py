@@ -33,12 +33,13 @@ def collect_labels(dictionary: DataFrame) -> list[str]:
 
 def label_encode(df: DataFrame, col: str, dictionary: DataFrame, out: str = "label_id",
                  strict: bool = True) -> DataFrame:
-    """Replace names by ids via a broadcast join with the (small) dictionary.
+    """Replace names by ids via a join with the dictionary (Spark broadcasts
+    it when its estimated size is under the threshold).
 
     ``strict``: an unseen (non-null) label fails the job, as the fitted
     encoder does.
     """
-    j = df.join(F.broadcast(dictionary.select(F.col("label").alias("__l"), F.col("label_id").alias(out))),
+    j = df.join(dictionary.select(F.col("label").alias("__l"), F.col("label_id").alias(out)),
                 F.col(col) == F.col("__l"), "left")
     if strict:
         j = j.withColumn(out, F.when(F.col(col).isNotNull() & F.col(out).isNull(),
@@ -50,7 +51,7 @@ def label_encode(df: DataFrame, col: str, dictionary: DataFrame, out: str = "lab
 def label_decode(df: DataFrame, col: str, dictionary: DataFrame, out: str = "label") -> DataFrame:
     """id -> name; ids outside the dictionary (e.g. -1) become 'unknown'."""
     d = dictionary.select(F.col("label_id").alias("__id"), F.col("label").alias("__name"))
-    return (df.join(F.broadcast(d), F.col(col) == F.col("__id"), "left")
+    return (df.join(d, F.col(col) == F.col("__id"), "left")
             .withColumn(out, F.coalesce(F.col("__name"), F.lit("unknown")))
             .drop("__id", "__name"))
 

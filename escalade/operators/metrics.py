@@ -61,7 +61,7 @@ def macro_f1_fixed(df: DataFrame, labels: DataFrame, gold: str = "gold_label", p
     the sum of F1 over occurring classes of the set divided by the set size.
     """
     conf = confusion(df, gold, pred, group)
-    ids = F.broadcast(labels.select(F.col("label_id").alias("label")))
+    ids = labels.select(F.col("label_id").alias("label"))
     n_labels = labels.select(F.count(F.lit(1))).scalar()
     pc = _prf(per_class(conf, group).join(ids, "label", "left_semi"))
     acc = conf.groupBy(*group).agg((F.sum(F.when(F.col("gold") == F.col("pred"), F.col("n")).otherwise(0))

@@ -57,7 +57,7 @@ def stratified_split(df: DataFrame, label_col: str, key_col: str, test_ratio: fl
     # per (class, bucket) counts -> boundary bucket per class
     bc = d.groupBy(label_col, "__b").agg(F.count(F.lit(1)).alias("__c"))
     wb = Window.partitionBy(label_col).orderBy("__b").rowsBetween(Window.unboundedPreceding, 0)
-    bc = bc.withColumn("__cum", F.sum("__c").over(wb)).join(F.broadcast(q), label_col)
+    bc = bc.withColumn("__cum", F.sum("__c").over(wb)).join(q, label_col)
     bc = bc.withColumn("__before", F.col("__cum") - F.col("__c"))
     bc = bc.select(label_col, "__b", F.isnull("__err").alias("__ok"),
                    F.when(F.col("__cum") <= F.col("__quota"), F.lit("all"))
