@@ -179,13 +179,17 @@ class NaiveBayesTier:
             # terms join a bounded broadcast slice of the model map-side; only
             # the long tail is shuffled to join the rest (no hot key reaches a
             # shuffle partition; AQE still splits any remaining skew)
-            occ = token_occurrences(samples, keys, outer=True)
+            # Inner joins: when few rows reach this tier, AQE can broadcast their
+            # occurrences instead of shuffling the model (an outer join could
+            # only build on the model side); samples without tokens come back
+            # through the join with the sample keys.
+            occ = token_occurrences(samples, keys)
             hot_terms = F.broadcast(self.hot_model.select("term"))
             hot = occ.join(F.broadcast(self.hot_model.drop("rank")), "term")
-            cold = occ.join(hot_terms, "term", "left_anti").join(self.model, "term", "left")
+            cold = occ.join(hot_terms, "term", "left_anti").join(self.model, "term")
             j = hot.unionByName(cold)
-            sums = j.groupBy(*keys).agg(*[F.coalesce(F.sum(w[i]), F.lit(0.0)).alias(f"s_{i}")
-                                          for i in range(L + 1)])
+            sums = j.groupBy(*keys).agg(*[F.sum(w[i]).alias(f"s_{i}") for i in range(L + 1)])
+            sums = samples.select(*keys).join(sums, keys, "left").fillna(0.0, [f"s_{i}" for i in range(L + 1)])
         return self._finish(sums, keep, [f"s_{i}" for i in range(L + 1)])
 
     def _proba(self, cols: list[str], lp: Column, lnorm: Column) -> Column:
