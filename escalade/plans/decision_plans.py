@@ -12,7 +12,7 @@ from escalade.operators import metrics as M
 from escalade.operators import routing as R
 from escalade.operators.labels import label_dictionary
 from escalade.plans import cascade as C
-from escalade.plans.oracle import with_cascade, with_decisions, with_decisions_extra
+from escalade.plans.oracle import with_cascade, with_cascade_extra, with_decisions, with_decisions_extra
 from escalade.plans.registry import plan, rounded
 from escalade.sources.tables import read_table
 
@@ -299,3 +299,29 @@ UNION ALL SELECT config, 'macro avg', round(mp, 6), round(mr, 6), round(mf, 6),
 UNION ALL SELECT config, 'weighted avg', round(wp, 6), round(wr, 6), round(wf, 6), n FROM tot"""))
 def q_classification_report(spark, sf_dir):
     return rounded(M.classification_report(decisions(spark, sf_dir), _dictionary(spark, sf_dir)))
+
+
+TIER_QUALITY_CTES = """long AS (
+  SELECT 1 AS tier, gold_label, pred1 AS prediction FROM wide
+  UNION ALL SELECT 2, gold_label, pred2 FROM wide
+  UNION ALL SELECT 3, gold_label, pred3 FROM wide),
+pc AS (
+  SELECT tier, label, sum(tp)::BIGINT AS tp, sum(support)::BIGINT AS support, sum(predicted)::BIGINT AS predicted FROM (
+    SELECT tier, gold_label AS label, (gold_label = prediction)::INT AS tp, 1 AS support, 0 AS predicted FROM long
+    UNION ALL SELECT tier, prediction, 0, 0, 1 FROM long) GROUP BY ALL),
+prf AS (
+  SELECT *, CASE WHEN precision + recall = 0 THEN 0.0 ELSE 2 * precision * recall / (precision + recall) END AS f1
+  FROM (SELECT *, coalesce(tp::DOUBLE / nullif(predicted, 0), 0.0) AS precision,
+                  coalesce(tp::DOUBLE / nullif(support, 0), 0.0) AS recall FROM pc))"""
+
+
+@plan("tier_quality", with_cascade_extra(TIER_QUALITY_CTES, """
+SELECT tier, round(sum(tp)::DOUBLE / sum(support), 6) AS accuracy, round(avg(f1), 6) AS f1_macro
+FROM prf GROUP BY tier"""))
+def q_tier_quality(spark, sf_dir):
+    """Accuracy and macro-F1 of each tier alone, over every document (cross-fitted)."""
+    w = C.build(spark, sf_dir).wide()
+    long = w.select("gold_label", F.explode(F.array(*[
+        F.struct(F.lit(k).alias("tier"), F.col(f"pred{k}").alias("prediction")) for k in (1, 2, 3)])).alias("t")) \
+        .select("t.tier", "gold_label", "t.prediction")
+    return rounded(M.macro_f1(long, group=("tier",)))

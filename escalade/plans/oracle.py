@@ -137,3 +137,8 @@ def with_cascade(select_sql: str) -> str:
 def with_decisions_extra(extra_ctes: str, select_sql: str) -> str:
     """``decisions`` CTEs + more CTEs (text starting with the CTE name) + a select."""
     return "WITH " + decisions_ctes() + ",\n" + extra_ctes + "\n" + select_sql
+
+
+def with_cascade_extra(extra_ctes: str, select_sql: str) -> str:
+    """``cascade`` CTEs (ending in ``wide``) + more CTEs + a select."""
+    return "WITH " + cascade_ctes() + ",\n" + extra_ctes + "\n" + select_sql
