@@ -151,7 +151,10 @@ class NaiveBayesTier:
         dsum = F.aggregate(F.col("d"), F.lit(0).cast("bigint"), lambda a, x: a + x)
         self.header = hdr.select(
             "fold",
-            F.transform(F.col("d"), lambda x: F.log(x / dsum)).alias("lp"),
+            # a class without training samples outside the fold gets log prior -inf
+            # (probability 0); Spark's log(0) would be NULL
+            F.transform(F.col("d"), lambda x: F.when(x > 0, F.log(x / dsum))
+                        .otherwise(F.lit(float("-inf")))).alias("lp"),
             F.transform(F.col("t"), lambda x: F.log(x + F.col("V"))).alias("lnorm"))
         return self
 

@@ -108,15 +108,31 @@ def build(spark: SparkSession, sf_dir: str, vocab1: int = TIER1_VOCAB, vocab2: i
 
 
 def fit_cascade(spark: SparkSession, sf_dir: str, vocab1: int = TIER1_VOCAB, vocab2: int = TIER2_VOCAB,
-          n_folds: int = N_FOLDS) -> DocumentCascade:
-    """Fit the three tiers on ``documents`` and return the scorers.
+                n_folds: int = N_FOLDS) -> DocumentCascade:
+    """Fit the three tiers on ``<sf_dir>/documents`` (its shared token table)."""
+    return fit_token_cascade(corpus_tokens(spark, sf_dir, n_folds), vocab1, vocab2, n_folds)
+
+
+def fit_text_cascade(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang",
+                     vocab1: int = TIER1_VOCAB, vocab2: int = TIER2_VOCAB, n_folds: int = N_FOLDS) -> DocumentCascade:
+    """Fit the cascade on any labelled text table (integer ``id_col``).
+
+    The table is tokenised once into a checkpointed token table; the
+    returned ``DocumentCascade`` scores, routes and sweeps its samples.
+    """
+    d = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"),
+                  F.col(label_col).cast("string").alias("lang"))
+    return fit_token_cascade(materialize(document_tokens(balanced(d, "doc_id"), n_folds), "doc-tokens"),
+                             vocab1, vocab2, n_folds)
+
 
-    The text is read and tokenised once: the per-document token table is
-    written as parquet to the shared checkpoint folder, and fitting and every
-    tier read it. The fitted statistics are aggregates (per term; per class
-    and fold) that all tiers read several times, so they are written too.
+def fit_token_cascade(toks: DataFrame, vocab1: int = TIER1_VOCAB, vocab2: int = TIER2_VOCAB,
+                      n_folds: int = N_FOLDS) -> DocumentCascade:
+    """Fit the three tiers on a token table (sample_id, lang, fold, bytes_sent, terms).
+
+    The fitted statistics are aggregates (per term; per class and fold) that
+    all tiers read several times, so they are materialised once.
     """
-    toks = corpus_tokens(spark, sf_dir, n_folds)
     labels = collect_labels(label_dictionary(toks, "lang"))
     L = len(labels)
     samples = toks.select("sample_id", "fold", "bytes_sent", "terms",
@@ -128,6 +144,7 @@ def fit_cascade(spark: SparkSession, sf_dir: str, vocab1: int = TIER1_VOCAB, voc
     t2 = NaiveBayesTier(2, L, vocab2, "softmax", n_folds, CONF_DP).fit(samples, counts, docs)
     t3 = NaiveBayesTier(3, L, None, "one_hot", n_folds, CONF_DP).fit(samples, counts, docs)
     keep = ["sample_id", "gold_label", "bytes_sent"]
+
     def fused(s):
         w = score_fused([t1, t2, t3], s, keep)
         return w.select("sample_id", "gold_label", "bytes_sent", "pred1", "conf1", "pred2", "conf2", "pred3", "conf3")

@@ -29,7 +29,7 @@ mdl{k} AS (
   FROM tl{k} tl CROSS JOIN folds f
   LEFT JOIN cnt{k} c ON c.fold = f.fold AND c.label = tl.label AND c.term = tl.term),
 hdr{k} AS (
-  SELECT p.fold, p.label, ln(p.prior) AS lp,
+  SELECT p.fold, p.label, CASE WHEN p.prior > 0 THEN ln(p.prior) ELSE '-inf'::DOUBLE END AS lp,
          ln(coalesce(t.tot, 0) + (SELECT count(*) FROM voc{k})) AS lnorm
   FROM prior p LEFT JOIN (SELECT fold, label, sum(n) AS tot FROM mdl{k} GROUP BY ALL) t
     ON t.fold = p.fold AND t.label = p.label),
@@ -77,7 +77,7 @@ vocab AS (SELECT term, row_number() OVER (ORDER BY count(*) DESC, term) AS r FRO
 dcnt AS (SELECT fold, gold_label AS label, count(*) AS n FROM samples GROUP BY ALL),
 prior AS (
   SELECT f.fold, l.label,
-         (SELECT sum(n) FROM dcnt d WHERE d.label = l.label AND d.fold <> f.fold)
+         coalesce((SELECT sum(n) FROM dcnt d WHERE d.label = l.label AND d.fold <> f.fold), 0)
          / (SELECT sum(n) FROM dcnt d WHERE d.fold <> f.fold) AS prior
   FROM folds f CROSS JOIN (SELECT DISTINCT label FROM dcnt) l),
 {_tier_sql(1, TIER1_VOCAB, "softmax")},

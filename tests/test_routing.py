@@ -201,3 +201,15 @@ def test_save_report(spark, tmp_path):
     files = [f for f in __import__("os").listdir(out) if f.endswith(".csv")]
     assert len(files) == 1
     assert spark.read.option("header", True).csv(out).count() == 2
+
+
+def test_fit_text_cascade_on_any_table(spark):
+    """The cascade fits on any labelled text table and its report is whole."""
+    from escalade.operators import analysis as A
+    from escalade.plans.cascade import fit_text_cascade
+    conv = spark.read.parquet("/root/testdata/sf0.001/conversations.parquet") \
+        .withColumn("uid", F.col("conv_id") * 1000 + F.col("turn"))
+    dc = fit_text_cascade(conv, id_col="uid", text_col="text", label_col="role", vocab1=8, vocab2=64)
+    rates = A.escalation_rates(dc.decisions()).collect()
+    n = conv.count()
+    assert len(rates) == 28 and all(r.n_tier1 + r.n_tier2 + r.n_tier3 == n for r in rates)

@@ -117,3 +117,16 @@ def test_top_n_over_broadcast_bound_uses_split_join(spark, monkeypatch):
     exp = brute(rows, L, K, 6, "softmax")
     for sid, e in exp.items():
         assert got[sid] == pytest.approx(e, abs=2e-9)
+
+
+def test_class_missing_outside_a_fold(spark):
+    """A class whose samples all sit in one fold has prior 0 for that fold."""
+    L, K = 3, 3
+    rows = [r for r in corpus(seed=21, L=L, K=K) if r[2] != 2] + [(900, 0, 2, "gg hh ii"), (903, 0, 2, "hh ii")]
+    df = spark.createDataFrame(rows, "sample_id long, fold int, gold_label int, text string")
+    tier = NaiveBayesTier(1, L, 6, "softmax", K, 9).fit(df)
+    got = {r.sample_id: r for r in tier.score(df, ["sample_id"]).collect()}
+    for sid in (900, 903):
+        assert got[sid].proba[2] == 0.0 and got[sid].confidence is not None
+    # other folds still see class 2 and score it normally
+    assert all(r.confidence is not None for r in got.values())
