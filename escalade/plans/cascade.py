@@ -4,8 +4,8 @@ Meaning on the ``documents`` table (fixed for all plans and oracles):
 
 * sample = document: ``sample_id = doc_id``, gold class = ``lang`` encoded
   alphabetically (``label_id``), ``bytes_sent`` = UTF-8 length of the text;
-* every document is scored; ``fold = doc_id mod 5`` assigns it to one of five
-  cross-fitting folds, and it is scored with counts from the other four;
+* every document is scored; a seeded hash of ``doc_id`` assigns it to one of
+  five cross-fitting folds, and it is scored with counts from the other four;
 * tier 1 = top-16 vocabulary, tier 2 = top-256, both emitting a
   length-normalised softmax; tier 3 = full vocabulary, emitting one-hot
   (a label, like a generative tier); the vocabulary ranks terms of all
@@ -34,10 +34,18 @@ TIER2_VOCAB = 256
 CONF_DP = 9
 
 
+def fold_of(key, n_folds: int = N_FOLDS):
+    """Cross-fitting fold of a row: a seeded hash of its key (first 32 bits of
+    ``md5('fold:' || key)``) modulo the number of folds -- a random, balanced
+    assignment that does not follow the id order."""
+    h = F.conv(F.substring(F.md5(F.concat(F.lit("fold:"), key.cast("string"))), 1, 8), 16, 10).cast("long")
+    return F.pmod(h, F.lit(n_folds)).cast("int")
+
+
 def document_tokens(documents: DataFrame, n_folds: int = N_FOLDS) -> DataFrame:
     """Per document: sample_id, lang, fold, bytes_sent and its token array."""
     d = documents.select(F.col("doc_id").alias("sample_id"), "lang", "text",
-                         F.pmod(F.col("doc_id"), F.lit(n_folds)).cast("int").alias("fold"),
+                         fold_of(F.col("doc_id"), n_folds).alias("fold"),
                          utf8_bytes(F.col("text")).alias("bytes_sent"))
     return token_table(d, ["sample_id", "lang", "fold", "bytes_sent"])
 

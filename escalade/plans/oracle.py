@@ -63,7 +63,8 @@ def cascade_ctes() -> str:
     return f"""
 dict AS (SELECT lang, (row_number() OVER (ORDER BY lang) - 1)::INT AS label_id FROM (SELECT DISTINCT lang FROM documents)),
 samples AS (
-  SELECT d.doc_id AS sample_id, d.text, (d.doc_id % {N_FOLDS})::INT AS fold,
+  SELECT d.doc_id AS sample_id, d.text,
+         ((('0x' || substr(md5('fold:' || d.doc_id::VARCHAR), 1, 8))::BIGINT) % {N_FOLDS})::INT AS fold,
          strlen(d.text)::INT AS bytes_sent, k.label_id AS gold_label
   FROM documents d JOIN dict k USING (lang)),
 occ AS (
