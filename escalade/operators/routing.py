@@ -167,11 +167,15 @@ def decide(wide: DataFrame, theta1: Column, theta2: Column, costs: Sequence[floa
     ]
 
 
-def route(cascade: Cascade, samples: DataFrame, theta1: float, theta2: float) -> DataFrame:
-    """Decisions of one configuration (tiers 2 and 3 only where reached)."""
+def route(cascade: Cascade, samples: DataFrame, theta1: float, theta2: float, fused: bool = False) -> DataFrame:
+    """Decisions of one configuration (tiers 2 and 3 only where reached).
+
+    ``fused``: when the cascade offers a fused pass (native tiers sharing one
+    fit), score all tiers at once instead of in stages -- same decisions,
+    cheaper when no tier is expensive."""
     t1 = check_unit_interval("theta1", theta1)
     t2 = check_unit_interval("theta2", theta2)
-    w = cascade.wide(samples, t1, t2)
+    w = cascade.fused(samples) if fused and cascade.fused is not None else cascade.wide(samples, t1, t2)
     return w.select(*decide(w, F.lit(t1), F.lit(t2), cascade.costs))
 
 

@@ -102,7 +102,8 @@ def q_stream_decision_log(spark, sf_dir):
                            C.encode_with_list(F.col("lang"), labels).alias("gold_label"))
 
     def to_decisions(samples):
-        return R.route(dc.cascade, samples, 0.7, 0.7)
+        # native tiers: one fused pass per micro-batch
+        return R.route(dc.cascade, samples, 0.7, 0.7, fused=True)
 
     out, ck = _scratch(spark, "stream-log"), _scratch(spark, "stream-ckpt")
     q = stream_decision_log(spark, sf_dir, docs.schema, "documents.parquet", to_decisions, out, ck,

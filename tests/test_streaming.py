@@ -39,3 +39,10 @@ def test_stream_equals_batch(spark, tmp_path):
     got = {(r.sample_id, r.tier_used, r.correct) for r in RS.read_decision_log(spark, out).collect()}
     exp = {(str(r.sample_idx), r.tier_used, r.correct) for r in batch.collect()}
     assert got == exp
+
+
+def test_fused_route_equals_staged(spark):
+    dc = C.build(spark, SF)
+    staged = {tuple(r) for r in R.route(dc.cascade, dc.samples, 0.6, 0.8).collect()}
+    fused = {tuple(r) for r in R.route(dc.cascade, dc.samples, 0.6, 0.8, fused=True).collect()}
+    assert staged == fused and len(staged) == dc.samples.count()
