@@ -80,11 +80,29 @@ def q_profile_union(spark, sf_dir):
     return RS.profile_union(spark, [a, b]).select(*PROFILE_COLUMNS)
 
 
-@plan("corpus_scan", """
-SELECT 'train' AS split, role AS intent, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS text FROM conversations""")
+CONV_SPLIT_SQL = """
+ckey AS (SELECT conv_id, turn, role, text, (conv_id * 1000 + turn)::VARCHAR AS k FROM conversations),
+cls AS (SELECT role, count(*) AS n FROM ckey GROUP BY role),
+q0 AS (SELECT role, n, sum(n) OVER () AS big_n, ceil(sum(n) OVER () * 0.2) AS t FROM cls),
+q1 AS (SELECT *, t * n / big_n AS ex, floor(t * n / big_n) AS fl FROM q0),
+q2 AS (SELECT *, ex - fl AS rem, t - sum(fl) OVER () AS lft FROM q1),
+quota AS (SELECT role, fl + CASE WHEN row_number() OVER (ORDER BY rem DESC, role) <= lft THEN 1 ELSE 0 END AS quota FROM q2),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY role ORDER BY md5('42:' || k) || ':' || k) AS r FROM ckey)"""
+
+
+@plan("corpus_scan", f"""WITH {CONV_SPLIT_SQL}
+SELECT CASE WHEN r.r <= q.quota THEN 'validate' ELSE 'train' END AS split, r.role AS intent,
+       regexp_replace(r.text, '^\\s+|\\s+$', '', 'g') AS text
+FROM ranked r JOIN quota q USING (role)""")
 def q_corpus_scan(spark, sf_dir):
+    """conversations -> JSON-lines corpus files of both splits (an exact
+    stratified 80/20 split by role) -> corpus scan."""
+    from escalade.operators.sampling import stratified_split
     out = _scratch(spark, "corpus")
-    CO.write_corpus_lines(read_table(spark, sf_dir, "conversations"), "role", "text", out, split="train")
+    conv = read_table(spark, sf_dir, "conversations").withColumn("k", F.col("conv_id") * 1000 + F.col("turn"))
+    sp = stratified_split(conv, "role", "k", 0.2, seed=42)
+    CO.write_corpus_lines(sp.where(F.col("split") == "train"), "role", "text", out, split="train")
+    CO.write_corpus_lines(sp.where(F.col("split") == "test"), "role", "text", out, split="validate", mode="append")
     return CO.corpus_scan(spark, out, json_lines=True).select("split", "intent", "text")
 
 

@@ -77,13 +77,15 @@ def flatten_turns(turns: DataFrame, key: str, order: str, text: str) -> DataFram
     return g.select(key, py_strip(F.array_join(F.transform("s", lambda x: x["t"]), "")).alias("text"))
 
 
-def write_corpus_lines(turns: DataFrame, intent_col: str, text_col: str, path: str, split: str = "train") -> None:
+def write_corpus_lines(turns: DataFrame, intent_col: str, text_col: str, path: str, split: str = "train",
+                       mode: str = "overwrite") -> None:
     """Write rows as JSON-lines corpus documents (one utterance each) to
-    ``path``; file names follow the split pattern."""
+    ``path``; file names follow the split pattern. ``mode='append'`` adds a
+    second split to the same folder."""
     doc = F.to_json(F.create_map(F.col(intent_col), F.array(F.struct(
         F.array(F.struct(F.col(text_col).alias("text"), F.lit(None).cast("string").alias("entity"))).alias("data")))))
     tmp = turns.select(doc.alias("value"))
-    tmp.write.mode("overwrite").text(path)
+    tmp.write.mode(mode).text(path)
     # name the parts after the split so the scanner's pattern selects them
     jvm = turns.sparkSession._jvm
     conf = turns.sparkSession._jsc.hadoopConfiguration()
