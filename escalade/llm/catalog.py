@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from escalade.llm import decontam, packing
+from escalade.llm import decontam, packing, toxicity, url_filter
 
 QUERIES = {
+    "op2_toxicity": toxicity.op2_toxicity,
+    "op3_url_filter": url_filter.op3_url_filter,
     "op5_best_fit_packing": packing.op5_best_fit_packing,
     "op10_benchmark_decontamination": decontam.op10_benchmark_decontamination,
 }
