@@ -18,9 +18,12 @@ order of (doc_id, start, digest), nulls first; extra columns of the input are ig
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
+from itertools import repeat
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,69 +34,95 @@ END_ID = 2
 # Documents per packing block: a task holds some 16k x 40-byte rows.
 BLOCK_DOCS = 16_384
 # Words whose ids a worker remembers before it starts over (about 100 bytes each).
-CACHE_WORDS = 600_000
+CACHE_WORDS = 1_000_000
+# Bytes of text a worker encodes at a time.
+GATHER_BYTES = 8_000_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids binary"
-# Two white-space characters around a blank: the only place where a word's ids
-# could depend on its neighbour (see WordEncoder)
-_TIED = re.compile(r"\s \s")
+# White space where a word's ids could depend on its neighbour (see WordEncoder)
+_BLANK = r"\t\v\f\r \x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+_TIED = rf"[{_BLANK}][{_BLANK}\n]|\n[{_BLANK}]|\n\n\n|\n\n\z|[{_BLANK}]\z|\A[{_BLANK}\n]"
 
 
 class WordEncoder:
     """Ids of whole texts, remembering the ids of words already seen.
 
-    The byte-level pre-tokeniser attaches one blank to the word after it, so a
-    text may be cut before any blank that has no white space on both sides; the
-    ids of the cuts, joined, are the ids of the text. Other texts are encoded whole.
+    The byte-level pre-tokeniser attaches one blank to the word after it and takes a
+    line feed for itself, so a text may be cut before blanks and line feeds as long as
+    no other white space is next to them; the ids of the cuts, joined, are the ids of
+    the text. Other texts are encoded whole. A batch's distinct words are looked up
+    once, and their ids gathered from a pool of all known words' ids.
     """
 
     def __init__(self, path: str):
-        import numpy as np
         from tokenizers import Tokenizer
 
-        self.np, self.tok, self.seen = np, Tokenizer.from_file(path), {}
+        self.tok = Tokenizer.from_file(path)
         vocab = self.tok.get_vocab(with_added_tokens=True)
         self.size = np.zeros(max(vocab.values()) + 1, np.int64)  # bytes of each token
         for token, i in vocab.items():
             self.size[i] = len(token)
+        self.feed = len(self._encode(["\n"])[0])
+        self._forget()
 
-    def _encode(self, texts: list[str]) -> list:
-        return [self.np.array(e.ids, "<u4") for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+    def _forget(self) -> None:
+        self.slot: dict[str, int] = {}
+        self.pool = np.zeros(1 << 16, "<u4")
+        self.used, self.start, self.count = 0, np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def _learn(self, new: list[str], run: int = 200) -> None:
-        np = self.np
-        groups = [new[a:a + run] for a in range(0, len(new), run)]
-        for group, ids in zip(groups, self._encode([" " + " ".join(g) for g in groups])):
+    def _encode(self, texts: list[str]) -> list:
+        return [np.array(e.ids, "<u4") for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, new: list[str], run: int = 500) -> None:
+        """Ids of new words, encoded many to a text and cut apart by their bytes."""
+        groups = [[w if w[:1] == "\n" else " " + w for w in new[a:a + run]] for a in range(0, len(new), run)]
+        starts, counts, pieces, used = [self.start], [self.count], [], self.used
+        for group, ids in zip(groups, self._encode(["".join(g) for g in groups])):
+            cuts = np.cumsum([len(w) for w in map(str.encode, group)])
             ends = np.cumsum(self.size[ids])
-            cuts = np.cumsum([len(w.encode()) + 1 for w in group])
-            at = np.searchsorted(ends, cuts)
-            if at[-1] >= len(ends) or (ends[at] != cuts).any():  # a token over a cut: never for this vocabulary
-                for w, own in zip(group, self._encode([" " + w for w in group])):
-                    self.seen[w] = own.tobytes()
-                continue
-            raw, a = ids.tobytes(), 0
-            for w, b in zip(group, ((at + 1) * 4).tolist()):
-                self.seen[w] = raw[a:b]
-                a = b
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text, without an end id."""
-        split, heads, need = [], [], set()
-        for x in texts:
-            parts = x.split(" ")
-            if "" in parts or _TIED.search(x):
-                parts = [x]
-            split.append(parts)
-            heads.append(parts[0])
-            need.update(parts[1:])
-        need.difference_update(self.seen)
-        if len(self.seen) + len(need) > CACHE_WORDS:
-            self.seen = {}
-            need = {w for parts in split for w in parts[1:]}
-        if need:
-            self._learn(list(need))
-        return [head.tobytes() + b"".join(map(self.seen.__getitem__, parts[1:]))
-                for head, parts in zip(self._encode(heads), split)]
+            at = np.searchsorted(ends, cuts) + 1
+            if at[-1] > len(ends) or (ends[at - 1] != cuts).any():  # a token over a cut: never for this vocabulary
+                each = self._encode(group)
+                ids, at = np.concatenate(each), np.cumsum([len(x) for x in each])
+            starts.append(used + np.concatenate(([0], at[:-1])))
+            counts.append(np.diff(at, prepend=0))
+            pieces.append(ids)
+            used += len(ids)
+        self.start, self.count = np.concatenate(starts), np.concatenate(counts)
+        if used > len(self.pool):
+            self.pool = np.concatenate((self.pool[:self.used], np.zeros(2 * used - self.used, "<u4")))
+        self.pool[self.used:used] = np.concatenate(pieces)
+        self.used = used
+        self.slot.update(zip(new, range(len(self.slot), len(self.slot) + len(new))))
+
+    def __call__(self, texts: pa.Array) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each text (null: none), without an end id."""
+        if len(self.slot) > CACHE_WORDS:
+            self._forget()
+        texts = pc.fill_null(texts, "")
+        mask = pc.match_substring_regex(texts, _TIED)
+        tied = np.flatnonzero(mask.to_numpy(zero_copy_only=False)).tolist()
+        plain = pc.if_else(mask, "", texts) if tied else texts
+        plain = pc.binary_join_element_wise("\n", pc.replace_substring(plain, "\n", " \n"), "")
+        parts = pc.split_pattern(plain, " ")
+        coded = parts.flatten().dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        slots = np.fromiter(map(self.slot.get, distinct, repeat(-1)), np.int64, len(distinct))
+        unseen = np.flatnonzero(slots < 0)
+        if len(unseen):
+            slots[unseen] = np.arange(len(self.slot), len(self.slot) + len(unseen))
+            self._learn([distinct[i] for i in unseen.tolist()])
+        own = slots[coded.indices.to_numpy()]
+        counts = self.count[own]
+        ends = np.concatenate(([0], np.cumsum(counts)))
+        ids = self.pool[np.repeat(self.start[own] - ends[:-1], counts) + np.arange(ends[-1])].tobytes()
+        offsets = parts.offsets.to_numpy()
+        bounds = (ends[offsets - offsets[0]] * 4).tolist()
+        lead = self.feed * 4
+        out = [ids[a + lead:b] for a, b in zip(bounds, bounds[1:])]
+        for i, x in zip(tied, self._encode([texts[i].as_py() for i in tied])):
+            out[i] = x.tobytes()
+        return out
 
 
 _ENCODERS: dict[str, WordEncoder] = {}  # one per worker process and file
@@ -124,14 +153,23 @@ def tokenize(docs: DataFrame, tokenizer: str | None = None, seq_len: int = SEQ_L
     C.workers(docs.sparkSession)
     end, whole = int(end_id).to_bytes(4, "little"), seq_len * 4
 
-    def cut(batches: Iterator) -> Iterator:
-        import pyarrow as pa
+    def gathered(batches: Iterator) -> Iterator:
+        """Ids and texts of several batches together, up to ``GATHER_BYTES`` and one batch."""
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch)
+            size += batch.nbytes
+            if size > GATHER_BYTES:
+                yield [pa.concat_arrays([b.column(k) for b in held]) for k in (0, 1)]
+                held, size = [], 0
+        if held:
+            yield [pa.concat_arrays([b.column(k) for b in held]) for k in (0, 1)]
 
+    def cut(batches: Iterator) -> Iterator:
         encode = _encoder(tokenizer)
-        for batch in batches:
+        for doc_ids, texts in gathered(batches):
             out = ([], [], [], [], [])
-            texts = [x or "" for x in batch.column(1).to_pylist()]
-            for doc, ids in zip(batch.column(0).to_pylist(), encode(texts)):
+            for doc, ids in zip(doc_ids.to_pylist(), encode(texts)):
                 ids += end
                 first = len(ids) % whole or whole
                 bounds = [0, *range(first, len(ids) + 1, whole)]
