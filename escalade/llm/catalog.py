@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from escalade.llm import decontam, packing, toxicity, url_filter
+from escalade.llm import chat, decontam, lm_score, packing, toxicity, url_filter
 
 QUERIES = {
     "op2_toxicity": toxicity.op2_toxicity,
     "op3_url_filter": url_filter.op3_url_filter,
     "op5_best_fit_packing": packing.op5_best_fit_packing,
+    "op8_lm_scoring": lm_score.op8_lm_scoring,
+    "op9_chat_formatting": chat.op9_chat_formatting,
     "op10_benchmark_decontamination": decontam.op10_benchmark_decontamination,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op9_chat_formatting": chat.OP9_SQL,
+}
