@@ -101,8 +101,10 @@ def sample(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE) -> tuple
         .join(F.broadcast(picked), F.col("doc_id") == F.col("_id")) \
         .select("_id", "_label", features("text").alias("x"))
     # a repeated document must not lift the bound: one row an id
-    rows = joined.groupBy("_id", "_label").agg(F.min("x").alias("x")).orderBy("_id").collect()
-    return [(r["_label"], r["x"]["f"], r["x"]["t"]) for r in rows], sizes
+    rows = joined.groupBy("_id", "_label").agg(F.min("x").alias("x")).select("_id", "_label", "x.f", "x.t").toArrow()
+    rows = rows.combine_chunks().sort_by("_id")
+    found = [f.values.to_numpy() for f in rows["f"]]
+    return list(zip(rows["_label"].to_pylist(), found, rows["t"].to_pylist())), sizes
 
 
 def train(rows: list, sizes: dict[int, int], l2: float = L2, swap_weight: float = SWAP_WEIGHT,
@@ -115,7 +117,7 @@ def train(rows: list, sizes: dict[int, int], l2: float = L2, swap_weight: float
         return weights, prior
     y = np.array([r[0] for r in rows], np.float64)
     doc = np.repeat(np.arange(len(rows)), [len(r[1]) for r in rows])
-    col = np.concatenate([np.asarray(r[1], np.int64) for r in rows])
+    col = np.concatenate([np.asarray(r[1], np.int32) for r in rows])
     # features whose rates in the classes differ by more than chance
     pos = np.bincount(col[y[doc] == 1], minlength=1 << BITS)
     neg = np.bincount(col[y[doc] == 0], minlength=1 << BITS)
