@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from escalade.llm import chat, decontam, lm_score, packing, toxicity, url_filter
+from escalade.llm import chat, decontam, lm_score, packing, pii, toxicity, url_filter
 
 QUERIES = {
+    "op1_pii": pii.op1_pii,
     "op2_toxicity": toxicity.op2_toxicity,
     "op3_url_filter": url_filter.op3_url_filter,
     "op5_best_fit_packing": packing.op5_best_fit_packing,
