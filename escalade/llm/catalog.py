@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from escalade.llm import chat, decontam, lm_score, packing, pii, toxicity, url_filter
+from escalade.llm import chat, decontam, line_dedup, lm_score, packing, pii, toxicity, url_filter
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
     "op2_toxicity": toxicity.op2_toxicity,
     "op3_url_filter": url_filter.op3_url_filter,
     "op5_best_fit_packing": packing.op5_best_fit_packing,
+    "op6_line_dedup": line_dedup.op6_line_dedup,
     "op8_lm_scoring": lm_score.op8_lm_scoring,
     "op9_chat_formatting": chat.op9_chat_formatting,
     "op10_benchmark_decontamination": decontam.op10_benchmark_decontamination,
 }
 ORACLES: dict[str, str] = {
+    "op6_line_dedup": line_dedup.OP6_SQL,
     "op9_chat_formatting": chat.OP9_SQL,
 }
