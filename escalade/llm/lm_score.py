@@ -128,7 +128,8 @@ def fit(docs: DataFrame, labels: DataFrame, size: int = VOCABULARY) -> tuple[lis
     """Vocabulary and the losses under the target and the background model."""
     words = vocabulary(docs, size)
     good = labels.filter(F.col("quality").cast("int") == 1).select(F.col("doc_id").alias("_id")).distinct()
-    flagged = docs.select("doc_id", "text").join(good, F.col("doc_id") == F.col("_id"), "left") \
+    # a shuffle join at every size: the labels grow with the corpus
+    flagged = docs.select("doc_id", "text").join(good.hint("shuffle_hash"), F.col("doc_id") == F.col("_id"), "left") \
         .select("text", F.col("_id").isNotNull().alias("_target"))
     n = counts(flagged, words, "_target")
     return words, losses(n[0]), losses(n[1])
