@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from escalade.llm import chat, decontam, line_dedup, lm_score, packing, pii, toxicity, url_filter
+from escalade.llm import chat, decontam, line_dedup, lm_score, near_dup, packing, pii, toxicity, url_filter
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
     "op2_toxicity": toxicity.op2_toxicity,
     "op3_url_filter": url_filter.op3_url_filter,
+    "op4_minhash_near_dedup": near_dup.op4_minhash_near_dedup,
     "op5_best_fit_packing": packing.op5_best_fit_packing,
     "op6_line_dedup": line_dedup.op6_line_dedup,
     "op8_lm_scoring": lm_score.op8_lm_scoring,
