@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from escalade.llm import chat, decontam, line_dedup, lm_score, near_dup, packing, pii, toxicity, url_filter
+from escalade.llm import chat, decontam, line_dedup, lm_score, near_dup, packing, pii, search, toxicity, url_filter
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
@@ -11,11 +11,13 @@ QUERIES = {
     "op4_minhash_near_dedup": near_dup.op4_minhash_near_dedup,
     "op5_best_fit_packing": packing.op5_best_fit_packing,
     "op6_line_dedup": line_dedup.op6_line_dedup,
+    "op7_topk_search": search.op7_topk_search,
     "op8_lm_scoring": lm_score.op8_lm_scoring,
     "op9_chat_formatting": chat.op9_chat_formatting,
     "op10_benchmark_decontamination": decontam.op10_benchmark_decontamination,
 }
 ORACLES: dict[str, str] = {
     "op6_line_dedup": line_dedup.OP6_SQL,
+    "op7_topk_search": search.OP7_SQL,
     "op9_chat_formatting": chat.OP9_SQL,
 }

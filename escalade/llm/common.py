@@ -44,14 +44,10 @@ def spill(df: DataFrame, name: str) -> DataFrame:
 def workers(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     """Prepare a session for this package's Arrow functions.
 
-    Bounds the rows of an Arrow batch (texts can be long; a smaller setting is
-    kept) and lets Python workers import this package from where the driver has it
+    Sets the rows of an Arrow batch, so that long texts stay bounded, and lets Python workers import this package from where the driver has it
     (on a cluster it is installed or passed with ``--py-files``).
     """
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key, "10000"))
-    if now <= 0 or now > rows:
-        spark.conf.set(key, str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     root = str(Path(__file__).resolve().parents[2])
     env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
