@@ -14,7 +14,10 @@ Classes are the connected components of the pairs with similarity >= ``THRESHOLD
 2. in each bucket all members are compared with its first member (a star, not all pairs);
 3. buckets whose members are now in several components compare those outside the
    largest component with every member of another component, so that no candidate pair that
-   could join two classes is left out.
+   could join two classes is left out. Their documents first get a sketch of ``SKETCH`` further
+   registers, two bits each: the join keeps a pair, in the first bucket that it shares, where the
+   sketches' distance is within ``SLACK`` standard deviations of that expected at the threshold
+   (a pair at the threshold passes with probability 0.99997).
 
 Scale: texts are read for the signatures once and for candidate pairs; a bucket or class
 holding a third of all documents costs rows in proportion to its size, its
@@ -43,6 +46,7 @@ SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 25, 5
 REGISTERS = BANDS * ROWS
+SKETCH, SLACK = 512, 4.0
 # Shingles that are hashed together in a worker.
 CHUNK = 300_000
 CACHE_WORDS = 500_000
@@ -132,6 +136,51 @@ def similarity(x: tuple, y: tuple) -> float:
     return float(total)
 
 
+def sketches(who: np.ndarray) -> np.ndarray:
+    """Two bits of each register, packed into 64-bit numbers: (documents, 2 SKETCH / 64)."""
+    two = C.mix64(who ^ _GOLDEN)
+    bits = np.stack((two & np.uint64(1), two >> np.uint64(1) & np.uint64(1)), 2).astype(np.uint8)
+    return np.packbits(bits.reshape(len(who), -1), axis=1).view(np.int64)
+
+
+def distance_limit(threshold: float) -> int:
+    """Sketch distance up to which a pair may have the similarity ``threshold``."""
+    differ = SKETCH * (1 - threshold)  # registers; two random bits differ in 1 +- 1/sqrt(2)
+    return int(differ + SLACK * (differ * threshold + differ / 2) ** 0.5)
+
+
+def _in_runs(found: list, work) -> list:
+    """``work`` on runs of word lists of about CHUNK words, one list at least."""
+    out, a = [], 0
+    while a < len(found):
+        b, size = a + 1, len(found[a])
+        while b < len(found) and size + len(found[b]) <= CHUNK:
+            size += len(found[b])
+            b += 1
+        out.append(work(found[a:b]))
+        a = b
+    return out
+
+
+def _lists(rows: list, width: int) -> pa.Array:
+    """Rows of a fixed width as Arrow lists."""
+    flat = np.concatenate(rows).ravel() if rows else np.zeros(0, np.int64)
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, width), pa.int32()), pa.array(flat))
+
+
+def sketched(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """(row, sketch) of the documents in ``rows`` (row)."""
+    texts = docs.select(F.monotonically_increasing_id().alias("row"), F.col("text").cast("string").alias("text"))
+
+    def sketch(batches: Iterator) -> Iterator:
+        for batch in batches:
+            found = [C.words(t) for t in batch.column(1).to_pylist()]
+            own = _in_runs(found, lambda run: sketches(signatures(*shingles(run), len(run), SKETCH)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), _lists(own, 2 * SKETCH // 64)], names=["row", "sketch"])
+
+    return texts.join(rows, "row", "left_semi").mapInArrow(sketch, "row long, sketch array<long>")
+
+
 def signed(docs: DataFrame) -> DataFrame:
     """(row, doc_id, digest, bands) of every document; null bands where it has no words."""
     C.workers(docs.sparkSession)
@@ -140,18 +189,9 @@ def signed(docs: DataFrame) -> DataFrame:
         for batch in batches:
             rows, ids = batch.column(0), batch.column(1)
             found = [C.words(t) for t in batch.column(2).to_pylist()]
-            keys, a = [], 0
-            while a < len(found):  # a run of documents of about CHUNK words, one at least
-                b, size = a + 1, len(found[a])
-                while b < len(found) and size + len(found[b]) <= CHUNK:
-                    size += len(found[b])
-                    b += 1
-                keys.append(bands(signatures(*shingles(found[a:b]), b - a)))
-                a = b
+            keys = _in_runs(found, lambda run: bands(signatures(*shingles(run), len(run))))
             digests = [xxhash.xxh128_digest(" ".join(w)) if w else None for w in found]
-            flat = np.concatenate(keys).ravel() if keys else np.zeros(0, np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, BANDS), pa.int32()), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([rows, ids, pa.array(digests, pa.binary()), lists],
+            yield pa.RecordBatch.from_arrays([rows, ids, pa.array(digests, pa.binary()), _lists(keys, BANDS)],
                                              names=["row", "doc_id", "digest", "bands"])
 
     return docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), F.col("text").cast("string")) \
@@ -227,10 +267,15 @@ def links(stand_ins: DataFrame, docs: DataFrame, threshold: float = THRESHOLD) -
     largest = sizes.groupBy("band", "key").agg(F.max_by("part", F.struct("n", "part")).alias("main"), F.count("*").alias("parts")) \
         .filter("parts > 1").drop("parts")
     open_rows = C.spill(placed.join(largest, ["band", "key"]), "open-buckets")
-    outside = open_rows.filter("part <> main").select("band", "key", F.col("row").alias("x"), F.col("part").alias("px"))
-    others = open_rows.select("band", "key", F.col("row").alias("y"), F.col("part").alias("py"))
-    rest = outside.join(others, ["band", "key"]).filter("px <> py") \
-        .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    own = sketched(docs, open_rows.select("row").distinct()).join(stand_ins, "row")
+    members = C.spill(open_rows.join(own, "row"), "open-members")
+    outside = members.filter("part <> main").select("band", "key", *[F.col(c).alias(f"x_{c}") for c in ("row", "part", "bands", "sketch")])
+    others = members.select("band", "key", *[F.col(c).alias(f"y_{c}") for c in ("row", "part", "bands", "sketch")])
+    far = " + ".join(f"bit_count(x_sketch[{i}] ^ y_sketch[{i}])" for i in range(2 * SKETCH // 64))
+    earlier = " or ".join(f"(band > {i} and x_bands[{i}] = y_bands[{i}])" for i in range(BANDS - 1))
+    rest = outside.join(others, ["band", "key"]) \
+        .filter(f"x_part <> y_part and {far} <= {distance_limit(threshold)} and not ({earlier})") \
+        .select(F.least("x_row", "y_row").alias("a"), F.greatest("x_row", "y_row").alias("b")).distinct()
     rest = C.spill(rest.join(star, ["a", "b"], "left_anti"), "pairs")
     more = verified(rest, docs, threshold)
     return components(found.unionByName(more))
