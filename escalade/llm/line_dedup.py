@@ -109,13 +109,13 @@ def apply(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     gone = C.spill(deletions(docs, min_words), "line-deletions").withColumnRenamed("row", "_row")
     joined = docs.withColumn("_row", F.monotonically_increasing_id()).join(gone, "_row", "left")
     out = joined.withColumns({
-        "_all": F.split(F.col("text").cast("string"), "\n"),
         "_lines": F.size(F.expr(_LINES)).cast("long"),
         "_gone": F.coalesce("gone", F.expr("cast(array() as array<int>)"))})
-    at = F.expr(r"filter(sequence(0, size(_all) - 1), i -> trim(BOTH ' \t\r' FROM _all[i]) <> '')")
-    kept = F.expr("array_join(filter(_all, (x, i) -> not array_contains(_dropped, i)), '\n')")
-    out = out.withColumn("_at", F.when(F.size("_gone") > 0, at))
-    out = out.withColumn("_dropped", F.expr("transform(_gone, s -> _at[s])"))
+    # one-element arrays name a value for the lambda in them, so that it is computed once a row
+    kept = F.expr(r"""
+      element_at(transform(array(split(cast(text as string), '\n')), raw ->
+        element_at(transform(array(filter(sequence(0, size(raw) - 1), i -> trim(BOTH ' \t\r' FROM raw[i]) <> '')), places ->
+          array_join(transform(array_except(sequence(0, size(raw) - 1), transform(_gone, s -> places[s])), i -> raw[i]), '\n')), 1)), 1)""")
     out = out.withColumn("text", F.when(F.size("_gone") > 0, kept).otherwise(F.col("text")))
     return out.select(*docs.columns, "_lines", "_gone")
 
