@@ -107,7 +107,8 @@ def apply(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with the text after deletion, ``_lines`` (non-blank lines before) and
     ``_gone`` (numbers of the deleted ones)."""
     gone = C.spill(deletions(docs, min_words), "line-deletions").withColumnRenamed("row", "_row")
-    joined = docs.withColumn("_row", F.monotonically_increasing_id()).join(gone, "_row", "left")
+    # a shuffle join at every size: deletions grow with the corpus
+    joined = docs.withColumn("_row", F.monotonically_increasing_id()).join(gone.hint("shuffle_hash"), "_row", "left")
     out = joined.withColumns({
         "_lines": F.size(F.expr(_LINES)).cast("long"),
         "_gone": F.coalesce("gone", F.expr("cast(array() as array<int>)"))})

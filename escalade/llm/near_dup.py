@@ -304,7 +304,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 def dedup(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One document of each class, columns unchanged."""
     stays = classes(docs, threshold).filter("stays").select(F.col("row").alias("_row"))
-    return docs.withColumn("_row", F.monotonically_increasing_id()).join(stays, "_row", "left_semi").select(*docs.columns)
+    return docs.withColumn("_row", F.monotonically_increasing_id()).join(stays.hint("shuffle_hash"), "_row", "left_semi").select(*docs.columns)
 
 
 def op4_minhash_near_dedup(spark, sf_dir: str) -> DataFrame:
