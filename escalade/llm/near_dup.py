@@ -11,7 +11,7 @@ their exact probability Jaccard similarity from whole texts.
 
 Classes are the connected components of the pairs with similarity >= ``THRESHOLD``:
 1. documents of equal words are one class; only one stands in for them from here;
-2. in each bucket all members are compared with its first member (a star, not all pairs);
+2. in each bucket all members are compared with its lead (a star, not all pairs);
 3. buckets whose members are now in several components compare those outside the
    largest component with every member of another component, so that no candidate pair that
    could join two classes is left out. Their documents first get a sketch of ``SKETCH`` further
@@ -254,9 +254,15 @@ def components(links: DataFrame) -> DataFrame:
 def links(stand_ins: DataFrame, docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(node, component) of the documents in ``stand_ins`` (row, bands) that are linked."""
     members = C.spill(stand_ins.select("row", F.posexplode("bands").alias("band", "key")), "buckets")
-    buckets = members.groupBy("band", "key").agg(F.min("row").alias("lead"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    buckets = members.groupBy("band", "key").agg(F.count("*").alias("n")).filter("n > 1")
     shared = C.spill(members.join(buckets, ["band", "key"]), "shared-buckets")
-    star = C.spill(shared.filter("row <> lead").select(F.col("lead").alias("a"), F.col("row").alias("b")).distinct(), "pairs")
+    # the lead of a bucket is its member with the largest buckets: the nearest to the middle of its copies
+    weight = shared.groupBy("row").agg(F.sum("n").alias("weight"))
+    leads = shared.join(weight, "row").groupBy("band", "key").agg(F.max(F.struct("weight", (-F.col("row")).alias("row"))).alias("top")) \
+        .select("band", "key", (-F.col("top.row")).alias("lead"))
+    star = shared.join(leads, ["band", "key"]).filter("row <> lead") \
+        .select(F.least("lead", "row").alias("a"), F.greatest("lead", "row").alias("b")).distinct()
+    star = C.spill(star, "pairs")
     found = C.spill(verified(star, docs, threshold), "verified")
     joined = components(found)
 
