@@ -46,7 +46,7 @@ SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 25, 5
 REGISTERS = BANDS * ROWS
-SKETCH, SLACK = 512, 4.0
+SKETCH, SLACK = 768, 4.0
 # Shingles that are hashed together in a worker.
 CHUNK = 300_000
 CACHE_WORDS = 500_000
@@ -168,10 +168,8 @@ def _lists(rows: list, width: int) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, width), pa.int32()), pa.array(flat))
 
 
-def sketched(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """(row, sketch) of the documents in ``rows`` (row)."""
-    texts = docs.select(F.monotonically_increasing_id().alias("row"), F.col("text").cast("string").alias("text"))
-
+def sketched(texts: DataFrame, rows: DataFrame) -> DataFrame:
+    """(row, sketch) of the ``texts`` (row, text) in ``rows`` (row)."""
     def sketch(batches: Iterator) -> Iterator:
         for batch in batches:
             found = [C.words(t) for t in batch.column(1).to_pylist()]
@@ -198,10 +196,8 @@ def signed(docs: DataFrame) -> DataFrame:
         .mapInArrow(sign, "row long, doc_id long, digest binary, bands array<long>")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The pairs (a, b) of rows whose documents have at least the similarity ``threshold``."""
-    texts = docs.select(F.monotonically_increasing_id().alias("_row"), F.col("text").cast("string").alias("_text"))
-
+def verified(pairs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The pairs (a, b) of rows whose ``texts`` (row, text) have at least the similarity ``threshold``."""
     @F.arrow_udf("double")
     def compare(left: pa.Array, right: pa.Array) -> pa.Array:
         held: dict[str, tuple] = {}
@@ -215,8 +211,8 @@ def verified(pairs: DataFrame, docs: DataFrame, threshold: float = THRESHOLD) ->
 
         return pa.array([similarity(weighted(x), weighted(y)) for x, y in zip(left.to_pylist(), right.to_pylist())], pa.float64())
 
-    one = pairs.join(texts.withColumnsRenamed({"_row": "a", "_text": "ta"}), "a")
-    both = one.join(texts.withColumnsRenamed({"_row": "b", "_text": "tb"}), "b")
+    one = pairs.join(texts.withColumnsRenamed({"row": "a", "text": "ta"}), "a")
+    both = one.join(texts.withColumnsRenamed({"row": "b", "text": "tb"}), "b")
     return both.select("a", "b", compare.asNondeterministic()("ta", "tb").alias("similarity")) \
         .filter(F.col("similarity") >= threshold).select("a", "b")
 
@@ -253,9 +249,13 @@ def components(links: DataFrame) -> DataFrame:
 
 def links(stand_ins: DataFrame, docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(node, component) of the documents in ``stand_ins`` (row, bands) that are linked."""
-    members = C.spill(stand_ins.select("row", F.posexplode("bands").alias("band", "key")), "buckets")
+    members = stand_ins.select("row", F.posexplode("bands").alias("band", "key"))
     buckets = members.groupBy("band", "key").agg(F.count("*").alias("n")).filter("n > 1")
     shared = C.spill(members.join(buckets, ["band", "key"]), "shared-buckets")
+    # whole texts of the documents that share a bucket: the one time that texts are shuffled
+    some = shared.select("row").distinct().hint("shuffle_hash")
+    texts = C.spill(docs.select(F.monotonically_increasing_id().alias("row"), F.col("text").cast("string").alias("text"))
+                    .join(some, "row", "left_semi"), "candidate-texts")
     # the lead of a bucket is its member with the largest buckets: the nearest to the middle of its copies
     weight = shared.groupBy("row").agg(F.sum("n").alias("weight"))
     leads = shared.join(weight, "row").groupBy("band", "key").agg(F.max(F.struct("weight", (-F.col("row")).alias("row"))).alias("top")) \
@@ -263,7 +263,7 @@ def links(stand_ins: DataFrame, docs: DataFrame, threshold: float = THRESHOLD) -
     star = shared.join(leads, ["band", "key"]).filter("row <> lead") \
         .select(F.least("lead", "row").alias("a"), F.greatest("lead", "row").alias("b")).distinct()
     star = C.spill(star, "pairs")
-    found = C.spill(verified(star, docs, threshold), "verified")
+    found = C.spill(verified(star, texts, threshold), "verified")
     joined = components(found)
 
     # buckets whose members are still in several components
@@ -273,7 +273,7 @@ def links(stand_ins: DataFrame, docs: DataFrame, threshold: float = THRESHOLD) -
     largest = sizes.groupBy("band", "key").agg(F.max_by("part", F.struct("n", "part")).alias("main"), F.count("*").alias("parts")) \
         .filter("parts > 1").drop("parts")
     open_rows = C.spill(placed.join(largest, ["band", "key"]), "open-buckets")
-    own = sketched(docs, open_rows.select("row").distinct()).join(stand_ins, "row")
+    own = sketched(texts, open_rows.select("row").distinct()).join(stand_ins, "row")
     members = C.spill(open_rows.join(own, "row"), "open-members")
     outside = members.filter("part <> main").select("band", "key", *[F.col(c).alias(f"x_{c}") for c in ("row", "part", "bands", "sketch")])
     others = members.select("band", "key", *[F.col(c).alias(f"y_{c}") for c in ("row", "part", "bands", "sketch")])
@@ -283,7 +283,7 @@ def links(stand_ins: DataFrame, docs: DataFrame, threshold: float = THRESHOLD) -
         .filter(f"x_part <> y_part and {far} <= {distance_limit(threshold)} and not ({earlier})") \
         .select(F.least("x_row", "y_row").alias("a"), F.greatest("x_row", "y_row").alias("b")).distinct()
     rest = C.spill(rest.join(star, ["a", "b"], "left_anti"), "pairs")
-    more = verified(rest, docs, threshold)
+    more = verified(rest, texts, threshold)
     return components(found.unionByName(more))
 
 
@@ -295,7 +295,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     own = C.spill(signed(docs), "signatures")
     copies = own.filter(F.col("digest").isNotNull()).groupBy("digest").agg(F.min("row").alias("lead"))
     copies = C.spill(copies, "copies")
-    stand_ins = own.select("row", "bands").join(copies.select(F.col("lead").alias("row")), "row")
+    stand_ins = C.spill(own.select("row", "bands").join(copies.select(F.col("lead").alias("row")), "row"), "stand-ins")
     joined = links(stand_ins, docs, threshold).withColumnsRenamed({"node": "lead", "component": "_c"})
     lead = copies.join(joined, "lead", "left").select("digest", F.coalesce("_c", "lead").alias("_class"))
     member = own.select("row", "doc_id", "digest").join(lead, "digest", "left") \
