@@ -145,6 +145,12 @@ def grid_column(theta1s: Sequence[float], theta2s: Sequence[float]) -> Column:
     return F.array(*cells)
 
 
+def scored(pred: Column) -> Column:
+    """Fail a row whose tier gave no prediction (a scorer that skips rows)."""
+    return F.when(pred.isNull(), F.raise_error(F.concat(
+        F.lit("no score for sample "), F.col("sample_id").cast("string")))).otherwise(pred)
+
+
 def decide(wide: DataFrame, theta1: Column, theta2: Column, costs: Sequence[float]) -> list[Column]:
     """Decision columns of one configuration over a wide row."""
     c1, c2, c3 = (F.lit(float(c)) for c in costs)
@@ -153,7 +159,7 @@ def decide(wide: DataFrame, theta1: Column, theta2: Column, costs: Sequence[floa
             .when(checked_confidence(F.col("conf2")) >= theta2, F.lit(2))
             .otherwise(F.lit(3)))
     pick = lambda a, b, c: F.when(tier == 1, F.col(a)).when(tier == 2, F.col(b)).otherwise(F.col(c))
-    pred = pick("pred1", "pred2", "pred3")
+    pred = scored(pick("pred1", "pred2", "pred3"))
     latency = F.when(tier == 1, c1).when(tier == 2, c1 + c2).otherwise(c1 + c2 + c3)
     return [
         F.col("sample_id").alias("sample_idx"),
@@ -179,6 +185,14 @@ def route(cascade: Cascade, samples: DataFrame, theta1: float, theta2: float, fu
     return w.select(*decide(w, F.lit(t1), F.lit(t2), cascade.costs))
 
 
+def route_wide(wide: DataFrame, theta1: float, theta2: float,
+               costs: Sequence[float] = DEFAULT_TIER_COST_MS) -> DataFrame:
+    """Decisions of one configuration over a table that holds every tier's scores
+    (``wide_scores``): a projection, no join and no shuffle."""
+    t1, t2 = check_unit_interval("theta1", theta1), check_unit_interval("theta2", theta2)
+    return wide.select(*decide(wide, F.lit(t1), F.lit(t2), costs))
+
+
 def sweep_decisions(cascade: Cascade, samples: DataFrame, theta1s: Sequence[float] = DEFAULT_THETAS,
                     theta2s: Sequence[float] = DEFAULT_THETAS) -> DataFrame:
     """Decisions for every (theta1, theta2): config, theta1, theta2 + decision columns.
@@ -279,7 +293,7 @@ def ablation_two_tier(cascade: Cascade, samples: DataFrame, theta: float = TWO_T
     w = samples.select("sample_id", "gold_label", "bytes_sent").join(s1, "sample_id", "left") \
         .join(s2, "sample_id", "left")
     tier = F.when(checked_confidence(F.col("conf1")) >= F.lit(t), F.lit(1)).otherwise(F.lit(2))
-    pred = F.when(tier == 1, F.col("pred1")).otherwise(F.col("pred2"))
+    pred = scored(F.when(tier == 1, F.col("pred1")).otherwise(F.col("pred2")))
     return w.select(F.col("sample_id").alias("sample_idx"), tier.alias("tier_used"),
                     pred.cast("int").alias("prediction"), F.col("gold_label").cast("int").alias("gold_label"),
                     (pred == F.col("gold_label")).alias("correct"),
@@ -323,9 +337,10 @@ def wide_scores(cascade: Cascade, samples: DataFrame, theta1s: Sequence[float] =
 
 def decisions_from_wide(wide: DataFrame, costs: Sequence[float] = DEFAULT_TIER_COST_MS,
                         theta1s: Sequence[float] = DEFAULT_THETAS, theta2s: Sequence[float] = DEFAULT_THETAS,
-                        two_tier_theta: float = TWO_TIER_THETA) -> DataFrame:
+                        two_tier_theta: float = TWO_TIER_THETA, configs: Sequence[str] | None = None) -> DataFrame:
     """Sweep + the three ablations as one relation keyed by config: the 28
-    configurations are cells of one literal array exploded over the wide table."""
+    configurations are cells of one literal array exploded over the wide table.
+    ``configs`` names the configurations wanted (default: all)."""
     t2x = check_unit_interval("theta", two_tier_theta)
     cells = []
     for t1 in theta1s:
@@ -333,6 +348,7 @@ def decisions_from_wide(wide: DataFrame, costs: Sequence[float] = DEFAULT_TIER_C
             cells.append((config_name(t1, t2), "cascade", float(t1), float(t2)))
     cells += [("ablation_tier1_only", "tier1", None, None), ("ablation_tier3_only", "tier3", None, None),
               ("ablation_two_tier", "two_tier", t2x, None)]
+    cells = [c for c in cells if configs is None or c[0] in configs]
     arr = F.array(*[F.struct(F.lit(c).alias("config"), F.lit(m).alias("mode"),
                              F.lit(a).cast("double").alias("theta1"), F.lit(b).cast("double").alias("theta2"))
                     for c, m, a, b in cells])
@@ -346,7 +362,7 @@ def decisions_from_wide(wide: DataFrame, costs: Sequence[float] = DEFAULT_TIER_C
             .when(checked_confidence(F.col("conf2")) >= F.col("g.theta2"), F.lit(2))
             .otherwise(F.lit(3)))
     pick = lambda a, b, c: F.when(tier == 1, F.col(a)).when(tier == 2, F.col(b)).otherwise(F.col(c))
-    pred = pick("pred1", "pred2", "pred3")
+    pred = scored(pick("pred1", "pred2", "pred3"))
     latency = (F.when(mode == "tier3", c3).when(tier == 1, c1).when(tier == 2, c1 + c2)
                .otherwise(c1 + c2 + c3))
     theta1_out = F.when(mode == "cascade", F.col("g.theta1"))

@@ -217,20 +217,25 @@ class NaiveBayesTier:
                           F.array_max("proba").alias("confidence"))
 
 
-def score_fused(tiers: list[NaiveBayesTier], samples: DataFrame, keep: list[str]) -> DataFrame | None:
+def can_fuse(tiers: list[NaiveBayesTier]) -> bool:
+    """Whether ``score_fused`` can score the tiers in one pass: one shared fit, a
+    full-vocabulary tier, and every top-N vocabulary within the ranked hot terms."""
+    return (any(not t.bounded for t in tiers)
+            and all(t.counts is tiers[0].counts and t.n_folds == tiers[0].n_folds
+                    and t.n_classes == tiers[0].n_classes for t in tiers)
+            and all(t.vocab_size is None or t.vocab_size <= HOT_TERMS for t in tiers))
+
+
+def score_fused(tiers: list[NaiveBayesTier], samples: DataFrame, keep: list[str]) -> DataFrame:
     """All tiers in one pass when they share one fit (same counts, folds and
     classes) and include a full-vocabulary tier: the per-term weights are the
     same for every tier; only vocabulary membership (frequency rank <= N) and
     the per-fold header differ. One explode, one join (hot terms broadcast,
     long tail shuffled), one aggregation; returns ``keep`` + pred{k}, conf{k}
-    per tier, or None when the tiers cannot be fused."""
-    full = [t for t in tiers if not t.bounded]
-    if not full or any(t.counts is not tiers[0].counts or t.n_folds != tiers[0].n_folds
-                       or t.n_classes != tiers[0].n_classes for t in tiers):
-        return None
-    if any(t.vocab_size is not None and t.vocab_size > HOT_TERMS for t in tiers):
-        return None
-    ref, L = full[0], tiers[0].n_classes
+    per tier. See ``can_fuse`` for what the tiers must share."""
+    if not can_fuse(tiers):
+        raise ValueError("these tiers cannot be scored in one pass; score them in stages")
+    ref, L = next(t for t in tiers if not t.bounded), tiers[0].n_classes
     keys = list(dict.fromkeys(["sample_id", "fold", *keep]))
     occ = token_occurrences(samples, keys, outer=True)
     hot = occ.join(F.broadcast(ref.hot_model), "term")

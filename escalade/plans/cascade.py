@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from escalade.functions.text import utf8_bytes
 from escalade.operators.labels import collect_labels, encode_with_list, label_dictionary
 from escalade.operators.routing import Cascade, decisions_from_wide, wide_scores
-from escalade.operators.scoring import (NaiveBayesTier, class_fold_docs, score_fused, term_class_counts,
+from escalade.operators.scoring import (NaiveBayesTier, can_fuse, class_fold_docs, score_fused, term_class_counts,
                                         token_occurrences, token_table)
 from escalade.session import materialize
 from escalade.sources.tables import balanced, read_table
@@ -84,6 +84,11 @@ def _signature(spark: SparkSession, path: str) -> tuple:
     return (st.getLength(), st.getFileCount(), fs.getFileStatus(p).getModificationTime())
 
 
+def _session_key(spark: SparkSession) -> tuple:
+    """Names this session for good (an object's address may be used again)."""
+    return spark.sparkContext.applicationId, spark._jsparkSession.sessionUUID()
+
+
 _TOKENS: dict[tuple, DataFrame] = {}
 
 
@@ -93,7 +98,7 @@ def corpus_tokens(spark: SparkSession, sf_dir: str, n_folds: int = N_FOLDS) -> D
     text plans of this session: the corpus is tokenised once."""
     import os
     path = os.path.join(sf_dir, "documents.parquet")
-    key = (id(spark._jsparkSession), os.path.abspath(sf_dir), _signature(spark, path), n_folds)
+    key = (*_session_key(spark), sf_dir, _signature(spark, path), n_folds)
     if key not in _TOKENS:
         if len(_TOKENS) >= MAX_FITTED:
             _TOKENS.pop(next(iter(_TOKENS)))
@@ -107,7 +112,7 @@ def build(spark: SparkSession, sf_dir: str, vocab1: int = TIER1_VOCAB, vocab2: i
     """The fitted cascade for ``<sf_dir>/documents.parquet`` (memoised per session and input)."""
     import os
     path = os.path.join(sf_dir, "documents.parquet")
-    key = (id(spark._jsparkSession), os.path.abspath(sf_dir), _signature(spark, path), vocab1, vocab2, n_folds)
+    key = (*_session_key(spark), sf_dir, _signature(spark, path), vocab1, vocab2, n_folds)
     if key not in _FITTED:
         if len(_FITTED) >= MAX_FITTED:
             _FITTED.pop(next(iter(_FITTED)))
@@ -158,5 +163,5 @@ def fit_token_cascade(toks: DataFrame, vocab1: int = TIER1_VOCAB, vocab2: int =
         return w.select("sample_id", "gold_label", "bytes_sent", "pred1", "conf1", "pred2", "conf2", "pred3", "conf3")
 
     casc = Cascade(lambda s: t1.score(s, keep), lambda s: t2.score(s, keep), lambda s: t3.score(s, keep),
-                   fused=fused)
+                   fused=fused if can_fuse([t1, t2, t3]) else None)
     return DocumentCascade(samples, labels, (t1, t2, t3), casc)

@@ -14,6 +14,7 @@ from escalade.operators.labels import label_dictionary
 from escalade.plans import cascade as C
 from escalade.plans.oracle import with_cascade, with_cascade_extra, with_decisions, with_decisions_extra
 from escalade.plans.registry import plan, rounded
+from escalade.schemas import DECISION_COLUMNS
 from escalade.sources.tables import read_table
 
 # The configuration pair compared by McNemar and the single route shown.
@@ -46,7 +47,7 @@ FROM (SELECT *, CASE WHEN conf1 >= {ROUTE_THETA1} THEN 1 WHEN conf2 >= {ROUTE_TH
       FROM wide)"""))
 def q_route(spark, sf_dir):
     dc = C.build(spark, sf_dir)
-    d = R.route(dc.cascade, dc.samples, ROUTE_THETA1, ROUTE_THETA2)
+    d = R.route_wide(dc.wide(), ROUTE_THETA1, ROUTE_THETA2, dc.cascade.costs)
     return rounded(d.select("sample_idx", "tier_used", "prediction", "confidence"))
 
 
@@ -54,32 +55,38 @@ def q_route(spark, sf_dir):
     f"SELECT {DEC_COLS} FROM decisions WHERE config = '{R.config_name(ROUTE_THETA1, ROUTE_THETA2)}'"))
 def q_run_cascade(spark, sf_dir):
     dc = C.build(spark, sf_dir)
-    return rounded(R.route(dc.cascade, dc.samples, ROUTE_THETA1, ROUTE_THETA2))
+    return rounded(R.route_wide(dc.wide(), ROUTE_THETA1, ROUTE_THETA2, dc.cascade.costs))
+
+
+def _one(dc: C.DocumentCascade, config: str) -> DataFrame:
+    """Decisions of one configuration, read off the wide table."""
+    return R.decisions_from_wide(dc.wide(), dc.cascade.costs, configs=[config]).select(*DECISION_COLUMNS)
 
 
 @plan("ablation_tier1", with_decisions(f"SELECT {DEC_COLS} FROM decisions WHERE config = 'ablation_tier1_only'"))
 def q_ablation_tier1(spark, sf_dir):
     dc = C.build(spark, sf_dir)
-    return rounded(R.ablation_tier1(dc.cascade, dc.samples))
+    return rounded(_one(dc, "ablation_tier1_only"))
 
 
 @plan("ablation_tier3", with_decisions(f"SELECT {DEC_COLS} FROM decisions WHERE config = 'ablation_tier3_only'"))
 def q_ablation_tier3(spark, sf_dir):
     dc = C.build(spark, sf_dir)
-    return rounded(R.ablation_tier3(dc.cascade, dc.samples))
+    return rounded(_one(dc, "ablation_tier3_only"))
 
 
 @plan("ablation_two_tier", with_decisions(f"SELECT {DEC_COLS} FROM decisions WHERE config = 'ablation_two_tier'"))
 def q_ablation_two_tier(spark, sf_dir):
     dc = C.build(spark, sf_dir)
-    return rounded(R.ablation_two_tier(dc.cascade, dc.samples))
+    return rounded(_one(dc, "ablation_two_tier"))
 
 
 @plan("sweep_decisions", with_decisions(
     f"SELECT config, theta1, theta2, {DEC_COLS} FROM decisions WHERE theta1 IS NOT NULL"))
 def q_sweep_decisions(spark, sf_dir):
     dc = C.build(spark, sf_dir)
-    return rounded(R.sweep_decisions(dc.cascade, dc.samples))
+    grid = [R.config_name(a, b) for a in R.DEFAULT_THETAS for b in R.DEFAULT_THETAS]
+    return rounded(R.decisions_from_wide(dc.wide(), dc.cascade.costs, configs=grid))
 
 
 def _rates_sql(dp: int | None) -> str:

@@ -54,7 +54,7 @@ FROM decisions WHERE config = '{CFG}'""")
 def q_decision_log(spark, sf_dir):
     dc = C.build(spark, sf_dir)
     out = _scratch(spark, "decision-log")
-    RS.decision_log(R.route(dc.cascade, dc.samples, 0.7, 0.7), out)
+    RS.decision_log(R.route_wide(dc.wide(), 0.7, 0.7, dc.cascade.costs), out)
     back = RS.read_decision_log(spark, out)
     return rounded(back.select("sample_id", "tier_used", "correct", "latency_ms", "bytes_sent"))
 
@@ -81,7 +81,7 @@ def q_profile_union(spark, sf_dir):
 
 
 CONV_SPLIT_SQL = """
-ckey AS (SELECT conv_id, turn, role, text, (conv_id * 1000 + turn)::VARCHAR AS k FROM conversations),
+ckey AS (SELECT conv_id, turn, role, text, conv_id::VARCHAR || ':' || turn::VARCHAR AS k FROM conversations),
 cls AS (SELECT role, count(*) AS n FROM ckey GROUP BY role),
 q0 AS (SELECT role, n, sum(n) OVER () AS big_n, ceil(sum(n) OVER () * 0.2) AS t FROM cls),
 q1 AS (SELECT *, t * n / big_n AS ex, floor(t * n / big_n) AS fl FROM q0),
@@ -99,10 +99,10 @@ def q_corpus_scan(spark, sf_dir):
     stratified 80/20 split by role) -> corpus scan."""
     from escalade.operators.sampling import stratified_split
     out = _scratch(spark, "corpus")
-    conv = read_table(spark, sf_dir, "conversations").withColumn("k", F.col("conv_id") * 1000 + F.col("turn"))
+    conv = read_table(spark, sf_dir, "conversations").withColumn("k", F.concat_ws(":", "conv_id", "turn"))
     sp = stratified_split(conv, "role", "k", 0.2, seed=42)
-    CO.write_corpus_lines(sp.where(F.col("split") == "train"), "role", "text", out, split="train")
-    CO.write_corpus_lines(sp.where(F.col("split") == "test"), "role", "text", out, split="validate", mode="append")
+    named = sp.withColumn("split", F.when(F.col("split") == "test", F.lit("validate")).otherwise(F.col("split")))
+    CO.write_corpus_lines(named, "role", "text", out)
     return CO.corpus_scan(spark, out, json_lines=True).select("split", "intent", "text")
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -39,40 +40,46 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
     return spark
 
 
+# Scratch folders of local sessions, by application.
+_LOCAL_DIRS: dict[str, str] = {}
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the session's checkpoint directory.
 
-    On a cluster ``spark.checkpoint.dir`` names a shared folder and is used
-    as is. Only when it is unset (local tests) do we create a scratch one.
+    On a cluster ``spark.checkpoint.dir`` (or the context's checkpoint folder)
+    names a shared folder and is used as is; without one this is an error, as
+    executors don't share a local folder. A ``local`` master gets a scratch folder.
     """
     sc = spark.sparkContext
-    d = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    d = (spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+         or sc.getCheckpointDir() or _LOCAL_DIRS.get(sc.applicationId))
     if not d:
-        d = tempfile.mkdtemp(prefix="escalade-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        d = _LOCAL_DIRS[sc.applicationId] = tempfile.mkdtemp(prefix="escalade-ckpt-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(d)
     return d
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A path for an intermediate table under the shared checkpoint folder."""
-    base = ensure_checkpoint_dir(spark)
-    return os.path.join(base, name)
+    """A path for an intermediate table under the shared checkpoint folder,
+    in this application's own folder (see ``drop_scratch``)."""
+    return os.path.join(ensure_checkpoint_dir(spark), f"escalade-{spark.sparkContext.applicationId}", name)
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Remove this application's intermediate tables; DataFrames that read them end with it."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(scratch_path(spark, "x")).getParent()
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def materialize(df, name: str):
-    """Compute ``df`` once and cut its lineage with a reliable checkpoint in
-    the session's shared checkpoint folder (survives executor loss).
+    """Compute ``df`` once: written as Parquet to the shared folder and read back.
 
-    The plan is persisted while the checkpoint is written: an unpersisted
-    ``checkpoint`` computes its plan twice (once to count, once to write).
+    Cuts the lineage and survives executor loss; readers prune columns and push filters.
     """
-    from pyspark import StorageLevel
-
-    ensure_checkpoint_dir(df.sparkSession)
-    df.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        return df.checkpoint(eager=True)
-    finally:
-        df.unpersist()
+    path = scratch_path(df.sparkSession, f"{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
