@@ -13,11 +13,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from escalade.operators.labels import label_decode
+from escalade.schemas import require_columns
 
 
 def confusion(df: DataFrame, gold: str = "gold_label", pred: str = "prediction",
               group: Sequence[str] = ("config",)) -> DataFrame:
     """Counts per (group, gold, pred)."""
+    require_columns(df, [*group, gold, pred])
     return df.groupBy(*group, F.col(gold).alias("gold"), F.col(pred).alias("pred")) \
         .agg(F.count(F.lit(1)).alias("n"))
 

@@ -8,14 +8,20 @@ decoded, and parsed with ``from_json`` into a map keyed by intent.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import os
+import warnings
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from escalade.functions.text import py_strip
+from escalade.schemas import INTENT_LABELS
+from escalade.sources.results import list_names
 
 CORPUS_SCHEMA = "map<string,array<struct<data:array<struct<text:string,entity:string>>>>>"
-# File-name patterns of the two splits.
-SPLIT_PATTERNS = {"train": "train_*.json", "validate": "validate_*.json"}
+# File name of an intent in each split.
+SPLIT_FILES = {"train": "train_{intent}_full.json", "validate": "validate_{intent}.json"}
 
 
 def flatten_utterance(data: Column) -> Column:
@@ -28,45 +34,52 @@ def flatten_utterance(data: Column) -> Column:
 
 
 def parse_corpus(docs: DataFrame, content_col: str = "content") -> DataFrame:
-    """(file_name, utt_index, intent, text) from rows holding one corpus JSON document each."""
-    m = docs.select("file_name", F.from_json(F.col(content_col), CORPUS_SCHEMA).alias("m"))
-    e = m.select("file_name", F.explode("m").alias("intent", "utts"))
-    u = e.select("file_name", "intent", F.posexplode("utts").alias("utt_index", "u"))
+    """(file_name, utt_index, intent, text) from rows (file_name, intent, content), each
+    holding one corpus JSON document.
+
+    A document that is no valid JSON of this form, or has no key ``intent``, fails the job.
+    """
+    m = docs.select("file_name", "intent", F.from_json(F.col(content_col), CORPUS_SCHEMA, {"mode": "FAILFAST"}).alias("m"))
+    utts = F.when(F.map_contains_key(F.coalesce("m", F.create_map().cast(CORPUS_SCHEMA)), F.col("intent")), F.col("m")[F.col("intent")]) \
+        .otherwise(F.raise_error(F.concat(F.lit("no utterances of "), F.col("intent"), F.lit(" in "), F.col("file_name"))))
+    u = m.select("file_name", "intent", F.posexplode(utts).alias("utt_index", "u"))
     return u.select("file_name", "utt_index", "intent", flatten_utterance(F.col("u.data")).alias("text"))
 
 
-def corpus_scan(spark: SparkSession, path: str, encoding: str = "ISO-8859-1", json_lines: bool = False) -> DataFrame:
-    """(split, file_name, utt_index, intent, text) for both splits under ``path``.
+def corpus_scan(spark: SparkSession, path: str, encoding: str = "ISO-8859-1", json_lines: bool = False,
+                intents: Sequence[str] = tuple(INTENT_LABELS)) -> DataFrame:
+    """(split, file_name, utt_index, intent, text) of both splits under ``path``.
 
-    Whole files (default, latin-1 bytes decoded) or JSON lines. A missing
-    split is skipped; no file at all is an error (checked on the file list
-    only, no data is read on the driver).
+    Whole files (default; latin-1 bytes decoded): ``SPLIT_FILES`` names one file per
+    split and intent, other files are ignored, a missing one gives a warning, none at
+    all is an error. ``json_lines``: the layout of ``write_corpus_lines``
+    (``split=.../intent=...`` folders), for corpora beyond one file per intent.
     """
-    import fnmatch
-    import warnings
-
-    from escalade.sources.results import list_names
-
     names = list_names(spark, path)
-    frames = []
-    for split, pattern in SPLIT_PATTERNS.items():
-        if not any(fnmatch.fnmatch(n, pattern) for n in names):
-            warnings.warn(f"no {split} corpus files ({pattern}) under {path}")
-            continue
-        if json_lines:
-            r = spark.read.option("pathGlobFilter", pattern).text(path)
-            r = r.select(F.col("_metadata.file_name").alias("file_name"), F.col("value").alias("content"))
-        else:
-            r = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
-            r = r.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("file_name"),
-                         F.decode("content", encoding).alias("content"))
-        frames.append(parse_corpus(r).withColumn("split", F.lit(split)))
-    if not frames:
-        raise FileNotFoundError(f"no corpus files under {path}")
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
-    return out.select("split", "file_name", "utt_index", "intent", "text")
+    if json_lines:
+        if not any(n.startswith("split=") for n in names):
+            raise FileNotFoundError(f"no corpus files under {path}")
+        r = spark.read.schema("value string, split string, intent string").text(path)
+        r = r.select("split", F.col("_metadata.file_name").alias("file_name"), "intent", F.col("value").alias("content"))
+    else:
+        wanted = {pattern.format(intent=i): (split, i) for split, pattern in SPLIT_FILES.items() for i in intents}
+        for name in wanted:
+            if name not in names:
+                warnings.warn(f"no corpus file {name} under {path}")
+        found = [n for n in wanted if n in names]
+        if not found:
+            raise FileNotFoundError(f"no corpus files under {path}")
+        r = spark.read.format("binaryFile").load([os.path.join(path, n) for n in found])
+        at = F.regexp_extract("path", r"([^/]+)$", 1)
+        split, intent = F.lit(None).cast("string"), F.lit(None).cast("string")
+        for name in found:
+            split = F.when(at == name, F.lit(wanted[name][0])).otherwise(split)
+            intent = F.when(at == name, F.lit(wanted[name][1])).otherwise(intent)
+        r = r.select(split.alias("split"), at.alias("file_name"), intent.alias("intent"), F.decode("content", encoding).alias("content"))
+    parts = r.withColumn("file_name", F.concat_ws("/", "split", "file_name"))
+    out = parse_corpus(parts)
+    return out.select(F.substring_index("file_name", "/", 1).alias("split"), F.substring_index("file_name", "/", -1).alias("file_name"),
+                      "utt_index", "intent", "text")
 
 
 def flatten_turns(turns: DataFrame, key: str, order: str, text: str) -> DataFrame:
@@ -77,21 +90,11 @@ def flatten_turns(turns: DataFrame, key: str, order: str, text: str) -> DataFram
     return g.select(key, py_strip(F.array_join(F.transform("s", lambda x: x["t"]), "")).alias("text"))
 
 
-def write_corpus_lines(turns: DataFrame, intent_col: str, text_col: str, path: str, split: str = "train",
+def write_corpus_lines(turns: DataFrame, intent_col: str, text_col: str, path: str, split_col: str = "split",
                        mode: str = "overwrite") -> None:
-    """Write rows as JSON-lines corpus documents (one utterance each) to
-    ``path``; file names follow the split pattern. ``mode='append'`` adds a
-    second split to the same folder."""
+    """Write rows as JSON-lines corpus documents (one utterance each) in
+    ``split=.../intent=...`` folders, which ``corpus_scan(json_lines=True)`` reads."""
     doc = F.to_json(F.create_map(F.col(intent_col), F.array(F.struct(
         F.array(F.struct(F.col(text_col).alias("text"), F.lit(None).cast("string").alias("entity"))).alias("data")))))
-    tmp = turns.select(doc.alias("value"))
-    tmp.write.mode(mode).text(path)
-    # name the parts after the split so the scanner's pattern selects them
-    jvm = turns.sparkSession._jvm
-    conf = turns.sparkSession._jsc.hadoopConfiguration()
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(conf)
-    for st in fs.listStatus(p):
-        name = st.getPath().getName()
-        if name.startswith("part-"):
-            fs.rename(st.getPath(), jvm.org.apache.hadoop.fs.Path(path, f"{split}_{name}.json"))
+    out = turns.select(F.col(split_col).alias("split"), F.col(intent_col).alias("intent"), doc.alias("value"))
+    out.write.mode(mode).partitionBy("split", "intent").text(path)

@@ -8,9 +8,10 @@ and thresholds from the file path with ``regexp_extract``.
 
 from __future__ import annotations
 
+import fnmatch
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -46,14 +47,15 @@ def save_results(decisions: DataFrame, path: str, fmt: str = "csv") -> None:
     overwrite). An empty input is an error.
     """
     require_columns(decisions, ["config", *DECISION_COLUMNS])
-    w = (decisions.select("config", *DECISION_COLUMNS).write.mode("overwrite")
-         .option("partitionOverwriteMode", "dynamic").partitionBy("config"))
+    # rows are counted while they are written (no second pass over the input)
+    seen = Observation()
+    w = (decisions.select("config", *DECISION_COLUMNS).observe(seen, F.count(F.lit(1)).alias("n"))
+         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("config"))
     if fmt == "csv":
         w.option("header", True).csv(path)
     else:
         w.format(fmt).save(path)
-    # emptiness is checked on what was written (no second pass over the input)
-    if not any(n.startswith("config=") for n in list_names(decisions.sparkSession, path)):
+    if not seen.get["n"]:
         raise ValueError("no results to save")
 
 
@@ -78,15 +80,18 @@ def load_results(spark: SparkSession, path: str, pattern: str = "*", fmt: str =
         reader = reader.option("header", True)
     entries = [e for e in list_names(spark, path) if not e.startswith((".", "_"))]
     partitioned = any(e.startswith("config=") for e in entries)
+    glob = pattern if pattern.endswith(f".{fmt}") else f"{pattern}.{fmt}"
+    if not entries:
+        raise FileNotFoundError(f"{path} holds no results")
     if partitioned:
         df = reader.schema(T.StructType(schema.fields + [T.StructField("config", T.StringType())])) \
             .option("basePath", path).format(fmt).load(os.path.join(path, f"config={pattern}"))
     else:
-        glob = pattern if pattern.endswith(f".{fmt}") else f"{pattern}.{fmt}"
         df = reader.option("pathGlobFilter", glob).format(fmt).load(path)
         df = df.withColumn("config", F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.[^.]+$", 1))
-    if not df.inputFiles():
-        raise FileNotFoundError(f"No files matching '{pattern}' found in '{path}'.")
+    shown = [fnmatch.fnmatch(e.removeprefix("config=") if partitioned else e, pattern if partitioned else glob) for e in entries]
+    if not any(shown):
+        raise FileNotFoundError(f"{path} holds no result of a configuration named like {pattern}")
     return with_thetas(df).select("config", "theta1", "theta2", *DECISION_COLUMNS)
 
 
@@ -131,17 +136,11 @@ def profile_union(spark: SparkSession, paths: list[str]) -> DataFrame:
     return out
 
 
-# Upper bound on rows of a report written as a single file.
-MAX_REPORT_ROWS = 1_000_000
+def save_report(report: DataFrame, path: str, single_file: bool = True) -> None:
+    """Overwrite a report (escalation rates, Pareto front, cost per config...)
+    as CSV with a header.
 
-
-def save_report(report: DataFrame, path: str) -> None:
-    """Overwrite an aggregated report (escalation rates, Pareto front, cost
-    per config...) as one CSV file with a header.
-
-    Reports are aggregates with one row per configuration, so a single
-    writer task is bounded; the bound is checked before writing.
+    ``single_file`` writes one file: reports have one row per configuration. Set
+    it off for a relation that grows with the data.
     """
-    if report.limit(MAX_REPORT_ROWS + 1).count() > MAX_REPORT_ROWS:
-        raise ValueError("report too large for a single file; use save_results")
-    report.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    (report.coalesce(1) if single_file else report).write.mode("overwrite").option("header", True).csv(path)
