@@ -6,6 +6,7 @@ they stay inside whole-stage code generation.
 
 from __future__ import annotations
 
+import sys
 import unicodedata
 from functools import lru_cache
 
@@ -22,29 +23,47 @@ SPLIT_PATTERN = "[^\\p{L}\\p{N}_]+"
 def accent_table() -> tuple[str, str]:
     """(from, to) strings for ``translate`` that fold accents like NFKD.
 
-    Built from the Unicode database by a rule: a BMP code point whose NFKD
-    form is one non-combining base followed only by combining marks maps to
-    that base; a combining mark maps to nothing (``translate`` deletes the
-    characters of ``from`` beyond the length of ``to``).
+    Built from the Unicode database by a rule: a code point whose NFKD form
+    without combining marks is another single character maps to that; a
+    combining mark maps to nothing (``translate`` deletes the characters of
+    ``from`` beyond the length of ``to``).
     """
     src, dst, dele = [], [], []
-    for cp in range(0x80, 0x10000):
-        ch = chr(cp)
-        if 0xD800 <= cp <= 0xDFFF:
-            continue
-        if unicodedata.combining(ch):
+    for ch, d in _foldings():
+        if not d:
             dele.append(ch)
-            continue
-        d = unicodedata.normalize("NFKD", ch)
-        if len(d) >= 2 and not unicodedata.combining(d[0]) and all(unicodedata.combining(c) for c in d[1:]):
+        elif len(d) == 1:
             src.append(ch)
-            dst.append(d[0])
+            dst.append(d)
     return "".join(src) + "".join(dele), "".join(dst)
 
 
+def _foldings():
+    """(character, its NFKD form without combining marks) where the two differ."""
+    for cp in range(0x80, sys.maxunicode + 1):
+        if 0xD800 <= cp <= 0xDFFF or 0xAC00 <= cp <= 0xD7A3:  # surrogates; Hangul syllables hold no letters to keep
+            continue
+        ch = chr(cp)
+        d = "".join(c for c in unicodedata.normalize("NFKD", ch) if not unicodedata.combining(c))
+        if d != ch:
+            yield ch, d
+
+
+@lru_cache(maxsize=1)
+def expansion_table() -> list[tuple[str, str]]:
+    """(character, text) for characters that fold to several ones (ligatures,
+    units, ...), where that text holds an ASCII letter."""
+    return [(ch, d) for ch, d in _foldings() if len(d) > 1 and any("a" <= c.lower() <= "z" for c in d)]
+
+
 def strip_accents(c: Column) -> Column:
     src, dst = accent_table()
-    return F.translate(c, src, dst)
+    many = expansion_table()
+    pairs = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in many])
+    # only rows that hold such a character pay for the replacements
+    longer = F.aggregate(pairs, c, lambda t, p: F.replace(t, p["a"], p["b"]))
+    has = c.rlike("[" + "".join(a for a, _ in many) + "]")
+    return F.translate(F.when(has, longer).otherwise(c), src, dst)
 
 
 def py_strip(c: Column) -> Column:

@@ -7,6 +7,7 @@ table joined by shuffle.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -75,23 +76,33 @@ PAD_ID, UNK_ID, FIRST_ID = 0, 1, 2
 
 
 def fixed_length_ids(df: DataFrame, id_col: str, vocab: DataFrame, max_len: int,
-                     text_col: str = "text", terms_col: str = "terms") -> DataFrame:
+                     text_col: str = "text", terms_col: str = "terms", label_col: str | None = None) -> DataFrame:
     """Whole-text id windows: the token ids of each document cut into
     consecutive windows of ``max_len`` (the last one padded), so no token is
-    dropped. Output (id, window, input_ids, attention_mask), arrays of length
-    ``max_len``. Each window collects at most ``max_len`` ids."""
+    dropped; a text without tokens gives one window of padding. Output (id,
+    window, input_ids, attention_mask[, labels]), arrays of length ``max_len``.
+
+    ``vocab`` is a top-N table (``vocabulary``): N rows, held by every task;
+    each document's token array is mapped in place, without a shuffle.
+    """
     if max_len <= 0:
         raise ValueError("max_len must be > 0")
-    occ = df.select(id_col, F.posexplode(_tokens(df, text_col, terms_col)).alias("pos", "term"))
-    v = vocab.select("term", (F.col("term_id") + FIRST_ID).alias("tid"))
-    ids = occ.join(v, "term", "left").select(
-        id_col, "pos", F.coalesce(F.col("tid"), F.lit(UNK_ID)).cast("long").alias("tid"))
-    win = ids.withColumn("window", (F.col("pos") / max_len).cast("int"))
-    g = win.groupBy(id_col, "window").agg(F.array_sort(F.collect_list(F.struct("pos", "tid"))).alias("s"))
-    seq = F.transform(F.col("s"), lambda x: x["tid"])
+    known = {r["term"]: r["term_id"] + FIRST_ID for r in vocab.select("term", "term_id").collect()}
+    shared = df.sparkSession.sparkContext.broadcast(known)
+
+    @F.arrow_udf("array<bigint>")
+    def to_ids(terms: pa.Array) -> pa.Array:
+        get = shared.value.get
+        return pa.array([None if t is None else [get(x, UNK_ID) for x in t] for t in terms.to_pylist()], pa.list_(pa.int64()))
+
+    extra = [F.col(label_col).alias("labels")] if label_col else []
+    ids = df.select(id_col, *extra, F.coalesce(to_ids(_tokens(df, text_col, terms_col)), F.expr("cast(array() as array<bigint>)")).alias("__ids"))
+    windows = F.sequence(F.lit(0), F.greatest(F.ceil(F.size("__ids") / max_len).cast("int") - 1, F.lit(0)))
+    win = ids.withColumn("window", F.explode(windows))
+    seq = F.slice("__ids", F.col("window") * max_len + 1, max_len)
     pad = F.lit(max_len) - F.size(seq)
-    return g.select(
+    return win.select(
         id_col, "window",
         F.concat(seq, F.array_repeat(F.lit(PAD_ID).cast("long"), pad)).alias("input_ids"),
         F.concat(F.array_repeat(F.lit(1).cast("long"), F.size(seq)),
-                 F.array_repeat(F.lit(0).cast("long"), pad)).alias("attention_mask"))
+                 F.array_repeat(F.lit(0).cast("long"), pad)).alias("attention_mask"), *(["labels"] if label_col else []))

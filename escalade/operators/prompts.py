@@ -21,25 +21,33 @@ def _msg(role: str | Column, content: Column) -> Column:
     return F.struct(r.alias("role"), content.alias("content"))
 
 
-def chat_messages(samples: DataFrame, text_col: str, pool: DataFrame, task: str, labels: list[str],
-                  pool_text: str = "text", pool_label: str = "label", pool_order: list[str] | None = None) -> DataFrame:
-    """Adds ``messages`` = array<struct<role, content>>: the system message,
-    one user/assistant pair per few-shot example, then the sample.
+def preamble(pool: DataFrame, task: str, labels: list[str], pool_text: str = "text", pool_label: str = "label",
+             pool_order: list[str] | None = None) -> DataFrame:
+    """One row with ``messages`` = array<struct<role, content>>: the system message and one
+    user/assistant pair per few-shot example. All prompts share it.
 
-    The pool is at most k x classes rows by construction: it is gathered
-    into one array and broadcast to every sample row.
+    The pool is at most k x classes rows by construction.
     """
     order = pool_order or [pool_label, "rank"]
     ex = pool.select(F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)],
                               F.col(pool_text).alias("t"), F.col(pool_label).cast("string").alias("l")).alias("e"))
-    ordered = F.array_sort(F.collect_list("e"))
-    pair_msgs = F.flatten(F.transform(ordered, lambda e: F.array(_msg("user", e["t"]), _msg("assistant", e["l"]))))
-    # uncorrelated scalar subquery: evaluated once, its value shipped to every task
-    pairs = ex.agg(pair_msgs).scalar()
-    sys_msg = _msg("system", F.lit(system_message(task, labels)))
-    msgs = F.concat(F.array(sys_msg), F.coalesce(pairs, F.array().cast(
-        "array<struct<role:string,content:string>>")), F.array(_msg("user", F.col(text_col))))
-    return samples.withColumn("messages", msgs)
+    pairs = F.flatten(F.transform(F.array_sort(F.collect_list("e")),
+                                  lambda e: F.array(_msg("user", e["t"]), _msg("assistant", e["l"]))))
+    return ex.agg(F.concat(F.array(_msg("system", F.lit(system_message(task, labels)))), pairs).alias("messages"))
+
+
+def user_messages(samples: DataFrame, text_col: str, lead: DataFrame) -> DataFrame:
+    """Adds (msg_idx, role, content): each sample's own message, which follows the
+    preamble ``lead`` (one row) without repeating it."""
+    n = lead.select(F.size("messages")).scalar()
+    return samples.withColumns({"msg_idx": n.cast("int"), "role": F.lit("user"), "content": F.col(text_col)})
+
+
+def chat_messages(samples: DataFrame, text_col: str, lead: DataFrame) -> DataFrame:
+    """Adds ``messages``: the preamble ``lead`` (one row, read once by a scalar subquery),
+    then the sample."""
+    return samples.withColumn("messages", F.concat(
+        lead.select("messages").scalar(), F.array(_msg("user", F.col(text_col)))))
 
 
 # A chat template in the style of common instruction models.

@@ -2,9 +2,10 @@
 
 Randomness is a seeded hash of the row key (``md5(seed:key)``), so results
 are deterministic, reproducible across engines and independent of
-partitioning. The split never ranks a whole class in one task: rows are
-bucketed by the leading hex digits of their hash, whole buckets are taken by
-cumulative count, and only the one boundary bucket per class is ranked.
+partitioning. The split never ranks a whole class in one task and never moves
+the rows: counts per leading hex digits of the hash find each class's boundary
+bucket, only that bucket's places are ranked, and the resulting last place per
+class is compared with each row's own.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BUCKET_HEX_DIGITS = 3  # 4,096 buckets
 
@@ -28,57 +30,88 @@ def stratified_split(df: DataFrame, label_col: str, key_col: str, test_ratio: fl
 
     Test size is ceil(n * ratio), shared among classes in proportion to
     their size by largest remainder (ties by class). A class with fewer than
-    2 rows, or a test set smaller than the number of classes, is an error.
+    2 rows, a test set smaller than the number of classes, or a row without
+    a label is an error, raised when the plan is built.
 
     With ``group_col`` (e.g. a hash of the text) whole groups are allotted
     within a class, in seeded group order, while the quota is not yet met:
-    copies never straddle the split, and a class's test part exceeds its
-    quota by less than the size of one group.
+    copies of one class never straddle the split (the same text under two
+    labels may), and a class's test part exceeds its quota by less than the
+    size of one group.
     """
     if not 0.0 < test_ratio < 1.0:
         raise ValueError("test_ratio must be in (0, 1)")
-    unit = F.col(group_col).cast("string") if group_col else F.col(key_col).cast("string")
-    h = hash_key(unit, seed)
-    d = df.withColumn("__h", F.concat(h, F.lit(":"), unit)) \
-          .withColumn("__b", F.substring(h, 1, BUCKET_HEX_DIGITS))
-    # class sizes and quotas (aggregated rows: one per class)
-    cls = d.groupBy(label_col).agg(F.count(F.lit(1)).alias("__cnt"))
-    tot = F.sum("__cnt").over(Window.partitionBy())
-    q = cls.withColumn("__total", tot).withColumn("__tsize", F.ceil(F.col("__total") * F.lit(test_ratio)))
-    q = q.withColumn("__exact", F.col("__tsize") * F.col("__cnt") / F.col("__total"))
-    q = q.withColumn("__floor", F.floor("__exact")).withColumn("__rem", F.col("__exact") - F.col("__floor"))
-    left = F.col("__tsize") - F.sum("__floor").over(Window.partitionBy())
-    rk = F.row_number().over(Window.orderBy(F.col("__rem").desc(), F.col(label_col)))
-    q = q.withColumn("__quota", (F.col("__floor") + F.when(rk <= left, 1).otherwise(0)).cast("long"))
-    q = q.withColumn("__err", F.when(F.col("__cnt") < 2, F.raise_error(F.lit("a class has fewer than 2 rows")))
-                     .when(F.col("__tsize") < F.count(F.lit(1)).over(Window.partitionBy()),
-                           F.raise_error(F.lit("test set smaller than the number of classes"))))
-    q = q.select(label_col, "__quota", "__err")
-    # per (class, bucket) counts -> boundary bucket per class
-    bc = d.groupBy(label_col, "__b").agg(F.count(F.lit(1)).alias("__c"))
-    wb = Window.partitionBy(label_col).orderBy("__b").rowsBetween(Window.unboundedPreceding, 0)
-    bc = bc.withColumn("__cum", F.sum("__c").over(wb)).join(q, label_col)
-    bc = bc.withColumn("__before", F.col("__cum") - F.col("__c"))
-    bc = bc.select(label_col, "__b", F.isnull("__err").alias("__ok"),
-                   F.when(F.col("__cum") <= F.col("__quota"), F.lit("all"))
-                   .when(F.col("__before") >= F.col("__quota"), F.lit("none"))
-                   .otherwise(F.lit("partial")).alias("__take"),
-                   (F.col("__quota") - F.col("__before")).alias("__need"))
-    j = d.join(bc, [label_col, "__b"])
-    part = j.where(F.col("__take") == "partial")
-    if group_col:
-        # whole groups of the boundary bucket while the quota is not yet met
-        g = part.groupBy(label_col, "__b", "__h", "__need").agg(F.count(F.lit(1)).alias("__gc"))
-        wg = Window.partitionBy(label_col, "__b").orderBy("__h").rowsBetween(Window.unboundedPreceding, 0)
-        g = g.withColumn("__test", (F.sum("__gc").over(wg) - F.col("__gc")) < F.col("__need"))
-        part = part.join(g.select(label_col, "__b", "__h", "__test"), [label_col, "__b", "__h"])
-    else:
-        wr = Window.partitionBy(label_col, "__b").orderBy("__h")
-        part = part.withColumn("__test", F.row_number().over(wr) <= F.col("__need"))
-    rest = j.where(F.col("__take") != "partial").withColumn("__test", F.col("__take") == "all")
-    out = part.unionByName(rest)
-    out = out.withColumn("split", F.when(F.col("__ok") & F.col("__test"), F.lit("test")).otherwise(F.lit("train")))
-    return out.drop("__h", "__b", "__take", "__need", "__test", "__ok")
+    last = _last_test_keys(df, label_col, key_col, test_ratio, seed, group_col)
+    if not last:
+        return df.withColumn("split", F.lit("train"))
+    # one row per class: a bounded table
+    bounds = F.broadcast(df.sparkSession.createDataFrame(
+        [(c, k) for c, k in last.items()], T.StructType([df.schema[label_col], T.StructField("__last", T.StringType())])
+    ).withColumnRenamed(label_col, "__class"))
+    j = df.join(bounds, F.col(label_col) == F.col("__class"), "left")
+    is_test = _place(df, key_col, seed, group_col) <= F.col("__last")
+    return j.withColumn("split", F.when(is_test, F.lit("test")).otherwise(F.lit("train"))).drop("__class", "__last")
+
+
+def _place(df: DataFrame, key_col: str, seed: int, group_col: str | None) -> Column:
+    """A row's (or its group's) place in the seeded order; never NULL."""
+    unit = F.coalesce(F.col(group_col or key_col).cast("string"), F.lit(""))
+    return F.concat(hash_key(unit, seed), F.lit(":"), unit)
+
+
+def _last_test_keys(df: DataFrame, label_col: str, key_col: str, test_ratio: float, seed: int,
+                    group_col: str | None) -> dict:
+    """Per class the last place in the seeded order that belongs to the test part.
+
+    Two narrow passes: counts per (class, bucket) -- at most 4,096 rows a class --
+    give the quotas and each class's boundary bucket; only the places in the
+    boundary buckets are ranked.
+    """
+    keyed = df.select(F.col(label_col).alias("__class"), _place(df, key_col, seed, group_col).alias("__h"))
+    bucket = F.substring("__h", 1, BUCKET_HEX_DIGITS).alias("__b")
+    counts: dict = {}
+    for r in keyed.groupBy("__class", bucket).agg(F.count(F.lit(1)).alias("c")).collect():
+        counts.setdefault(r["__class"], {})[r["__b"]] = r["c"]
+    if None in counts:
+        raise ValueError(f"{sum(counts[None].values())} rows have no {label_col}")
+    if not counts:
+        return {}
+    size = {c: sum(b.values()) for c, b in counts.items()}
+    total = sum(size.values())
+    n_test = math.ceil(total * test_ratio)
+    if min(size.values()) < 2:
+        raise ValueError("a class has fewer than 2 rows")
+    if n_test < len(size):
+        raise ValueError("test set smaller than the number of classes")
+    # largest remainder, ties by class
+    exact = {c: n_test * n / total for c, n in size.items()}
+    quota = {c: math.floor(x) for c, x in exact.items()}
+    spare = n_test - sum(quota.values())
+    for c in sorted(size, key=lambda c: (quota[c] - exact[c], c))[:spare]:
+        quota[c] += 1
+    last, open_buckets = {}, []
+    for c, buckets in counts.items():
+        taken, end = 0, ""
+        for b in sorted(buckets):
+            if taken >= quota[c]:
+                break
+            if taken + buckets[b] > quota[c]:
+                open_buckets.append((c, b, quota[c] - taken))
+                break
+            taken, end = taken + buckets[b], b + "~"  # after every place in the bucket
+        last[c] = end
+    if open_buckets:
+        wanted = F.broadcast(df.sparkSession.createDataFrame(open_buckets, T.StructType([
+            T.StructField("__class", df.schema[label_col].dataType), T.StructField("__b", T.StringType()),
+            T.StructField("__need", T.LongType())])))  # one row per class
+        inside = keyed.withColumn("__b", bucket).join(wanted, ["__class", "__b"]) \
+            .groupBy("__class", "__need", "__h").agg(F.count(F.lit(1)).alias("c"))
+        w = Window.partitionBy("__class").orderBy("__h").rowsBetween(Window.unboundedPreceding, 0)
+        before = F.sum("c").over(w) - F.col("c")
+        ends = inside.withColumn("__before", before).where(F.col("__before") < F.col("__need")) \
+            .groupBy("__class").agg(F.max("__h").alias("__h")).collect()
+        last.update({r["__class"]: r["__h"] for r in ends})
+    return last
 
 
 def few_shot_sampled(df: DataFrame, label_col: str, key_col: str, k: int, seed: int = 0,

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from escalade.functions.proba import argmax, confidence, proba_dense
 from escalade.functions.text import utf8_bytes, whitespace_count
 from escalade.operators import routing as R
+from escalade.operators.scoring import pandas_scorer
 from escalade.plans import cascade as C
 from escalade.plans.oracle import with_cascade
 from escalade.plans.registry import plan, rounded
@@ -114,6 +115,30 @@ def q_scores_tier3(spark, sf_dir):
     return _scores(spark, sf_dir, 3)
 
 
+# A letter typical of each class, by class id.
+MARKERS = ["z", "w", "ñ", "q"]
+_MARK_SQL = "[" + ", ".join(f"length(text) - length(replace(text, '{m}', '')) + 1" for m in MARKERS) + "]"
+
+
+def letter_model(markers: list[str]):
+    """A stand-in for a user's model: share of each class's letter (add-one)."""
+    def predict(texts: list[str]) -> tuple[list[int], list[list[float]]]:
+        counts = [[t.count(m) + 1 for m in markers] for t in texts]
+        return [c.index(max(c)) for c in counts], [[x / sum(c) for x in c] for c in counts]
+    return predict
+
+
+@plan("scores_user_model", f"""
+SELECT doc_id AS sample_id, 2::INT AS tier, (list_position(c, list_max(c)) - 1)::INT AS label,
+  list_transform(c, lambda x: round(x / list_sum(c), 6)) AS proba, round(list_max(c) / list_sum(c), 6) AS confidence
+FROM (SELECT doc_id, {_MARK_SQL} AS c FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents))""")
+def q_scores_user_model(spark, sf_dir):
+    """Batch scoring with a Python model (Arrow batches)."""
+    d = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("sample_id"), F.coalesce("text", F.lit("")).alias("text"))
+    scored = pandas_scorer(letter_model(MARKERS), len(MARKERS), 2)(d)
+    return rounded(scored.select("sample_id", "tier", "label", F.transform("proba", lambda x: F.round(x, 6)).alias("proba"), "confidence"))
+
+
 # softmax / argmax over a second table: the 64-d embedding vectors as logits
 @plan("softmax_embeddings", """
 SELECT vec_id, list_transform(e, lambda x: round(exp(x - list_max(e)) / list_sum(list_transform(e, lambda y: exp(y - list_max(e)))), 6)) AS proba

@@ -12,6 +12,7 @@ from escalade.operators import prompts as P
 from escalade.operators import sampling as S
 from escalade.operators.labels import label_dictionary, label_encode
 from escalade.plans.registry import plan, rounded
+from escalade.session import materialize
 from escalade.sources.tables import balanced, read_table
 
 # Fixed values used by the text plans.
@@ -37,9 +38,9 @@ def _docs(spark, sf_dir):
 
 
 def _doc_tokens(spark, sf_dir):
-    """(doc_id, terms): the session's shared, materialised token table."""
+    """(doc_id, lang, terms): the session's shared, materialised token table."""
     from escalade.plans.cascade import corpus_tokens
-    return corpus_tokens(spark, sf_dir).select(F.col("sample_id").alias("doc_id"), "terms")
+    return corpus_tokens(spark, sf_dir).select(F.col("sample_id").alias("doc_id"), "lang", "terms")
 
 
 TC_SQL = f"""tc AS (SELECT doc_id, term, count(*) AS n
@@ -161,30 +162,45 @@ def q_few_shot_head(spark, sf_dir):
     return S.few_shot_head(tr, "lang", "doc_id", FEW_SHOT_K).select("lang", "doc_id", "rank")
 
 
-def _messages(spark, sf_dir):
+def _prompts(spark, sf_dir):
+    """(preamble: one row, samples: every document outside the few-shot pool)."""
     sp = _split(spark, sf_dir)
-    labels = sorted(CONV_LABELS)
-    pool = S.few_shot_head(sp.where(F.col("split") == "train"), "lang", "doc_id", FEW_SHOT_K)
-    test = sp.where(F.col("split") == "test").select("doc_id", "text")
-    return P.chat_messages(test, "text", pool, TASK, labels, pool_text="text", pool_label="lang",
-                           pool_order=["lang", "rank"])
+    pool = materialize(S.few_shot_head(sp.where(F.col("split") == "train"), "lang", "doc_id", FEW_SHOT_K), "few-shot-pool")
+    lead = P.preamble(pool, TASK, sorted(CONV_LABELS), pool_text="text", pool_label="lang", pool_order=["lang", "rank"])
+    samples = _docs(spark, sf_dir).select("doc_id", "text") \
+        .join(F.broadcast(pool.select("doc_id")), "doc_id", "left_anti")  # k x classes ids
+    return materialize(lead, "prompt-preamble"), samples
 
 
-MSG_SQL = f"""ex AS (SELECT lang, text, row_number() OVER (ORDER BY lang, rank) - 1 AS i FROM pool),
+MSG_SQL = f"""asked AS (SELECT doc_id, text FROM split WHERE doc_id NOT IN (SELECT doc_id FROM pool)),
+ex AS (SELECT lang, text, row_number() OVER (ORDER BY lang, rank) - 1 AS i FROM pool),
 msgs AS (
   SELECT t.doc_id, 0 AS msg_idx, 'system' AS role, '{P.system_message(TASK, sorted(CONV_LABELS)).replace(chr(10), "' || chr(10) || '")}' AS content
-  FROM split t WHERE t.split = 'test'
-  UNION ALL SELECT t.doc_id, 2 * e.i + 1, 'user', e.text FROM split t, ex e WHERE t.split = 'test'
-  UNION ALL SELECT t.doc_id, 2 * e.i + 2, 'assistant', e.lang FROM split t, ex e WHERE t.split = 'test'
-  UNION ALL SELECT t.doc_id, 2 * (SELECT count(*) FROM ex) + 1, 'user', t.text FROM split t WHERE t.split = 'test')"""
+  FROM asked t
+  UNION ALL SELECT t.doc_id, 2 * e.i + 1, 'user', e.text FROM asked t, ex e
+  UNION ALL SELECT t.doc_id, 2 * e.i + 2, 'assistant', e.lang FROM asked t, ex e
+  UNION ALL SELECT t.doc_id, 2 * (SELECT count(*) FROM ex) + 1, 'user', t.text FROM asked t)"""
 
 
-@plan("chat_messages", f"WITH {SPLIT_SQL}, {FS_HEAD_SQL}, {MSG_SQL} SELECT doc_id, msg_idx::INT AS msg_idx, role, content FROM msgs")
+def _message_rows(df, *keys):
+    return df.select(*keys, F.posexplode("messages").alias("msg_idx", "m")).select(
+        *keys, F.col("msg_idx").cast("int").alias("msg_idx"), F.col("m.role").alias("role"), F.col("m.content").alias("content"))
+
+
+@plan("prompt_preamble", f"""WITH {SPLIT_SQL}, {FS_HEAD_SQL}, {MSG_SQL}
+SELECT msg_idx::INT AS msg_idx, role, content FROM msgs
+WHERE doc_id = (SELECT min(doc_id) FROM asked) AND msg_idx <= 2 * (SELECT count(*) FROM ex)""")
+def q_prompt_preamble(spark, sf_dir):
+    """The messages that all prompts share, once."""
+    return _message_rows(_prompts(spark, sf_dir)[0])
+
+
+@plan("chat_messages", f"""WITH {SPLIT_SQL}, {FS_HEAD_SQL}, {MSG_SQL}
+SELECT doc_id, msg_idx::INT AS msg_idx, role, content FROM msgs WHERE msg_idx = 2 * (SELECT count(*) FROM ex) + 1""")
 def q_chat_messages(spark, sf_dir):
-    m = _messages(spark, sf_dir)
-    return m.select("doc_id", F.posexplode("messages").alias("msg_idx", "m")) \
-        .select("doc_id", F.col("msg_idx").cast("int").alias("msg_idx"), F.col("m.role").alias("role"),
-                F.col("m.content").alias("content"))
+    """Every document's own message, after the shared preamble (``prompt_preamble``)."""
+    lead, samples = _prompts(spark, sf_dir)
+    return P.user_messages(samples, "text", lead).select("doc_id", "msg_idx", "role", "content")
 
 
 @plan("prompt_render", f"""WITH {SPLIT_SQL}, {FS_HEAD_SQL}, {MSG_SQL}
@@ -192,7 +208,8 @@ SELECT doc_id, string_agg('<|' || role || '|>' || chr(10) || content || chr(10)
        || '<|assistant|>' || chr(10) AS prompt
 FROM msgs GROUP BY doc_id""")
 def q_prompt_render(spark, sf_dir):
-    return P.prompt_render(_messages(spark, sf_dir)).select("doc_id", "prompt")
+    lead, samples = _prompts(spark, sf_dir)
+    return P.prompt_render(P.chat_messages(samples, "text", lead)).select("doc_id", "prompt")
 
 
 def _label_list_sql(labels):
@@ -255,15 +272,19 @@ def q_pseudo_proba_zero(spark, sf_dir):
 occ AS (SELECT doc_id, unnest(tk) AS term, unnest(range(len(tk))) AS pos
   FROM (SELECT doc_id, {_tok_sql('text')} AS tk FROM documents)),
 ids AS (SELECT o.doc_id, o.pos, coalesce(v.term_id + {FT.FIRST_ID}, {FT.UNK_ID})::BIGINT AS tid
-  FROM occ o LEFT JOIN voc v USING (term))
-SELECT doc_id, (pos // {MAX_LEN})::INT AS window,
+  FROM occ o LEFT JOIN voc v USING (term)),
+win AS (SELECT doc_id, (pos // {MAX_LEN})::INT AS window,
   list_resize(list(tid ORDER BY pos), {MAX_LEN}, 0::BIGINT) AS input_ids,
   list_resize(list(1::BIGINT ORDER BY pos), {MAX_LEN}, 0::BIGINT) AS attention_mask
-FROM ids GROUP BY doc_id, pos // {MAX_LEN}""")
+FROM ids GROUP BY doc_id, pos // {MAX_LEN}),
+wins AS (SELECT * FROM win UNION ALL
+  SELECT doc_id, 0::INT, list_transform(range({MAX_LEN}), lambda i: 0::BIGINT), list_transform(range({MAX_LEN}), lambda i: 0::BIGINT)
+  FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM win))
+SELECT w.*, d.lang AS labels FROM wins w JOIN documents d USING (doc_id)""")
 def q_fixed_length_ids(spark, sf_dir):
     docs = _doc_tokens(spark, sf_dir)
     voc = FT.vocabulary(FT.tokenize(docs, "doc_id"), VOCAB_N)
-    return FT.fixed_length_ids(docs, "doc_id", voc, MAX_LEN)
+    return FT.fixed_length_ids(docs, "doc_id", voc, MAX_LEN, label_col="lang")
 
 
 @plan("flatten_utterance", """
@@ -274,16 +295,60 @@ def q_flatten_utterance(spark, sf_dir):
     return flatten_turns(read_table(spark, sf_dir, "conversations"), "conv_id", "turn", "text")
 
 
-@plan("lr_fit_score")
-def q_lr_fit_score(spark, sf_dir):
-    """Learned tier 1 (Spark ML) on the stratified split; rows-only check."""
-    from escalade.functions.text import analyzer_tokens
+def _lr_samples(spark, sf_dir):
+    """(samples with doc_id, fold, gold, x; class names): the TF-IDF features of every document."""
     from escalade.operators.labels import collect_labels, encode_with_list
+    from escalade.operators.learned import dense_features
+    from escalade.plans.cascade import corpus_tokens
+
+    toks = corpus_tokens(spark, sf_dir).withColumnRenamed("sample_id", "doc_id")
+    tc = FT.tokenize(toks, "doc_id")
+    voc = materialize(FT.vocabulary(tc, VOCAB_N), "vocabulary")
+    x = dense_features(FT.tfidf(tc, "doc_id", voc, documents=toks), "doc_id", voc, VOCAB_N)
+    labels = collect_labels(label_dictionary(toks, "lang"))
+    d = toks.select("doc_id", "fold", encode_with_list(F.col("lang"), labels).cast("double").alias("gold")).join(x, "doc_id", "left")
+    zeros = F.array_repeat(F.lit(0.0), VOCAB_N)
+    return materialize(d.withColumn("x", F.coalesce("x", zeros)), "lr-samples"), labels
+
+
+def _cross_fitted(spark, sf_dir, score_train: bool):
+    """Per fold: (fold, the other folds' or the fold's own rows scored by the fit on the other folds)."""
     from escalade.operators.learned import lr_fit_score
+    from escalade.plans.cascade import N_FOLDS
 
-    sp = _split(spark, sf_dir)
-    labels = collect_labels(label_dictionary(sp, "lang"))
-    d = sp.select("doc_id", "split", analyzer_tokens(F.col("text")).alias("tokens"),
-                  encode_with_list(F.col("lang"), labels).cast("double").alias("gold"))
-    scored = lr_fit_score(d.where(F.col("split") == "train"), d.where(F.col("split") == "test"), "tokens", "gold")
-    return rounded(scored.select("doc_id", F.col("gold").cast("int").alias("gold_label"), "label", "confidence"))
+    d, labels = _lr_samples(spark, sf_dir)
+    for k in range(N_FOLDS):
+        train = d.where(F.col("fold") != k)
+        yield k, lr_fit_score(train, train if score_train else d.where(F.col("fold") == k), "x", "gold", round_dp=None), labels
+
+
+@plan("lr_fit_score", f"""WITH {TC_SQL}, {VOC_SQL}
+SELECT 'gold' AS what, doc_id AS id, (dense_rank() OVER (ORDER BY lang) - 1)::DOUBLE AS value FROM documents
+UNION ALL SELECT 'norm', doc_id, CASE WHEN doc_id IN (SELECT doc_id FROM tc JOIN voc USING (term)) THEN 1.0 ELSE 0.0 END::DOUBLE FROM documents
+UNION ALL SELECT 'mass', f.fold * 100 + c.id, 0.0::DOUBLE FROM range(5) f(fold), (SELECT DISTINCT dense_rank() OVER (ORDER BY lang) - 1 AS id FROM documents) c""")
+def q_lr_fit_score(spark, sf_dir):
+    """What holds at the optimum of each fold's fit: per class, the predicted minus the
+    observed share of the training rows is 0 (the condition of the free intercept); with
+    the gold labels and feature norms that the fits read."""
+    from escalade.operators.learned import norm
+
+    d, _ = _lr_samples(spark, sf_dir)
+    out = d.select(F.lit("gold").alias("what"), F.col("doc_id").alias("id"), F.col("gold").alias("value")) \
+        .unionByName(d.select(F.lit("norm").alias("what"), F.col("doc_id").alias("id"), F.round(norm(F.col("x")), 4).alias("value")))
+    for k, scored, labels in _cross_fitted(spark, sf_dir, True):
+        gaps = [F.struct(F.lit(k * 100 + l).cast("long").alias("id"),
+                         (F.round(F.avg(F.col("proba")[l] - (F.col("gold") == l).cast("double")), 5) + 0.0).alias("value"))
+                for l in range(len(labels))]
+        one = scored.agg(F.array(*gaps).alias("g")).select(F.lit("mass").alias("what"), F.explode("g").alias("g")).select("what", "g.*")
+        out = out.unionByName(one)
+    return out
+
+
+@plan("lr_predictions")
+def q_lr_predictions(spark, sf_dir):
+    """Cross-fitted predictions of the learned tier for every document; rows-only check."""
+    out = None
+    for _, scored, _ in _cross_fitted(spark, sf_dir, False):
+        rows = scored.select("doc_id", F.col("gold").cast("int").alias("gold_label"), "label", F.round("confidence", 6).alias("confidence"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
