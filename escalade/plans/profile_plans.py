@@ -35,7 +35,7 @@ def q_latency_stats(spark, sf_dir):
 @plan("energy", f"""WITH {STATS_SQL}
 SELECT run_group, round(mean_latency_ms / 1000.0 * {WATTS} * 1000.0, 6) AS energy_mj FROM stats""")
 def q_energy(spark, sf_dir):
-    s = PR.latency_stats(_calls(spark, sf_dir), "run_group", ORDER, "event_id", "value")
+    s = PR.call_stats(_calls(spark, sf_dir), "run_group", ORDER, "value")
     return rounded(s.select("run_group", PR.energy(F.col("mean_latency_ms"), WATTS).alias("energy_mj")))
 
 
@@ -54,16 +54,14 @@ def q_resource_delta(spark, sf_dir):
 def profile_rows(spark, sf_dir):
     """Rows of the fixed 18-column profile schema, one per run group."""
     calls = _calls(spark, sf_dir)
-    st = PR.latency_stats(calls, "run_group", ORDER, "event_id", "value")
-    rd = PR.resource_delta(calls, "run_group", ORDER, "value")
-    lt = PR.load_time(calls, "run_group", ORDER, "value")
-    j = st.join(rd, "run_group").join(lt, "run_group")
+    j = PR.profile(calls, "run_group", ORDER, "value")
     r4 = lambda c: F.round(F.col(c), 4)
     vals = {
         "tier": F.lit(None).cast("int"), "model_name": F.col("run_group"), "inference_mode": F.lit("recorded"),
         "n_samples": F.col("n_samples").cast("int"), "mean_latency_ms": r4("mean_latency_ms"),
         "std_latency_ms": r4("std_latency_ms"), "p95_latency_ms": r4("p95_latency_ms"),
         "model_footprint_mb": r4("footprint"), "inference_peak_ram_mb": r4("peak"),
+        "accuracy": r4("accuracy"), "f1_macro": r4("f1_macro"),
         "energy_mj": F.round(PR.energy(F.col("mean_latency_ms"), WATTS), 6), "load_time_ms": r4("load_time_ms"),
     }
     return j.select(*[(vals[f.name] if f.name in vals else F.lit(None)).cast(f.dataType).alias(f.name)
