@@ -20,4 +20,5 @@ ORACLES: dict[str, str] = {
     "op6_line_dedup": line_dedup.OP6_SQL,
     "op7_topk_search": search.OP7_SQL,
     "op9_chat_formatting": chat.OP9_SQL,
+    "op10_benchmark_decontamination": decontam.OP10_SQL,
 }

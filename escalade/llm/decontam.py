@@ -221,3 +221,25 @@ def op10_benchmark_decontamination(spark, sf_dir: str) -> DataFrame:
                         F.size(hits["items"]).cast("long").alias("n_items"),
                         F.sha2(F.array_join(hits["items"], ",").cast("binary"), 256).alias("items_sha256"),
                         (n_hit > 0).alias("contaminated"))
+
+
+_SQL_WORDS = (f"regexp_extract_all(translate(coalesce(text, ''), '{C.UPPER}', '{C.LOWER}'), "
+              "'[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')")
+OP10_SQL = f"""
+WITH b AS (SELECT CAST(item_id AS VARCHAR) AS item, {_SQL_WORDS} AS w FROM benchmark),
+known AS (
+  SELECT DISTINCT item, k, array_to_string(list_slice(w, i, i + k - 1), ' ') AS gram FROM (
+    SELECT item, w, least({NGRAM}, len(w)) AS k, unnest(range(1, len(w) - least({NGRAM}, len(w)) + 2)) AS i
+    FROM b WHERE len(w) > 0)),
+d AS (SELECT row_number() OVER () AS r, doc_id, {_SQL_WORDS} AS w FROM documents),
+met AS (
+  SELECT r, i, x.k, item FROM (
+    SELECT r, i, k, array_to_string(list_slice(w, i, i + k - 1), ' ') AS gram FROM (
+      SELECT r, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d, (SELECT DISTINCT k FROM known))) x
+  JOIN known ON known.k = x.k AND known.gram = x.gram),
+h AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + k)) AS p FROM met) GROUP BY r),
+t AS (SELECT r, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM met GROUP BY r)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN h ON h.r = d.r LEFT JOIN t ON t.r = d.r
+"""
