@@ -60,9 +60,20 @@ def folded(col) -> F.Column:
     return F.translate(col, UPPER, LOWER)
 
 
-def words(text: str | None) -> list[str]:
-    """The words of a text, A-Z lower-cased (null: none)."""
-    return WORD_RE.findall(text.translate(FOLD)) if text else []
+# UTF-8 bytes of words, A-Z lower-cased; every other byte becomes a blank
+_WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
+
+
+def words(text: str | bytes | None) -> list[bytes]:
+    """The words of a text as UTF-8, A-Z lower-cased (null: none)."""
+    if not text:
+        return []
+    return (text if isinstance(text, bytes) else text.encode("utf-8", "replace")).translate(_WORD_BYTES).split()
+
+
+def texts(column) -> list[bytes | None]:
+    """An Arrow string column as UTF-8 bytes."""
+    return column.cast("binary").to_pylist()
 
 
 def mix64(x):

@@ -18,6 +18,7 @@ and ignored by ``scan``.
 from __future__ import annotations
 
 from collections import defaultdict
+from itertools import repeat
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,7 +38,7 @@ class Windows:
     """The windows of benchmark items, by length: hash -> (words, item numbers)."""
 
     def __init__(self, items: list[tuple], n: int = NGRAM):
-        self.ids: dict[str, int] = {}
+        self.ids: dict[bytes, int] = {}
         self.items: list = []
         self.by_length: dict[int, dict[tuple, set]] = defaultdict(lambda: defaultdict(set))
         for item_id, text in items:
@@ -63,10 +64,10 @@ class Windows:
             h = h * np.uint64(0x9E3779B97F4A7C15) + rows[:, j]
         return h
 
-    def find(self, found: list[str]) -> tuple:
+    def find(self, found: list[bytes]) -> tuple:
         """(mask of hit words, item numbers) of a document's words."""
         get = self.ids.get
-        w = np.fromiter((get(x, 0) for x in found), np.uint64, len(found))
+        w = np.fromiter(map(get, found, repeat(0)), np.uint64, len(found))
         hit, items = np.zeros(len(w), bool), set()
         for k, known in self.sorted.items():
             if len(w) < k:
@@ -105,7 +106,7 @@ def _hits(spark, windows: Windows):
     @F.arrow_udf(HITS)
     def find(texts: pa.Array) -> pa.Array:
         w, out = shared.value, []
-        for text in texts.to_pylist():
+        for text in C.texts(texts):
             found = C.words(text)
             hit, items = w.find(found)
             out.append({"n_words": len(found), "spans": runs_of(hit) if items else [],

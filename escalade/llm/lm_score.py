@@ -49,11 +49,11 @@ def vocabulary(docs: DataFrame, size: int = VOCABULARY) -> list[str]:
         held: Counter = Counter()
 
         def out():
-            return pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.string()), pa.array(held.values(), pa.int64())],
+            return pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.binary()).cast("string"), pa.array(held.values(), pa.int64())],
                                               names=["word", "n"])
 
         for batch in batches:
-            for text in batch.column(0).to_pylist():
+            for text in C.texts(batch.column(0)):
                 held.update(C.words(text))
                 if len(held) > FLUSH_WORDS:
                     yield out()
@@ -78,7 +78,7 @@ def counts(docs: DataFrame, words: list[str], target: str) -> np.ndarray:
     """Bigram counts of the documents where ``target`` holds, and of all: (2, S, S)."""
     spark, edge = docs.sparkSession, len(words) + 1
     size = edge + 1
-    shared = spark.sparkContext.broadcast({w: i + 1 for i, w in enumerate(words)})
+    shared = spark.sparkContext.broadcast({w.encode(): i + 1 for i, w in enumerate(words)})
 
     def count(batches: Iterator) -> Iterator:
         number, totals, held, n = shared.value, np.zeros((2, size * size), np.int64), ([], []), 0
@@ -91,7 +91,7 @@ def counts(docs: DataFrame, words: list[str], target: str) -> np.ndarray:
                     held[k].clear()
 
         for batch in batches:
-            for text, chosen in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for text, chosen in zip(C.texts(batch.column(0)), batch.column(1).to_pylist()):
                 ids = _numbered(text, number, edge)
                 cells = ids[:-1] * size + ids[1:]
                 held[1].append(cells)
@@ -140,13 +140,13 @@ def score(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray]) -> D
     words, target, background = model
     C.workers(docs.sparkSession)
     edge, size = len(words) + 1, len(words) + 2
-    shared = docs.sparkSession.sparkContext.broadcast(({w: i + 1 for i, w in enumerate(words)}, target.ravel(), background.ravel()))
+    shared = docs.sparkSession.sparkContext.broadcast(({w.encode(): i + 1 for i, w in enumerate(words)}, target.ravel(), background.ravel()))
 
     @F.arrow_udf("struct<n:bigint,t:double,b:double>")
     def entropy(texts: pa.Array) -> pa.Array:
         number, t, b = shared.value
         n, ct, cb = [], [], []
-        for text in texts.to_pylist():
+        for text in C.texts(texts):
             ids = _numbered(text, number, edge)
             cells = ids[:-1] * size + ids[1:]
             n.append(len(cells))

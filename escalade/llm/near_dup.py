@@ -57,7 +57,7 @@ _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 class _Hashes(dict):
     """Word -> 64-bit hash, computed once."""
 
-    def __missing__(self, word: str) -> int:
+    def __missing__(self, word: bytes) -> int:
         if len(self) >= CACHE_WORDS:
             self.clear()
         h = self[word] = xxhash.xxh64_intdigest(word)
@@ -67,7 +67,7 @@ class _Hashes(dict):
 _HASHES = _Hashes()
 
 
-def shingles(docs: list[list[str]], n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def shingles(docs: list[list[bytes]], n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct shingles of word lists: document numbers, 64-bit hashes and counts,
     ordered by (document, hash)."""
     size = np.array([len(d) for d in docs], np.int64)
@@ -172,7 +172,7 @@ def sketched(texts: DataFrame, rows: DataFrame) -> DataFrame:
     """(row, sketch) of the ``texts`` (row, text) in ``rows`` (row)."""
     def sketch(batches: Iterator) -> Iterator:
         for batch in batches:
-            found = [C.words(t) for t in batch.column(1).to_pylist()]
+            found = [C.words(t) for t in C.texts(batch.column(1))]
             own = _in_runs(found, lambda run: sketches(signatures(*shingles(run), len(run), SKETCH)))
             yield pa.RecordBatch.from_arrays([batch.column(0), _lists(own, 2 * SKETCH // 64)], names=["row", "sketch"])
 
@@ -186,9 +186,9 @@ def signed(docs: DataFrame) -> DataFrame:
     def sign(batches: Iterator) -> Iterator:
         for batch in batches:
             rows, ids = batch.column(0), batch.column(1)
-            found = [C.words(t) for t in batch.column(2).to_pylist()]
+            found = [C.words(t) for t in C.texts(batch.column(2))]
             keys = _in_runs(found, lambda run: bands(signatures(*shingles(run), len(run))))
-            digests = [xxhash.xxh128_digest(" ".join(w)) if w else None for w in found]
+            digests = [xxhash.xxh128_digest(b" ".join(w)) if w else None for w in found]
             yield pa.RecordBatch.from_arrays([rows, ids, pa.array(digests, pa.binary()), _lists(keys, BANDS)],
                                              names=["row", "doc_id", "digest", "bands"])
 
@@ -200,7 +200,7 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) -
     """The pairs (a, b) of rows whose ``texts`` (row, text) have at least the similarity ``threshold``."""
     @F.arrow_udf("double")
     def compare(left: pa.Array, right: pa.Array) -> pa.Array:
-        held: dict[str, tuple] = {}
+        held: dict[bytes, tuple] = {}
 
         def weighted(text):
             if text not in held:
@@ -209,7 +209,7 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) -
                 held[text] = shingles([C.words(text)])[1:]
             return held[text]
 
-        return pa.array([similarity(weighted(x), weighted(y)) for x, y in zip(left.to_pylist(), right.to_pylist())], pa.float64())
+        return pa.array([similarity(weighted(x), weighted(y)) for x, y in zip(C.texts(left), C.texts(right))], pa.float64())
 
     one = pairs.join(texts.withColumnsRenamed({"row": "a", "text": "ta"}), "a")
     both = one.join(texts.withColumnsRenamed({"row": "b", "text": "tb"}), "b")
