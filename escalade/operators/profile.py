@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from escalade.session import materialize
+
 # Accuracy of the quantile sketch (rank error 1 / SKETCH) and the half-width of the
 # bracket that surely holds the wanted ranks.
 SKETCH = 100_000
@@ -26,8 +28,13 @@ def _place(df: DataFrame, order: Sequence[str]) -> Column:
     """One comparable value per row. A (timestamp, integer) order is packed into a
     decimal, whose minimum is a hash aggregate; other orders compare as a struct."""
     kinds = [df.schema[c].dataType for c in order]
-    if len(order) == 2 and isinstance(kinds[0], T.TimestampType) and isinstance(kinds[1], T.IntegralType):
-        micros = F.unix_micros(F.col(order[0])).cast("decimal(19,0)")
+    if len(order) == 2 and isinstance(kinds[0], (T.TimestampType, T.TimestampNTZType)) and isinstance(kinds[1], T.IntegralType):
+        ts = F.col(order[0])
+        if isinstance(kinds[0], T.TimestampNTZType):  # wall-clock microseconds, free of any time zone
+            micros = (F.unix_date(F.to_date(ts)).cast("long") * 86_400_000_000 + F.hour(ts).cast("long") * 3_600_000_000 + F.minute(ts).cast("long") * 60_000_000
+                      + (F.extract(F.lit("SECOND"), ts) * 1_000_000).cast("long")).cast("decimal(19,0)")
+        else:
+            micros = F.unix_micros(ts).cast("decimal(19,0)")
         wide = (micros * F.lit(10).cast("decimal(2,0)")).cast("decimal(20,0)")
         return (wide * F.lit(1_000_000_000_000_000_000).cast("decimal(19,0)") + F.col(order[1])).cast("decimal(38,0)")
     return F.struct(*[F.col(c) for c in order])
@@ -38,12 +45,13 @@ def _ends(df: DataFrame, group: str, order: Sequence[str], value: str) -> DataFr
     return df.groupBy(group).agg(F.min(_place(df, order)).alias("__first"), F.max(_place(df, order)).alias("__last"))
 
 
-def call_stats(calls: DataFrame, group: str, order: Sequence[str], value: str, q: float = 0.95) -> DataFrame:
+def call_stats(calls: DataFrame, group: str, order: Sequence[str], value: str, q: float = 0.95,
+               ends: DataFrame | None = None) -> DataFrame:
     """Per group, in one pass beside the search for the ends: n_samples, mean, population
     std (after the warm-up call), first, last and greatest value, and the rows needed for
     the exact percentile."""
-    ends = F.broadcast(_ends(calls, group, order, value))  # one row per group
-    j = calls.withColumn("__at", _place(calls, order)).join(ends, group)
+    ends = _ends(calls, group, order, value) if ends is None else ends
+    j = calls.withColumn("__at", _place(calls, order)).join(F.broadcast(ends), group)
     v = F.col(value)
     rest = F.when(F.col("__at") != F.col("__first"), v)
     return j.groupBy(group).agg(
@@ -110,8 +118,10 @@ def latency_stats(calls: DataFrame, group: str, order: Sequence[str], key: str,
 
 
 def _report(calls: DataFrame, group: str, order: Sequence[str], value: str, q: float = 0.95) -> DataFrame:
-    st = call_stats(calls, group, order, value, q)
-    rest = calls.withColumn("__at", _place(calls, order)).join(F.broadcast(_ends(calls, group, order, value)), group) \
+    # two small tables (one row per group) are written, so that the calls are scanned three times in all
+    ends = materialize(_ends(calls, group, order, value), "profile-ends")
+    st = materialize(call_stats(calls, group, order, value, q, ends), "profile-stats")
+    rest = calls.withColumn("__at", _place(calls, order)).join(F.broadcast(ends), group) \
         .where(F.col("__at") != F.col("__first"))
     p = _in_bracket(rest, st.select(group, F.col("n_samples").alias("__n"), "__bracket"), group, value, q)
     return st.drop("__bracket").join(p.select(group, F.col("quantile").alias("p95_latency_ms")), group, "left")
