@@ -55,6 +55,20 @@ def workers(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
         env["PYTHONPATH"] = os.pathsep.join([*paths, root])
 
 
+_HELD: dict = {}  # of a worker process
+
+
+def worker_cache(name, make):
+    """What an operator keeps in a worker process from task to task; of one operator at a time."""
+    if name not in _HELD:
+        import pyarrow as pa
+
+        _HELD.clear()
+        pa.default_memory_pool().release_unused()
+        _HELD[name] = make()
+    return _HELD[name]
+
+
 def folded(col) -> F.Column:
     """Lower-case A-Z only."""
     return F.translate(col, UPPER, LOWER)

@@ -49,7 +49,7 @@ REGISTERS = BANDS * ROWS
 SKETCH, SLACK = 768, 4.0
 # Shingles that are hashed together in a worker.
 CHUNK = 300_000
-CACHE_WORDS = 500_000
+CACHE_WORDS = 300_000
 
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
@@ -64,14 +64,13 @@ class _Hashes(dict):
         return h
 
 
-_HASHES = _Hashes()
-
 
 def shingles(docs: list[list[bytes]], n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct shingles of word lists: document numbers, 64-bit hashes and counts,
     ordered by (document, hash)."""
     size = np.array([len(d) for d in docs], np.int64)
-    word = np.fromiter((h for d in docs for h in map(_HASHES.__getitem__, d)), np.uint64, int(size.sum()))
+    hashes = C.worker_cache("word hashes", _Hashes)
+    word = np.fromiter((h for d in docs for h in map(hashes.__getitem__, d)), np.uint64, int(size.sum()))
     first = np.cumsum(size) - size
     count = np.where(size == 0, 0, np.maximum(size - n + 1, 1))
     doc = np.repeat(np.arange(len(docs)), count)

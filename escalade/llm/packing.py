@@ -34,7 +34,7 @@ END_ID = 2
 # Documents per packing block: a task holds some 16k x 40-byte rows.
 BLOCK_DOCS = 16_384
 # Words whose ids a worker remembers before it starts over (about 100 bytes each).
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 800_000
 # Bytes of text a worker encodes at a time.
 GATHER_BYTES = 8_000_000
 
@@ -125,16 +125,11 @@ class WordEncoder:
         return out
 
 
-_ENCODERS: dict[str, WordEncoder] = {}  # one per worker process and file
-
-
 def _encoder(path: str) -> WordEncoder:
-    if path not in _ENCODERS:
-        import os
+    import os
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        _ENCODERS[path] = WordEncoder(path)
-    return _ENCODERS[path]
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    return C.worker_cache(("encoder", path), lambda: WordEncoder(path))
 
 
 def tokenize(docs: DataFrame, tokenizer: str | None = None, seq_len: int = SEQ_LEN,
