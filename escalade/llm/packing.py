@@ -50,7 +50,7 @@ class WordEncoder:
     The byte-level pre-tokeniser attaches one blank to the word after it and takes a
     line feed for itself, so a text may be cut before blanks and line feeds as long as
     no other white space is next to them; the ids of the cuts, joined, are the ids of
-    the text. Other texts are encoded whole. A batch's distinct words are looked up
+    the text. Other texts, and those with a special token's string, are encoded whole. A batch's distinct words are looked up
     once, and their ids gathered from a pool of all known words' ids.
     """
 
@@ -62,6 +62,7 @@ class WordEncoder:
         self.size = np.zeros(max(vocab.values()) + 1, np.int64)  # bytes of each token
         for token, i in vocab.items():
             self.size[i] = len(token)
+        self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.feed = len(self._encode(["\n"])[0])
         self._forget()
 
@@ -101,6 +102,8 @@ class WordEncoder:
             self._forget()
         texts = pc.fill_null(texts, "")
         mask = pc.match_substring_regex(texts, _TIED)
+        for special in self.special:  # such a token ends the text before it
+            mask = pc.or_(mask, pc.match_substring(texts, special))
         tied = np.flatnonzero(mask.to_numpy(zero_copy_only=False)).tolist()
         plain = pc.if_else(mask, "", texts) if tied else texts
         plain = pc.binary_join_element_wise("\n", pc.replace_substring(plain, "\n", " \n"), "")
