@@ -20,8 +20,13 @@ def _tokens(df: DataFrame, text_col: str, terms_col: str):
 
 
 def tokenize(df: DataFrame, id_col: str, text_col: str = "text", terms_col: str = "terms") -> DataFrame:
-    """(id, term, n): analyzer term counts per document (whole text)."""
-    occ = df.select(id_col, F.explode(_tokens(df, text_col, terms_col)).alias("term"))
+    """(id, term, n): analyzer term counts per document (whole text).
+
+    The token arrays are dealt by document before they are exploded: one row each is
+    shuffled, and everything per document (counts, norms) stays in its partition.
+    """
+    dealt = df.select(id_col, _tokens(df, text_col, terms_col).alias("__t")).repartition(F.col(id_col))
+    occ = dealt.select(id_col, F.explode("__t").alias("term"))
     return occ.groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -62,6 +67,16 @@ def tfidf_transform(term_counts: DataFrame, id_col: str, idf: DataFrame, broadca
     return raw.select(id_col, "term", (F.col("w") / norm).alias("weight"))
 
 
+def tfidf_top(term_counts: DataFrame, id_col: str, n: int, documents: DataFrame) -> DataFrame:
+    """``tfidf`` over the top-``n`` vocabulary: its terms and their document frequencies
+    come from one aggregation, and the n rows are broadcast."""
+    n_docs = documents.select(F.count(F.lit(1))).scalar()
+    stats = term_counts.groupBy("term").agg(F.sum("n").alias("term_count"), F.count(F.lit(1)).alias("df"))
+    top = stats.orderBy(F.col("term_count").desc(), F.col("term")).limit(n)
+    idf = top.select("term", (F.log((F.lit(1.0) + n_docs) / (F.lit(1.0) + F.col("df"))) + 1.0).alias("idf"))
+    return tfidf_transform(term_counts, id_col, idf, broadcast_idf=True)
+
+
 def tfidf(term_counts: DataFrame, id_col: str, vocab: DataFrame | None = None,
           documents: DataFrame | None = None) -> DataFrame:
     """Fit and transform on the same documents; a ``vocab`` is a top-N table

@@ -70,7 +70,7 @@ SELECT doc_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6) A
 def q_tfidf(spark, sf_dir):
     docs = _doc_tokens(spark, sf_dir)
     tc = FT.tokenize(docs, "doc_id")
-    return rounded(FT.tfidf(tc, "doc_id", FT.vocabulary(tc, VOCAB_N), documents=docs))
+    return rounded(FT.tfidf_top(tc, "doc_id", VOCAB_N, docs))
 
 
 @plan("tfidf_transform", f"""WITH {TC_SQL}, {VOC_SQL}, {IDF_SQL},
