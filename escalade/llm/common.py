@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import re
 import uuid
+from functools import wraps
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -58,6 +59,20 @@ def workers(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
 _HELD: dict = {}  # of a worker process
 
 
+def keeps_columns(stage):
+    """A filter ``stage(docs, ...)`` sees doc_id, text and n_chars under their names and all
+    other columns under numbers, so that no name of theirs can clash with its own columns."""
+    own = ("doc_id", "text", "n_chars")
+
+    @wraps(stage)
+    def run(docs: DataFrame, *args, **kwargs) -> DataFrame:
+        inner = [c if c in own else f"__c{i}" for i, c in enumerate(docs.columns)]
+        out = stage(docs.toDF(*inner), *args, **kwargs)
+        return out.select(*inner).toDF(*docs.columns)
+
+    return run
+
+
 def worker_cache(name, make):
     """What an operator keeps in a worker process from task to task; of one operator at a time."""
     if name not in _HELD:

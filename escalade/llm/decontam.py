@@ -148,14 +148,14 @@ def _windows(frame: DataFrame, lengths) -> DataFrame:
 
 def _scan_joined(docs: DataFrame, benchmark: DataFrame, n: int) -> DataFrame:
     """``scan`` for a benchmark beyond the broadcast bound: windows meet in a shuffle join."""
-    keyed = docs.withColumn("_row", F.monotonically_increasing_id())
+    keyed = docs.withColumn("__row", F.monotonically_increasing_id())
     items = benchmark.select(F.col("item_id").cast("string").alias("item"), _words(F.col("text")).alias("_w"))
     items = items.filter(F.size("_w") > 0).withColumn("_n", F.least(F.size("_w"), F.lit(n)))
     known = _windows(items, range(1, n + 1)).filter("k = _n").select("k", "gram", "item").distinct()
     lengths = sorted(r[0] for r in known.select("k").distinct().collect())  # at most n values
-    mine = _windows(keyed.select("_row", _words(F.col("text")).alias("_w")), lengths or [n])
-    met = mine.join(known, ["k", "gram"]).groupBy("_row", "at", "k").agg(F.collect_set("item").alias("items"))
-    found = met.groupBy("_row").agg(
+    mine = _windows(keyed.select("__row", _words(F.col("text")).alias("_w")), lengths or [n])
+    met = mine.join(known, ["k", "gram"]).groupBy("__row", "at", "k").agg(F.collect_set("item").alias("items"))
+    found = met.groupBy("__row").agg(
         F.array_sort(F.collect_set(F.array(F.col("at").cast("long"), (F.col("at") + F.col("k")).cast("long")))).alias("s"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     none = F.expr("cast(array() as array<array<bigint>>)")
@@ -164,8 +164,8 @@ def _scan_joined(docs: DataFrame, benchmark: DataFrame, n: int) -> DataFrame:
         F.concat(F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0))), F.array(F.array(
             F.try_element_at(a, F.lit(-1))[0], F.greatest(F.try_element_at(a, F.lit(-1))[1], x[1])))))
         .otherwise(F.concat(a, F.array(x))))
-    found = found.select(F.col("_row").alias("_r"), runs.alias("spans"), F.col("items"))
-    joined = keyed.join(found, F.col("_row") == F.col("_r"), "left")
+    found = found.select(F.col("__row").alias("__r"), runs.alias("spans"), F.col("items"))
+    joined = keyed.join(found, F.col("__row") == F.col("__r"), "left")
     hits = F.struct(F.size(_words(F.col("text"))).cast("long").alias("n_words"), F.coalesce(found["spans"], none).alias("spans"),
                     F.coalesce(found["items"], F.expr("cast(array() as array<string>)")).alias("items"))
     return joined.select(*[keyed[c] for c in docs.columns], hits.alias("_hits"))
@@ -192,6 +192,7 @@ def cut_words(text: str, runs) -> str:
     return "".join(out) + text[done:]
 
 
+@C.keeps_columns
 def remove_spans(docs: DataFrame, benchmark: DataFrame, n: int = NGRAM, max_words: int = MAX_WORDS) -> DataFrame:
     """Documents without their hit words; one that was hit and has no words left goes.
 

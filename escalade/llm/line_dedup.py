@@ -106,12 +106,12 @@ def deletions(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 def apply(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with the text after deletion, ``_lines`` (non-blank lines before) and
     ``_gone`` (numbers of the deleted ones)."""
-    gone = C.spill(deletions(docs, min_words), "line-deletions").withColumnRenamed("row", "_row")
+    gone = C.spill(deletions(docs, min_words), "line-deletions").withColumnsRenamed({"row": "__row", "gone": "__gone"})
     # a shuffle join at every size: deletions grow with the corpus
-    joined = docs.withColumn("_row", F.monotonically_increasing_id()).join(gone.hint("shuffle_hash"), "_row", "left")
+    joined = docs.withColumn("__row", F.monotonically_increasing_id()).join(gone.hint("shuffle_hash"), "__row", "left")
     out = joined.withColumns({
         "_lines": F.size(F.expr(_LINES)).cast("long"),
-        "_gone": F.coalesce("gone", F.expr("cast(array() as array<int>)"))})
+        "_gone": F.coalesce("__gone", F.expr("cast(array() as array<int>)"))})
     # one-element arrays name a value for the lambda in them, so that it is computed once a row
     kept = F.expr(r"""
       element_at(transform(array(split(cast(text as string), '\n')), raw ->
@@ -121,6 +121,7 @@ def apply(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return out.select(*docs.columns, "_lines", "_gone")
 
 
+@C.keeps_columns
 def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """The documents without later copies of repeated runs, columns unchanged.
 

@@ -306,6 +306,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         "row", "doc_id", "class_id", "class_size", (F.col("row") == F.col("_first")["row"]).alias("stays"))
 
 
+@C.keeps_columns
 def dedup(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One document of each class, columns unchanged."""
     stays = classes(docs, threshold).filter("stays").select(F.col("row").alias("_row"))

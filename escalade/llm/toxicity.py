@@ -15,7 +15,8 @@ Defined results: null or empty texts have no features and get the score of the
 intercept; rows without a label or doc_id are scored but not learned from;
 repeated label rows count once a label, and a document labelled both ways
 counts as toxic; without labels of both classes every score is that of the smoothed
-prior; an empty table gives no rows; extra columns are kept.
+prior; an empty table gives no rows; extra columns are kept
+(``score`` replaces columns of the names it adds).
 """
 
 from __future__ import annotations
@@ -198,12 +199,10 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
+@C.keeps_columns
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that the classifier doesn't reject, columns unchanged."""
-    columns = docs.columns
-    plain = docs.select(*[F.col(c).alias(f"_{i}") for i, c in enumerate(columns)], F.col("text"))
-    kept = score(plain, fit(docs, labels)).filter(F.col("predicted") == 0)
-    return kept.select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(columns)])
+    return score(docs, fit(docs, labels)).filter(F.col("predicted") == 0)
 
 
 def op2_toxicity(spark, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ Defined results: null url, or one without ``://``: empty host and path, no rule;
 its (possibly empty) characters are still scored. With no labelled url on one
 side there is no model and the verdict is "allow" with difference 0. Ties in
 calibration go to the threshold nearest to 0. Repeated rows are counted and
-judged row by row; an empty table gives no rows; further columns are ignored.
+judged row by row; an empty table gives no rows; columns named like those added are replaced, others kept.
 """
 
 from __future__ import annotations

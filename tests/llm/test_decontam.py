@@ -61,7 +61,7 @@ def test_empty_tables(table):
 
 def test_remove_spans_keeps_columns_and_clean_documents(table):
     rows = [(i, t, len(t or ""), "x", 1) for i, t in TEXTS]
-    docs = table(rows, "doc_id long, text string, n_chars int, _hit string, item_id int")
+    docs = table(rows, "doc_id long, text string, n_chars int, _hits string, item_id int")
     out = D.remove_spans(docs, table(ITEMS, "item_id long, text string"))
     assert out.columns == docs.columns
     kept = {str(r.doc_id): r for r in out.collect()}

@@ -52,7 +52,7 @@ def test_edges(table):
     long = "this line is repeated and it has more than ten words in all"
     rows = [(1, f"{long}\nown line", 5, "r"), (2, long, 5, "r"), (None, long, 5, "r"), (3, None, 0, None), (4, "", 0, ""),
             (5, f"A\n\n{long}\n\nB", 5, "r"), (1, f"{long}\nown line", 5, "r"), (6, "x\n" * 3000, 5, "r"), (7, "word " * 20000, 5, "r")]
-    docs = table(rows, "doc_id long, text string, n_chars int, row string", parts=1)
+    docs = table(rows, "doc_id long, text string, n_chars int, gone string", parts=1)
     out = L.dedup(docs)
     assert out.columns == docs.columns
     kept = defaultdict(list)

@@ -79,7 +79,7 @@ def test_edges(table):
     base = " ".join(words(200, 3))
     rows = [(5, base, "x", 1), (3, base.upper() + "!", "x", 2), (None, base, None, 3), (5, base, "x", 4), (7, None, "x", 5), (8, "", "x", 6),
             (9, "?!", "x", 7), (10, "two words", "x", 8), (11, "Two, words", "x", 9), (12, "one", "x", 10), (13, base + " " + "tail " * 30_000, "x", 11)]
-    docs = table(rows, "doc_id long, text string, bands string, row int")
+    docs = table(rows, "doc_id long, text string, _row string, row int")
     out = N.dedup(docs)
     assert out.columns == docs.columns
     kept = sorted((r.doc_id is not None, r.doc_id or 0, r.row) for r in out.collect())
