@@ -105,6 +105,7 @@ def _hits(spark, windows: Windows):
 
     @F.arrow_udf(HITS)
     def find(texts: pa.Array) -> pa.Array:
+        C.worker_cache("decontamination", dict)  # drops what another operator kept
         w, out = shared.value, []
         for text in C.texts(texts):
             found = C.words(text)

@@ -144,6 +144,7 @@ def score(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray]) -> D
 
     @F.arrow_udf("struct<n:bigint,t:double,b:double>")
     def entropy(texts: pa.Array) -> pa.Array:
+        C.worker_cache("language models", dict)  # drops what another operator kept
         number, t, b = shared.value
         n, ct, cb = [], [], []
         for text in C.texts(texts):

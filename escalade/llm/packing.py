@@ -34,9 +34,9 @@ END_ID = 2
 # Documents per packing block: a task holds some 16k x 40-byte rows.
 BLOCK_DOCS = 16_384
 # Words whose ids a worker remembers before it starts over (about 100 bytes each).
-CACHE_WORDS = 800_000
+CACHE_WORDS = 400_000
 # Bytes of text a worker encodes at a time.
-GATHER_BYTES = 8_000_000
+GATHER_BYTES = 4_000_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids binary"
 # White space where a word's ids could depend on its neighbour (see WordEncoder)

@@ -175,11 +175,12 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
     weights, bias = model
     at = np.flatnonzero(weights)
     shared = docs.sparkSession.sparkContext.broadcast((dict(zip(at.tolist(), weights[at].tolist())), bias))
-    seen: dict[str, tuple] = {}  # a task's own: words to their features with a weight
+    of_this_model = f"weights {zlib.crc32(weights.tobytes())}"
 
     @F.arrow_udf("double")
     def probability(texts: pa.Array) -> pa.Array:
         table, intercept = shared.value
+        seen = C.worker_cache(of_this_model, dict)  # words to their features with a weight
         out = []
         for text in texts.to_pylist():
             own: set[int] = set()
