@@ -36,7 +36,7 @@ Scorer = Callable[[DataFrame], DataFrame]
 def checked_confidence(conf: Column) -> Column:
     """Fail the row when a confidence is NULL, NaN or outside [0, 1]."""
     return F.when(conf.isNull() | ~conf.between(0.0, 1.0),
-                  F.raise_error(F.concat(F.lit("confidence must be in [0.0, 1.0], got "),
+                  F.raise_error(F.concat(F.lit("a confidence lies outside 0 to 1: "),
                                          F.coalesce(conf.cast("string"), F.lit("null"))))).otherwise(conf)
 
 

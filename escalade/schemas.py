@@ -56,5 +56,5 @@ def require_columns(df: DataFrame, required: Iterable[str]) -> None:
 def check_unit_interval(name: str, value: float) -> float:
     """Thresholds and probabilities must lie in [0, 1] (NaN fails too)."""
     if not (0.0 <= float(value) <= 1.0):
-        raise ValueError(f"{name} must be in [0.0, 1.0], got {value}")
+        raise ValueError(f"{name} = {value} lies outside 0 to 1")
     return float(value)

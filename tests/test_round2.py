@@ -174,3 +174,22 @@ def test_pareto_front_of_an_anti_correlated_input(spark):
     rows = [(f"c{i}", float(i), float(i) if i % 3 else float(i) - 2.5) for i in range(500)]
     want = [c for c, x, y in rows if not any(x2 <= x and y2 >= y and (x2 < x or y2 > y) for _, x2, y2 in rows)]
     assert got == want
+
+
+def test_scratch_tables_can_be_dropped(tmp_path):
+    import os
+    import subprocess
+    import sys
+
+    code = f"""
+from escalade.session import drop_scratch, local_session, materialize, scratch_path
+import os
+s = local_session(1, extra={{"spark.checkpoint.dir": {str(tmp_path)!r}}})
+assert materialize(s.range(5), "x").count() == 5
+top = os.path.dirname(scratch_path(s, "x"))
+assert top.startswith({str(tmp_path)!r}) and os.listdir(top)
+drop_scratch(s)
+assert not os.path.exists(top)
+"""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    assert subprocess.run([sys.executable, "-c", code], cwd=root, timeout=120).returncode == 0
