@@ -19,7 +19,6 @@ from __future__ import annotations
 
 from collections import defaultdict
 from itertools import repeat
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa

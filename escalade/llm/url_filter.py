@@ -22,7 +22,6 @@ judged row by row; an empty table gives no rows; columns named like those added
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
