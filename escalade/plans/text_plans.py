@@ -6,7 +6,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from escalade.functions.proba import pseudo_proba
-from escalade.functions.text import py_strip
 from escalade.operators import features as FT
 from escalade.operators import prompts as P
 from escalade.operators import sampling as S
