@@ -54,6 +54,9 @@ def workers(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if root not in paths:
         env["PYTHONPATH"] = os.pathsep.join([*paths, root])
+    # workers live on from task to task: freed memory goes back to the system at once
+    for name, value in (("ARROW_DEFAULT_MEMORY_POOL", "system"), ("MALLOC_ARENA_MAX", "2"), ("MALLOC_TRIM_THRESHOLD_", "131072")):
+        env.setdefault(name, value)
 
 
 _HELD: dict = {}  # of a worker process

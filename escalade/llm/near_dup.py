@@ -48,8 +48,8 @@ BANDS, ROWS = 25, 5
 REGISTERS = BANDS * ROWS
 SKETCH, SLACK = 768, 4.0
 # Shingles that are hashed together in a worker.
-CHUNK = 300_000
-CACHE_WORDS = 300_000
+CHUNK = 150_000
+CACHE_WORDS = 150_000
 
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 

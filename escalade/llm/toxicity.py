@@ -37,7 +37,7 @@ BITS = 18
 SAMPLE = 3_000
 L2, SWAP_WEIGHT, STEPS = 0.02, 2.0, 300
 # Words a worker remembers before it starts over.
-CACHE_WORDS = 200_000
+CACHE_WORDS = 100_000
 
 # Group names by category; terms of a category are swapped for each other
 IDENTITY = (
