@@ -103,9 +103,10 @@ def sample(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE) -> tuple
         .select("_id", "_label", features("text").alias("x"))
     # a repeated document must not lift the bound: one row an id
     rows = joined.groupBy("_id", "_label").agg(F.min("x").alias("x")).select("_id", "_label", "x.f", "x.t").toArrow()
-    rows = rows.combine_chunks().sort_by("_id")
+    order = np.argsort(rows["_id"].to_numpy(), kind="stable").tolist()
     found = [f.values.to_numpy() for f in rows["f"]]
-    return list(zip(rows["_label"].to_pylist(), found, rows["t"].to_pylist())), sizes
+    labels, terms = rows["_label"].to_pylist(), rows["t"].to_pylist()
+    return [(labels[i], found[i], terms[i]) for i in order], sizes
 
 
 def train(rows: list, sizes: dict[int, int], l2: float = L2, swap_weight: float = SWAP_WEIGHT,
@@ -117,17 +118,16 @@ def train(rows: list, sizes: dict[int, int], l2: float = L2, swap_weight: float
     if not n[0] or not n[1]:
         return weights, prior
     y = np.array([r[0] for r in rows], np.float64)
-    doc = np.repeat(np.arange(len(rows)), [len(r[1]) for r in rows])
-    col = np.concatenate([np.asarray(r[1], np.int32) for r in rows])
     # features whose rates in the classes differ by more than chance
-    pos = np.bincount(col[y[doc] == 1], minlength=1 << BITS)
-    neg = np.bincount(col[y[doc] == 0], minlength=1 << BITS)
+    pos, neg = np.zeros(1 << BITS, np.int64), np.zeros(1 << BITS, np.int64)
+    for label, features, _ in rows:
+        (pos if label == 1 else neg)[features] += 1  # a row's features are distinct
     rate = (pos + neg + 1) / (len(rows) + 2)
     z = (pos / n[1] - neg / n[0]) / np.sqrt(rate * (1 - rate) * (1 / n[0] + 1 / n[1]))
     chosen = (np.abs(z) > 4) & (pos + neg >= 5)
     number = np.cumsum(chosen) - 1
-    keep = chosen[col]
-    doc, col, k = doc[keep], number[col[keep]], int(chosen.sum())
+    kept = [number[np.asarray(r[1], np.int64)[chosen[r[1]]]] for r in rows]
+    doc, col, k = np.repeat(np.arange(len(rows)), [len(x) for x in kept]), np.concatenate(kept), int(chosen.sum())
 
     # counterfactuals: each group name swapped for the others of its category
     pair_row, pair_col, pair_val, pairs = [], [], [], 0
@@ -166,7 +166,9 @@ def train(rows: list, sizes: dict[int, int], l2: float = L2, swap_weight: float
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE) -> tuple[np.ndarray, float]:
     """Weights and intercept learned from ``labels.toxic``."""
-    return train(*sample(docs, labels, per_class))
+    model = train(*sample(docs, labels, per_class))
+    pa.default_memory_pool().release_unused()
+    return model
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
