@@ -42,7 +42,10 @@ def spill(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def workers(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
+_TRIM = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_ARENA_MAX": "2", "MALLOC_TRIM_THRESHOLD_": "131072"}
+
+
+def workers(spark: SparkSession, rows: int = BATCH_ROWS, trim: bool = True) -> None:
     """Prepare a session for this package's Arrow functions.
 
     Sets the rows of an Arrow batch, so that long texts stay bounded, and lets Python workers import this package from where the driver has it
@@ -54,9 +57,13 @@ def workers(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if root not in paths:
         env["PYTHONPATH"] = os.pathsep.join([*paths, root])
-    # workers live on from task to task: freed memory goes back to the system at once
-    for name, value in (("ARROW_DEFAULT_MEMORY_POOL", "system"), ("MALLOC_ARENA_MAX", "2"), ("MALLOC_TRIM_THRESHOLD_", "131072")):
-        env.setdefault(name, value)
+    # workers live on from task to task: with ``trim`` freed memory goes back to the system at
+    # once, which costs time where large arrays come and go
+    for name, value in _TRIM.items():
+        if trim:
+            env[name] = value
+        else:
+            env.pop(name, None)
 
 
 _HELD: dict = {}  # of a worker process
