@@ -42,6 +42,12 @@ def spill(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def keyed(docs: DataFrame, name: str = "__row") -> DataFrame:
+    """``docs`` written once with a row number, so that every later job reads the same numbers:
+    numbers drawn again change with the splits of a scan, which follow the cores registered then."""
+    return spill(docs.withColumn(name, F.monotonically_increasing_id()), "keyed")
+
+
 _TRIM = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_ARENA_MAX": "2", "MALLOC_TRIM_THRESHOLD_": "131072"}
 
 

@@ -1,21 +1,28 @@
 """Cross-entropy difference between a target and a background language model (operator 8).
 
 Both are bigram models with interpolated (Witten-Bell) smoothing over one shared
-vocabulary: the ``VOCABULARY`` most frequent words of all documents, one class for
-every other word and the document boundary. They are matched in everything but the
+vocabulary: every word of all documents, one class for words that the documents don't
+have and the document boundary. They are matched in everything but the
 text they are counted on: the target on the documents chosen by ``labels.quality``,
 the background on all documents. A document's score is the mean over its tokens
 (its words and the end) of the difference of the losses, target minus background;
 the lower, the closer to the target.
 
-Scale: three passes over the texts; word counts are combined in each task and
-summed in one shuffle. A model has (VOCABULARY + 2)^2 cells whatever the input, so the
-bigram counts that reach the driver (at most 2 x 4.0 million) and the broadcast
-tables (2 x 16 MB) have a proven bound.
+Scale: a model is two written tables that grow with the corpus: the counts of all
+bigrams, combined in each task and summed in one shuffle, and per word its count and its
+number of different successors. Words are 64-bit hashes (of ten million words two are equal with
+probability 3e-6). Bigrams meet the words' counts, and the documents' bigrams meet the
+bigrams' losses, in shuffle joins by hash; only what is too frequent for one task is
+broadcast: words that make at least 1 / ``HEAD_WORDS`` and bigrams that make at least
+1 / ``HEAD_BIGRAMS`` of all tokens, so at most that many. Documents are written with a row
+number once, and their scores are sums by that number.
+
+A caller may bound the vocabulary by ``size``; then other words are one class and the
+models are dense tables of (size + 2)^2 cells.
 
 Defined results: null or empty texts have only the end token; rows without a
 label or doc_id belong to the background alone; a document labelled twice is in the
-target if any label says so; words of equal count enter the vocabulary in
+target if any label says so; words of equal count enter a bounded vocabulary in
 alphabetical order; with no target documents the target model is uniform; an empty
 table gives no rows; repeated rows are counted and scored row by row; extra
 columns are kept.
@@ -25,23 +32,30 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from escalade.llm import common as C
 
-VOCABULARY = 2_000
+VOCABULARY = None  # every word
+# Words and bigrams of at least this part of all tokens are broadcast, others are shuffled.
+HEAD_WORDS, HEAD_BIGRAMS = 100_000, 2_000_000
+# Tokens whose bigrams a task combines at once, and word hashes it keeps.
+CHUNK_TOKENS = 1_000_000
+CACHE_WORDS = 150_000
 # Distinct words a task holds before it hands its counts on.
 FLUSH_WORDS = 300_000
 # Cells a task collects before it adds them to its table.
 FLUSH_CELLS = 2_000_000
 
 
-def vocabulary(docs: DataFrame, size: int = VOCABULARY) -> list[str]:
+def vocabulary(docs: DataFrame, size: int) -> list[str]:
     """The ``size`` most frequent words of all texts."""
     C.workers(docs.sparkSession)
 
@@ -124,19 +138,200 @@ def losses(n: np.ndarray) -> np.ndarray:
     return -np.log(p).astype(np.float32)
 
 
-def fit(docs: DataFrame, labels: DataFrame, size: int = VOCABULARY) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Vocabulary and the losses under the target and the background model."""
-    words = vocabulary(docs, size)
+_GOLDEN = np.uint64(0x9E3779B97F4A7C15)
+_EDGE = xxhash.xxh64_intdigest(b"")  # no word is empty
+
+
+class _Hashes(dict):
+    """Word -> 64-bit hash, computed once."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= CACHE_WORDS:
+            self.clear()
+        h = self[word] = xxhash.xxh64_intdigest(word)
+        return h
+
+
+def _bigrams(texts: list, first: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text number (from ``first``), hash and next hash of every token of the texts."""
+    hashes = C.worker_cache("bigram hashes", _Hashes)
+    found = [C.words(t) for t in texts]
+    size = np.fromiter(map(len, found), np.int64, len(found)) + 1
+    ends = np.cumsum(size)
+    after = np.full(int(size.sum()), _EDGE, np.uint64)
+    inner = np.ones(len(after), bool)
+    inner[ends - 1] = False
+    after[inner] = np.fromiter((h for d in found for h in map(hashes.__getitem__, d)), np.uint64, int(inner.sum()))
+    before = np.roll(after, 1)  # a text starts after the end of the one before
+    return np.repeat(np.arange(first, first + len(found)), size), before, after
+
+
+def _runs(key: np.ndarray, *columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order by ``key`` and the starts of runs of equal ``columns`` in it. Other values of an equal
+    key may cut a run in two, which sums don't see."""
+    order = np.argsort(key)
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for c in columns:
+        own = c[order]
+        new[1:] |= own[1:] != own[:-1]
+    return order, np.flatnonzero(new)
+
+
+def bigram_counts(docs: DataFrame, target: str) -> DataFrame:
+    """(a, b, n, n_t): how often word b follows a in all documents, and in those where ``target`` holds."""
+    C.workers(docs.sparkSession)
+
+    def count(batches: Iterator) -> Iterator:
+        held, tokens = [], 0
+
+        def out():
+            a, b, t = (np.concatenate(x) for x in zip(*held))
+            order, at = _runs(C.mix64(a * _GOLDEN + b), a, b)
+            n = np.diff(np.append(at, len(order)))
+            return pa.RecordBatch.from_arrays([pa.array(a[order[at]].view(np.int64)), pa.array(b[order[at]].view(np.int64)), pa.array(n),
+                                               pa.array(np.add.reduceat(t[order].astype(np.int64), at))], names=["a", "b", "n", "n_t"])
+
+        for batch in batches:
+            doc, a, b = _bigrams(C.texts(batch.column(0)))
+            held.append((a, b, batch.column(1).to_numpy(zero_copy_only=False).astype(bool)[doc]))
+            tokens += len(a)
+            if tokens > CHUNK_TOKENS:
+                yield out()
+                held.clear()
+                tokens = 0
+        if tokens:
+            yield out()
+
+    return docs.select(F.col("text").cast("string"), F.coalesce(F.col(target), F.lit(False))) \
+        .mapInArrow(count, "a long, b long, n long, n_t long").groupBy("a", "b").agg(F.sum("n").alias("n"), F.sum("n_t").alias("n_t"))
+
+
+@dataclass
+class Tables:
+    """Models over every word: ``words`` (w, n, kinds, n_t, kinds_t), ``bigrams`` (a, b, n, n_t): the counts in
+    all documents and (_t) in the target, and the totals of the words table."""
+
+    words: DataFrame
+    bigrams: DataFrame
+    totals: dict
+
+
+def _with_words(frame: DataFrame, words: DataFrame, totals: dict, key: str) -> DataFrame:
+    """``frame`` with the counts of the word ``key`` (null where no document has it), as ``key``_n and so on."""
+    own = words.withColumnsRenamed({c: key if c == "w" else f"{key}_{c}" for c in words.columns})
+    hot = F.col(f"{key}_n") >= totals["n"] / HEAD_WORDS
+    head = F.broadcast(own.filter(hot))
+    # a shuffle join at every size: the words grow with the corpus
+    rest = frame.join(head.select(key), key, "left_anti").join(own.filter(~hot).hint("shuffle_hash"), key, "left")
+    return frame.join(head, key).unionByName(rest)
+
+
+def _valued(counted: DataFrame, words: DataFrame, totals: dict) -> DataFrame:
+    """(a, b, lt, lb): losses of the bigrams (a, b, n, n_t) under the target and the background."""
+    both = _with_words(_with_words(counted, words.select("w", "n", "kinds", "n_t", "kinds_t"), totals, "a"), words.select("w", "n", "n_t"), totals, "b")
+    cells = max(totals["words"], 1) + 1
+
+    def loss(t: str):
+        total, kinds = totals[f"n{t}"], totals[f"words{t}"]
+        one, before, after = (F.coalesce(F.col(c), F.lit(0)).cast("double") for c in (f"b_n{t}", f"a_n{t}", f"a_kinds{t}"))
+        p1 = (one + kinds / cells) / float(total + kinds) if total else F.lit(1 / cells)
+        return -F.log(F.when(before > 0, (F.col(f"n{t}") + after * p1) / (before + after)).otherwise(p1))
+
+    return both.select("a", "b", loss("_t").alias("lt"), loss("").alias("lb"))
+
+
+def _tables(flagged: DataFrame) -> Tables:
+    """Models over every word of the documents (text, _target)."""
+    counted = C.spill(bigram_counts(flagged, "_target"), "lm-counts")
+    # a word comes before another as often as it occurs
+    words = C.spill(counted.groupBy(F.col("a").alias("w")).agg(
+        F.sum("n").alias("n"), F.count("*").alias("kinds"), F.sum("n_t").alias("n_t"), F.count_if(F.col("n_t") > 0).alias("kinds_t")), "lm-words")
+    totals = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("n_t"), F.lit(0)).alias("n_t"),
+                       F.count("*").alias("words"), F.count_if(F.col("n_t") > 0).alias("words_t")).first().asDict()
+    return Tables(words, counted, totals)
+
+
+def _document_bigrams(keyed: DataFrame, model: Tables) -> DataFrame:
+    """(row, a, b, k, n, t, l) of the documents (row, text): a row for each bigram of a document outside the
+    broadcast head with its times k, and one row with k = 0 for its tokens n and the losses t, l of those inside."""
+    C.workers(keyed.sparkSession)
+    head = _valued(model.bigrams.filter(F.col("n") >= model.totals["n"] / HEAD_BIGRAMS), model.words, model.totals).toArrow()
+    ha, hb = (head[c].to_numpy().view(np.uint64) for c in ("a", "b"))
+    hk = C.mix64(ha * _GOLDEN + hb)
+    order = np.argsort(hk)
+    # bigrams of an equal key stay in the shuffled part
+    order = order[~np.isin(hk[order], hk[order][1:][hk[order][1:] == hk[order][:-1]])]
+    shared = keyed.sparkSession.sparkContext.broadcast(
+        (hk[order], ha[order], hb[order], head["lt"].to_numpy()[order], head["lb"].to_numpy()[order]))
+
+    def split(batches: Iterator) -> Iterator:
+        hk, ha, hb, lt, lb = shared.value
+        for batch in batches:
+            rows = batch.column(0).to_numpy()
+            doc, a, b = _bigrams(C.texts(batch.column(1)))
+            key = C.mix64(a * _GOLDEN + b)
+            at = np.minimum(np.searchsorted(hk, key), max(len(hk) - 1, 0))
+            inside = (ha[at] == a) & (hb[at] == b) if len(hk) else np.zeros(len(a), bool)
+            t, lo = (np.bincount(doc[inside], x[at[inside]], len(rows)) for x in (lt, lb))
+            n, none = np.bincount(doc, minlength=len(rows)), np.zeros(len(rows), np.int64)
+            # a key of their own, so that these rows spread
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (rows, rows, ~rows, none.astype(np.int32), n.astype(np.int32), t, lo)], names=names)
+            doc, a, b, key = (x[~inside] for x in (doc, a, b, key))
+            order, first = _runs(key + doc.astype(np.uint64) * _GOLDEN, doc, a, b)
+            k, own = np.diff(np.append(first, len(order))).astype(np.int32), order[first]
+            zero = np.zeros(len(k), np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (rows[doc[own]], a[own].view(np.int64), b[own].view(np.int64), k, zero,
+                                                                    zero.astype(np.float64), zero.astype(np.float64))], names=names)
+
+    names = ["row", "a", "b", "k", "n", "t", "l"]
+    return keyed.mapInArrow(split, "row long, a long, b long, k int, n int, t double, l double")
+
+
+def _score_tables(docs: DataFrame, model: Tables) -> DataFrame:
+    """``score`` with models over every word."""
+    keyed = C.keyed(docs)
+    texts = keyed.select(F.col("__row").alias("row"), F.col("text").cast("string").alias("text"))
+    losses = _valued(model.bigrams, model.words, model.totals)
+
+    def summed(frame: DataFrame, known: DataFrame, how: str) -> DataFrame:
+        return frame.join(known.hint("shuffle_hash"), ["a", "b"], how).groupBy("row").agg(
+            F.sum("n").alias("n"), F.sum(F.col("t") + F.coalesce(F.col("k") * F.col("lt"), F.lit(0.0))).alias("t"),
+            F.sum(F.col("l") + F.coalesce(F.col("k") * F.col("lb"), F.lit(0.0))).alias("l"),
+            F.sum(F.when(F.col("lt").isNull(), F.col("k")).otherwise(0)).alias("missed"))
+
+    sums = C.spill(summed(_document_bigrams(texts, model), losses, "left"), "lm-sums")
+    missed = sums.filter("missed > 0").select("row")
+    if not missed.isEmpty():  # documents that the models weren't counted on: bigrams without a count
+        some = texts.join(missed.hint("shuffle_hash"), "row", "left_semi")
+        rest = _document_bigrams(some, model).filter("k > 0").join(model.bigrams, ["a", "b"], "left_anti")
+        rest = C.spill(rest, "lm-unseen")
+        unseen = rest.select("a", "b").distinct().withColumns({"n": F.lit(0), "n_t": F.lit(0)})
+        more = summed(rest, _valued(unseen, model.words, model.totals), "inner")
+        sums = sums.unionByName(more).groupBy("row").agg(*[F.sum(c).alias(c) for c in ("n", "t", "l")])
+    sums = sums.select(F.col("row").alias("__row"), F.col("n").alias("__n"), (F.col("t") / F.col("n")).alias("__t"), (F.col("l") / F.col("n")).alias("__l"))
+    out = keyed.join(sums.hint("shuffle_hash"), "__row")
+    return out.withColumns({"n_tokens": F.col("__n"), "ce_target": F.col("__t"), "ce_background": F.col("__l"),
+                            "ce_difference": F.col("__t") - F.col("__l")}).drop("__row", "__n", "__t", "__l")
+
+
+def fit(docs: DataFrame, labels: DataFrame, size: int | None = VOCABULARY) -> Tables | tuple[list[str], np.ndarray, np.ndarray]:
+    """The models over every word; with a ``size`` the vocabulary and the losses under the target and the background model."""
     good = labels.filter(F.col("quality").cast("int") == 1).select(F.col("doc_id").alias("_id")).distinct()
     # a shuffle join at every size: the labels grow with the corpus
     flagged = docs.select("doc_id", "text").join(good.hint("shuffle_hash"), F.col("doc_id") == F.col("_id"), "left") \
         .select("text", F.col("_id").isNotNull().alias("_target"))
+    if size is None:
+        return _tables(flagged)
+    words = vocabulary(docs, size)
     n = counts(flagged, words, "_target")
     return words, losses(n[0]), losses(n[1])
 
 
-def score(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray]) -> DataFrame:
+def score(docs: DataFrame, model: Tables | tuple[list[str], np.ndarray, np.ndarray]) -> DataFrame:
     """``docs`` with n_tokens, ce_target, ce_background and ce_difference."""
+    if isinstance(model, Tables):
+        return _score_tables(docs, model)
     words, target, background = model
     C.workers(docs.sparkSession)
     edge, size = len(words) + 1, len(words) + 2

@@ -67,3 +67,25 @@ def test_separates_held_out_quality(spark):
     good, bad = rows[rows.quality == 1].ce_difference, rows[rows.quality == 0].ce_difference
     auc = np.mean([(g < bad).mean() + (g == bad).mean() / 2 for g in good])
     assert auc > 0.5
+
+
+def test_every_word_counts(table):
+    """Documents that differ in rare words only get scores of their own; a model without a cap, also on unseen documents."""
+    common = [(i, " ".join(f"w{j}" for j in range(2_100)), i) for i in range(2)]
+    docs = [*common, (10, "rare alpha one", 10), (11, "rare beta two", 11), (11, "rare beta two", 12), (12, None, 13), (None, "rare alpha two", 14)]
+    frame = table(docs, "doc_id long, text string, word int")
+    model = M.fit(frame, table([(10, 1), (0, 1), (11, 0)], "doc_id long, quality int"))
+    out = M.score(frame, model)
+    assert out.columns == ["doc_id", "text", "word", "n_tokens", "ce_target", "ce_background", "ce_difference"]
+    rows = {r.word: r for r in out.collect()}
+    assert len(rows) == len(docs)
+    for (*_, word), (n, t, b) in zip(docs, brute([d[:2] for d in docs], {10, 0}, None)):
+        assert (rows[word].n_tokens, rows[word].ce_target, rows[word].ce_background) == (n, pytest.approx(t, abs=1e-9), pytest.approx(b, abs=1e-9))
+    assert rows[10].ce_difference < rows[11].ce_difference == rows[12].ce_difference
+    unseen = M.score(table([(1, "alpha new beta one"), (2, "w5 w7"), (3, "rare alpha one")]), model).orderBy("doc_id").collect()
+    assert [r.n_tokens for r in unseen] == [5, 3, 4] and all(np.isfinite(r.ce_difference) for r in unseen)
+    assert unseen[2].ce_difference == pytest.approx(rows[10].ce_difference, abs=1e-9)
+    none = M.score(frame, M.fit(frame, table([(99, 1)], "doc_id long, quality int"))).collect()
+    assert np.allclose([r.ce_target for r in none], math.log(2_100 + 5 + 2))
+    empty = table([], "doc_id long, text string")
+    assert M.score(empty, M.fit(empty, table([(99, 1)], "doc_id long, quality int"))).count() == 0
