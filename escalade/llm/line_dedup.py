@@ -23,7 +23,7 @@ Defined results: a null or empty text has no lines and stays as it is; blank lin
 (blanks, tabs, carriage returns) count for nothing and stay; a document that had
 lines and lost all of them goes from ``dedup``; of repeated rows the later lose their
 lines; null doc_ids come first; extra columns are kept. Words are counted as blanks + 1.
-The input must be a table (or another plan that gives rows in the same partitions when read again).
+Documents are written with their row number once and every step reads that table.
 """
 
 from __future__ import annotations
@@ -39,14 +39,14 @@ _LINES = r"filter(transform(split(coalesce(cast(text as string), ''), '\n'), x -
 
 
 def lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """One row per non-blank line: (row, doc_id, seq, id, ahead, back): the lengths of the
+    """One row per non-blank line of ``docs`` (__row, doc_id, text): (row, doc_id, seq, id, ahead, back): the lengths of the
     shortest runs of ``min_words`` words that start and end here (0: none)."""
     w = min_words
     run = (f"aggregate({{}}, named_struct('s', 0, 'c', 0), (a, x) -> if(a.s >= {w}, a, named_struct('s', a.s + x, 'c', a.c + 1)),"
            f" a -> if(a.s >= {w}, a.c, 0))")
     ahead = run.format(f"slice(n, i + 1, {w})")
     back = run.format(f"reverse(slice(n, greatest(i + 2 - {w}, 1), least(i + 1, {w})))")
-    own = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"),
+    own = docs.select(F.col("__row").alias("row"), F.col("doc_id").cast("long").alias("doc_id"),
                       F.expr(_LINES).alias("l"))
     counted = own.filter(F.size("l") > 0).withColumn("n", F.expr("transform(l, x -> length(x) - length(replace(x, ' ', '')) + 1)"))
     each = F.expr(f"transform(l, (x, i) -> named_struct('id', unhex(md5(x)), 'ahead', {ahead}, 'back', {back}))")
@@ -78,7 +78,7 @@ def suffix_ranks(own: DataFrame, depth: int) -> list[DataFrame]:
 
 
 def deletions(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(row, gone): per document the numbers of its non-blank lines that go."""
+    """(row, gone): per document (__row, doc_id, text) the numbers of its non-blank lines that go."""
     own = C.spill(lines(docs, min_words), "lines")
     levels = suffix_ranks(own, min_words)
     runs = own.filter("ahead > 0").select("row", "doc_id", F.col("seq").alias("start"), F.col("ahead").alias("len"))
@@ -106,9 +106,10 @@ def deletions(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 def apply(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with the text after deletion, ``_lines`` (non-blank lines before) and
     ``_gone`` (numbers of the deleted ones)."""
-    gone = C.spill(deletions(docs, min_words), "line-deletions").withColumnsRenamed({"row": "__row", "gone": "__gone"})
+    keyed = C.keyed(docs)
+    gone = C.spill(deletions(keyed, min_words), "line-deletions").withColumnsRenamed({"row": "__row", "gone": "__gone"})
     # a shuffle join at every size: deletions grow with the corpus
-    joined = docs.withColumn("__row", F.monotonically_increasing_id()).join(gone.hint("shuffle_hash"), "__row", "left")
+    joined = keyed.join(gone.hint("shuffle_hash"), "__row", "left")
     out = joined.withColumns({
         "_lines": F.size(F.expr(_LINES)).cast("long"),
         "_gone": F.coalesce("__gone", F.expr("cast(array() as array<int>)"))})

@@ -26,8 +26,8 @@ on the cluster, each round a written table.
 
 Defined results: texts without words (null, empty, punctuation) are classes of their own;
 repeated rows and ties are copies of each other, the first by (doc_id, row) stays; null doc_ids
-come first; an empty table gives no rows; extra columns are kept by ``dedup``. The input must be a table
-(or another plan that gives rows in the same partitions when read again).
+come first; an empty table gives no rows; extra columns are kept by ``dedup``. Documents are written
+with their row number once and every step reads that table.
 """
 
 from __future__ import annotations
@@ -179,7 +179,7 @@ def sketched(texts: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def signed(docs: DataFrame) -> DataFrame:
-    """(row, doc_id, digest, bands) of every document; null bands where it has no words."""
+    """(row, doc_id, digest, bands) of every document (__row, doc_id, text); null bands where it has no words."""
     C.workers(docs.sparkSession)
 
     def sign(batches: Iterator) -> Iterator:
@@ -191,7 +191,7 @@ def signed(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([rows, ids, pa.array(digests, pa.binary()), _lists(keys, BANDS)],
                                              names=["row", "doc_id", "digest", "bands"])
 
-    return docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), F.col("text").cast("string")) \
+    return docs.select(F.col("__row").alias("row"), F.col("doc_id").cast("long"), F.col("text").cast("string")) \
         .mapInArrow(sign, "row long, doc_id long, digest binary, bands array<long>")
 
 
@@ -247,13 +247,13 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def links(stand_ins: DataFrame, docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(node, component) of the documents in ``stand_ins`` (row, bands) that are linked."""
+    """(node, component) of the documents in ``stand_ins`` (row, bands) that are linked; ``docs`` (__row, text)."""
     members = stand_ins.select("row", F.posexplode("bands").alias("band", "key"))
     buckets = members.groupBy("band", "key").agg(F.count("*").alias("n")).filter("n > 1")
     shared = C.spill(members.join(buckets, ["band", "key"]), "shared-buckets")
     # whole texts of the documents that share a bucket: the one time that texts are shuffled
     some = shared.select("row").distinct().hint("shuffle_hash")
-    texts = C.spill(docs.select(F.monotonically_increasing_id().alias("row"), F.col("text").cast("string").alias("text"))
+    texts = C.spill(docs.select(F.col("__row").alias("row"), F.col("text").cast("string").alias("text"))
                     .join(some, "row", "left_semi"), "candidate-texts")
     # the lead of a bucket is its member with the largest buckets: the nearest to the middle of its copies
     weight = shared.groupBy("row").agg(F.sum("n").alias("weight"))
@@ -291,6 +291,11 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
     ``class_id`` is the least doc_id of the class; one document of each class stays.
     """
+    return _classes(C.keyed(docs.select("doc_id", "text")), threshold)
+
+
+def _classes(docs: DataFrame, threshold: float) -> DataFrame:
+    """``classes`` of a written table with the row numbers ``__row``."""
     own = C.spill(signed(docs), "signatures")
     copies = own.filter(F.col("digest").isNotNull()).groupBy("digest").agg(F.min("row").alias("lead"))
     copies = C.spill(copies, "copies")
@@ -309,8 +314,9 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 @C.keeps_columns
 def dedup(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One document of each class, columns unchanged."""
-    stays = classes(docs, threshold).filter("stays").select(F.col("row").alias("_row"))
-    return docs.withColumn("_row", F.monotonically_increasing_id()).join(stays.hint("shuffle_hash"), "_row", "left_semi").select(*docs.columns)
+    keyed = C.keyed(docs)
+    stays = _classes(keyed, threshold).filter("stays").select(F.col("row").alias("__row"))
+    return keyed.join(stays.hint("shuffle_hash"), "__row", "left_semi").select(*docs.columns)
 
 
 def op4_minhash_near_dedup(spark, sf_dir: str) -> DataFrame:

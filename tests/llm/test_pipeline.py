@@ -68,3 +68,29 @@ def test_stages_keep_columns_of_an_empty_table(spark, table):
         assert stage(spark, docs, SF).columns == docs.columns
     assert P.STAGES[-1][1](spark, docs, SF).count() == 0
     assert line_dedup.dedup(docs).count() == near_dup.dedup(docs).count() == 0
+
+
+def test_row_numbers_outlast_another_split_layout(spark, table):
+    """Splits that change between the jobs (as when executors come or go) don't mix up rows."""
+    long = "this line is repeated and it has more than ten words in all"
+    rows = [(i, f"own line {i} with a number of further words that nobody else has {i * 7}") for i in range(30)]
+    rows += [(100 + i, f"{long}\nkept {i}") for i in range(6)] + [(200 + i, "one text that is here in some copies " * 4) for i in range(5)]
+    docs = table(rows, parts=5)
+    bench = table([("q", "nobody else has")], "item_id string, text string", parts=1)
+    settings = {"spark.sql.files.openCostInBytes": "1", "spark.sql.files.minPartitionNum": "1"}
+    old = {k: spark.conf.get(k, None) for k in settings}
+    outs = [lambda: line_dedup.apply(docs), lambda: near_dup.dedup(docs), lambda: decontam.scan(docs, bench, 3, 0)]
+    found = []
+    for make in outs:
+        expected = sorted(map(str, make().collect()))
+        out = make()  # its jobs so far read the splits of before
+        try:
+            for k, v in settings.items():
+                spark.conf.set(k, v)
+            found.append((sorted(map(str, out.collect())), expected))
+        finally:
+            for k, v in old.items():
+                spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert docs.rdd.getNumPartitions() > 1
+    for got, expected in found:
+        assert got == expected
