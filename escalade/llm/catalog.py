@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from escalade.llm import chat, decontam, line_dedup, lm_score, near_dup, packing, periodic, pii, search, toxicity, url_filter, whitening
+from escalade.llm import (
+    chat, decontam, line_dedup, lm_score, near_dup, packing, periodic, pii, quality, search, toxicity, url_filter, whitening,
+)
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
@@ -16,6 +18,7 @@ QUERIES = {
     "op9_chat_formatting": chat.op9_chat_formatting,
     "op10_benchmark_decontamination": decontam.op10_benchmark_decontamination,
     "op11_embedding_whitening": whitening.op11_embedding_whitening,
+    "op12_quality_classifier": quality.op12_quality_classifier,
     "op13_periodic_runs": periodic.op13_periodic_runs,
 }
 ORACLES: dict[str, str] = {
