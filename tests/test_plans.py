@@ -8,7 +8,8 @@ SF = "/root/testdata/sf0.001"
 PYTHON_NODES = ("BatchEvalPython", "ArrowEvalPython", "MapInPandas", "FlatMapGroupsInPandas", "PythonUDF")
 # plans allowed to run Python: the McNemar p-value (one row per comparison), a user's
 # scoring function, and Arrow batches that map token arrays to ids or dense features
-PYTHON_OK = {"mcnemar", "scores_user_model", "fixed_length_ids", "lr_fit_score", "lr_predictions"}
+PYTHON_OK = {"mcnemar", "scores_user_model", "fixed_length_ids", "lr_fit_score", "lr_predictions",
+             "subword_ids", "subword_ids_truncated", "lazy_cascade", "lazy_sweep"}
 
 
 def executed(df):
