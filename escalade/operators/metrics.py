@@ -18,10 +18,10 @@ from escalade.schemas import require_columns
 
 def confusion(df: DataFrame, gold: str = "gold_label", pred: str = "prediction",
               group: Sequence[str] = ("config",)) -> DataFrame:
-    """Counts per (group, gold, pred)."""
+    """Counts per (group, gold, pred); rows with a column ``n`` stand for n answers."""
     require_columns(df, [*group, gold, pred])
-    return df.groupBy(*group, F.col(gold).alias("gold"), F.col(pred).alias("pred")) \
-        .agg(F.count(F.lit(1)).alias("n"))
+    count = F.sum("n") if "n" in df.columns else F.count(F.lit(1))
+    return df.groupBy(*group, F.col(gold).alias("gold"), F.col(pred).alias("pred")).agg(count.alias("n"))
 
 
 def per_class(conf: DataFrame, group: Sequence[str] = ("config",)) -> DataFrame:

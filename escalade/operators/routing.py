@@ -102,6 +102,13 @@ class Cascade:
     # optional: all three tiers for every row in one pass, as a wide table
     # (sample_id, gold_label, bytes_sent, pred1, conf1, pred2, conf2, pred3, conf3)
     fused: Callable[[DataFrame], DataFrame] | None = None
+    # optional: (samples, theta1_max, theta2_max) -> the table of ``wide`` without its joins
+    one_pass: Callable[[DataFrame, float, float], DataFrame] | None = None
+
+    def __post_init__(self):
+        for k, tier in enumerate((self.tier1, self.tier2, self.tier3), 1):
+            if not callable(tier):
+                raise TypeError(f"tier {k} must be a function of samples, not {tier!r}")
 
     def wide(self, samples: DataFrame, theta1_max: float, theta2_max: float) -> DataFrame:
         """One row per sample: pred/conf of every tier it can reach under
@@ -110,6 +117,8 @@ class Cascade:
         ``samples`` holds sample_id, gold_label, bytes_sent and what the scorers
         read (text, or its token array ``terms``).
         """
+        if self.one_pass is not None:
+            return self.one_pass(samples, theta1_max, theta2_max)
         s1 = _slim(self.tier1(samples), 1)
         esc1 = s1.where(F.col("conf1") < F.lit(theta1_max)).select("sample_id")
         s2_in = samples.join(esc1, "sample_id", "left_semi")

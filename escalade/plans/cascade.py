@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from escalade.functions.text import utf8_bytes
+from escalade.operators.cube import decision_cube, outcomes
 from escalade.operators.labels import collect_labels, encode_with_list, label_dictionary
 from escalade.operators.routing import Cascade, decisions_from_wide, wide_scores
 from escalade.operators.scoring import (NaiveBayesTier, can_fuse, class_fold_docs, score_fused, term_class_counts,
@@ -57,6 +58,7 @@ class DocumentCascade:
     tiers: tuple[NaiveBayesTier, NaiveBayesTier, NaiveBayesTier]
     cascade: Cascade
     _wide: DataFrame | None = None
+    _cube: DataFrame | None = None
 
     def wide(self) -> DataFrame:
         """Per-sample scores of every tier the sweep and ablations need,
@@ -68,6 +70,16 @@ class DocumentCascade:
     def decisions(self) -> DataFrame:
         return decisions_from_wide(self.wide(), self.cascade.costs)
 
+    def cube(self) -> DataFrame:
+        """The contingency cube of the wide table: what all decision reports read."""
+        if self._cube is None:
+            self._cube = materialize(decision_cube(self.wide()), "decision-cube")
+        return self._cube
+
+    def outcomes(self) -> DataFrame:
+        """Decisions of all configurations, grouped (``cube.outcomes``)."""
+        return outcomes(self.cube(), self.cascade.costs)
+
 
 # Fitted cascades of this process, keyed by session, input and parameters
 # (fit once, score many). The key holds the input's size and modification

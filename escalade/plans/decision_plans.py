@@ -4,11 +4,11 @@ from __future__ import annotations
 
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from escalade.operators import analysis as A
 from escalade.operators import metrics as M
 from escalade.operators import routing as R
+from escalade.operators.cube import mcnemar, tier_answers
 from escalade.operators.labels import label_dictionary
 from escalade.plans import cascade as C
 from escalade.plans.oracle import with_cascade, with_cascade_extra, with_decisions, with_decisions_extra
@@ -28,6 +28,11 @@ def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.build(spark, sf_dir).decisions()
 
 
+def outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decisions of all 28 configurations in groups (from the fitted cascade's cube)."""
+    return C.build(spark, sf_dir).outcomes()
+
+
 def _dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return label_dictionary(read_table(spark, sf_dir, "documents"), "lang")
 
@@ -116,17 +121,17 @@ def q_sweep_summary(spark, sf_dir):
 
 @plan("escalation_rates", with_decisions(RATES_SQL))
 def q_escalation_rates(spark, sf_dir):
-    return rounded(A.escalation_rates(decisions(spark, sf_dir)))
+    return rounded(A.escalation_rates(outcomes(spark, sf_dir)))
 
 
 @plan("escalation_thresholded", with_decisions(f"SELECT * FROM ({RATES_SQL}) WHERE theta1 IS NOT NULL"))
 def q_escalation_thresholded(spark, sf_dir):
-    return rounded(A.thresholded_only(A.escalation_rates(decisions(spark, sf_dir))))
+    return rounded(A.thresholded_only(A.escalation_rates(outcomes(spark, sf_dir))))
 
 
 @plan("escalation_ablations", with_decisions(f"SELECT * FROM ({RATES_SQL}) WHERE theta1 IS NULL"))
 def q_escalation_ablations(spark, sf_dir):
-    return rounded(A.ablations_only(A.escalation_rates(decisions(spark, sf_dir))))
+    return rounded(A.ablations_only(A.escalation_rates(outcomes(spark, sf_dir))))
 
 
 PARETO_CTES = f"""rates AS ({RATES_RAW_SQL}),
@@ -144,7 +149,7 @@ WHERE NOT EXISTS (
 
 @plan("pareto_front", with_decisions_extra(PARETO_CTES, PARETO_SQL))
 def q_pareto_front(spark, sf_dir):
-    rates = A.thresholded_only(A.escalation_rates(decisions(spark, sf_dir)))
+    rates = A.thresholded_only(A.escalation_rates(outcomes(spark, sf_dir)))
     return rounded(A.pareto_front(rates, "mean_latency_ms", "accuracy"))
 
 
@@ -152,7 +157,7 @@ def q_pareto_front(spark, sf_dir):
 SELECT * FROM ({RATES_SQL}) WHERE theta1 IS NOT NULL
 ORDER BY accuracy DESC, mean_latency_ms ASC, config LIMIT 1"""))
 def q_optimal_config(spark, sf_dir):
-    rates = A.thresholded_only(A.escalation_rates(decisions(spark, sf_dir)))
+    rates = A.thresholded_only(A.escalation_rates(outcomes(spark, sf_dir)))
     return rounded(A.optimal_config(rates))
 
 
@@ -160,7 +165,7 @@ def q_optimal_config(spark, sf_dir):
 SELECT config, round_even(sum(bytes_sent)::DOUBLE / nullif(count(*) FILTER (WHERE correct), 0), 2) AS bytes_per_correct
 FROM decisions GROUP BY config"""))
 def q_bytes_per_correct(spark, sf_dir):
-    return A.bytes_per_correct(decisions(spark, sf_dir))
+    return A.bytes_per_correct(outcomes(spark, sf_dir))
 
 
 # p-value: 1 - erf(sqrt(s/2)) with erf(x) = 2/sqrt(pi) e^{-x^2} sum_n x^{2n+1} 4^n n! / (2n+1)!
@@ -189,7 +194,7 @@ FROM pv"""
 
 @plan("mcnemar", with_decisions_extra(MCNEMAR_CTES, MCNEMAR_SQL))
 def q_mcnemar(spark, sf_dir):
-    return A.mcnemar(decisions(spark, sf_dir), MCNEMAR_A, MCNEMAR_B)
+    return mcnemar(C.build(spark, sf_dir).cube(), MCNEMAR_A, MCNEMAR_B)
 
 
 @plan("errors_by_tier", with_decisions("""
@@ -201,7 +206,7 @@ FROM (SELECT DISTINCT config FROM decisions) c CROSS JOIN (VALUES (1), (2), (3))
 LEFT JOIN decisions d ON d.config = c.config AND d.tier_used = t.tier
 GROUP BY c.config, t.tier"""))
 def q_errors_by_tier(spark, sf_dir):
-    return rounded(A.errors_by_tier(decisions(spark, sf_dir)))
+    return rounded(A.errors_by_tier(outcomes(spark, sf_dir)))
 
 
 DICT_SQL = "(SELECT lang AS class, (row_number() OVER (ORDER BY lang) - 1)::INT AS label_id FROM (SELECT DISTINCT lang FROM documents))"
@@ -213,7 +218,7 @@ FROM (SELECT config, coalesce(k.class, 'unknown') AS class, count(*) AS n_errors
       FROM decisions d LEFT JOIN {DICT_SQL} k ON k.label_id = d.gold_label
       WHERE NOT d.correct GROUP BY ALL)"""))
 def q_errors_by_class(spark, sf_dir):
-    return A.errors_by_class(decisions(spark, sf_dir), _dictionary(spark, sf_dir))
+    return A.errors_by_class(outcomes(spark, sf_dir), _dictionary(spark, sf_dir))
 
 
 @plan("escalation_effect", with_decisions("""
@@ -221,7 +226,7 @@ SELECT config, round(avg(CASE WHEN tier_used > 1 THEN correct::INT END), 6) AS e
        count(*) FILTER (WHERE tier_used > 1) AS n_escalated, count(*) FILTER (WHERE NOT correct) AS n_total_errors
 FROM decisions GROUP BY config"""))
 def q_escalation_effect(spark, sf_dir):
-    return rounded(A.escalation_effect(decisions(spark, sf_dir)))
+    return rounded(A.escalation_effect(outcomes(spark, sf_dir)))
 
 
 @plan("summarise", with_decisions("""
@@ -230,12 +235,12 @@ SELECT config, round_even(avg(correct::INT), 4) AS accuracy, round_even(avg(late
        count(*) FILTER (WHERE tier_used = 3) AS tier3_n
 FROM decisions GROUP BY config"""))
 def q_summarise(spark, sf_dir):
-    return A.summarise(decisions(spark, sf_dir))
+    return A.summarise(outcomes(spark, sf_dir))
 
 
 @plan("tier_counts", with_decisions("SELECT config, tier_used, count(*) AS n FROM decisions GROUP BY ALL"))
 def q_tier_counts(spark, sf_dir):
-    return A.tier_counts(decisions(spark, sf_dir))
+    return A.tier_counts(outcomes(spark, sf_dir))
 
 
 def _matrix_sql(metric: str) -> str:
@@ -246,13 +251,13 @@ def _matrix_sql(metric: str) -> str:
 
 @plan("sweep_matrix", _matrix_sql("accuracy"))
 def q_sweep_matrix(spark, sf_dir):
-    rates = A.escalation_rates(decisions(spark, sf_dir))
+    rates = A.escalation_rates(outcomes(spark, sf_dir))
     return rounded(A.sweep_matrix(rates, "accuracy", T2S))
 
 
 @plan("sweep_matrix_latency", _matrix_sql("mean_latency_ms"))
 def q_sweep_matrix_latency(spark, sf_dir):
-    rates = A.escalation_rates(decisions(spark, sf_dir))
+    rates = A.escalation_rates(outcomes(spark, sf_dir))
     return rounded(A.sweep_matrix(rates, "mean_latency_ms", T2S))
 
 
@@ -260,7 +265,7 @@ def q_sweep_matrix_latency(spark, sf_dir):
 
 @plan("confusion", with_decisions("SELECT config, gold_label AS gold, prediction AS pred, count(*) AS n FROM decisions GROUP BY ALL"))
 def q_confusion(spark, sf_dir):
-    return M.confusion(decisions(spark, sf_dir))
+    return M.confusion(outcomes(spark, sf_dir))
 
 
 PERCLASS_SQL = """
@@ -279,7 +284,7 @@ prf AS (
 SELECT config, round(sum(tp)::DOUBLE / sum(support), 6) AS accuracy, round(avg(f1), 6) AS f1_macro
 FROM prf GROUP BY config"""))
 def q_macro_f1(spark, sf_dir):
-    return rounded(M.macro_f1(decisions(spark, sf_dir)))
+    return rounded(M.macro_f1(outcomes(spark, sf_dir)))
 
 
 @plan("macro_f1_fixed", with_decisions_extra(PERCLASS_SQL, f"""
@@ -288,7 +293,7 @@ SELECT config, round(sum(tp)::DOUBLE / sum(support), 6) AS accuracy,
              / (SELECT count(*) FROM {DICT_SQL}), 6) AS f1_macro
 FROM prf GROUP BY config"""))
 def q_macro_f1_fixed(spark, sf_dir):
-    return rounded(M.macro_f1_fixed(decisions(spark, sf_dir), _dictionary(spark, sf_dir)))
+    return rounded(M.macro_f1_fixed(outcomes(spark, sf_dir), _dictionary(spark, sf_dir)))
 
 
 @plan("classification_report", with_decisions_extra(PERCLASS_SQL + f""",
@@ -304,7 +309,7 @@ UNION ALL SELECT config, 'accuracy', NULL, NULL, round(tp::DOUBLE / n, 6), n FRO
 UNION ALL SELECT config, 'macro avg', round(mp, 6), round(mr, 6), round(mf, 6), n FROM tot
 UNION ALL SELECT config, 'weighted avg', round(wp, 6), round(wr, 6), round(wf, 6), n FROM tot"""))
 def q_classification_report(spark, sf_dir):
-    return rounded(M.classification_report(decisions(spark, sf_dir), _dictionary(spark, sf_dir)))
+    return rounded(M.classification_report(outcomes(spark, sf_dir), _dictionary(spark, sf_dir)))
 
 
 TIER_QUALITY_CTES = """long AS (
@@ -326,8 +331,4 @@ SELECT tier, round(sum(tp)::DOUBLE / sum(support), 6) AS accuracy, round(avg(f1)
 FROM prf GROUP BY tier"""))
 def q_tier_quality(spark, sf_dir):
     """Accuracy and macro-F1 of each tier alone, over every document (cross-fitted)."""
-    w = C.build(spark, sf_dir).wide()
-    long = w.select("gold_label", F.explode(F.array(*[
-        F.struct(F.lit(k).alias("tier"), F.col(f"pred{k}").alias("prediction")) for k in (1, 2, 3)])).alias("t")) \
-        .select("t.tier", "gold_label", "t.prediction")
-    return rounded(M.macro_f1(long, group=("tier",)))
+    return rounded(M.macro_f1(tier_answers(C.build(spark, sf_dir).cube()), group=("tier",)))

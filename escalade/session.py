@@ -75,6 +75,16 @@ def drop_scratch(spark: SparkSession) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def importable(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver has it (on a cluster
+    it is installed or passed with ``--py-files``)."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([*paths, root])
+
+
 def materialize(df, name: str):
     """Compute ``df`` once: written as Parquet to the shared folder and read back.
 
