@@ -2,20 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Upper bound on a label dictionary: labels are classes, not data.
+from escalade.operators.indexing import positional_index
+
+# Upper bound on the class names that are held outside a table (``collect_labels``).
 MAX_CLASSES = 10_000
 
 
 def label_dictionary(df: DataFrame, col: str) -> DataFrame:
     """(label_id int, label string): distinct values, sorted, numbered from 0.
 
-    The window runs on the already-distinct values only.
+    Numbered by ranges (``positional_index``), so a column may have any number of values.
     """
     d = df.select(F.col(col).alias("label")).where(F.col("label").isNotNull()).distinct()
-    return d.select((F.row_number().over(Window.orderBy("label")) - 1).cast("int").alias("label_id"), "label")
+    return positional_index(d, ["label"], "label_id").select(F.col("label_id").cast("int").alias("label_id"), "label")
 
 
 def fixed_dictionary(spark: SparkSession, labels: list[str]) -> DataFrame:
@@ -24,7 +26,7 @@ def fixed_dictionary(spark: SparkSession, labels: list[str]) -> DataFrame:
 
 
 def collect_labels(dictionary: DataFrame) -> list[str]:
-    """The class names in id order. Bounded by MAX_CLASSES (checked)."""
+    """The class names in id order, for models that hold a number per class; bounded (checked)."""
     rows = dictionary.orderBy("label_id").limit(MAX_CLASSES + 1).collect()
     if len(rows) > MAX_CLASSES:
         raise ValueError(f"more than {MAX_CLASSES} classes")

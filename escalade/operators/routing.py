@@ -126,15 +126,29 @@ class Cascade:
         esc2 = s2.where(F.col("conf2") < F.lit(theta2_max)).select("sample_id")
         s3_in = samples.join(esc2, "sample_id", "left_semi")
         s3 = _slim(self.tier3(s3_in), 3)
-        base = samples.select("sample_id", "gold_label", "bytes_sent")
-        return (base.join(s1, "sample_id", "left")
-                .join(s2, "sample_id", "left")
-                .join(s3, "sample_id", "left"))
+        return _with_all(samples, s1).join(s2, "sample_id", "left").join(s3, "sample_id", "left")
+
+
+def _once(scores: DataFrame) -> DataFrame:
+    """(sample_id, label, confidence) of scores; a sample scored twice fails (the count
+    shares the exchange of the join that follows)."""
+    s = scores.groupBy("sample_id").agg(F.count(F.lit(1)).alias("__n"), F.max("label").alias("label"), F.max("confidence").alias("confidence"))
+    return s.select("sample_id", F.when(F.col("__n") > 1, F.raise_error(F.concat(
+        F.col("__n").cast("string"), F.lit(" scores for sample "), F.col("sample_id").cast("string"))))
+        .otherwise(F.col("label")).alias("label"), "confidence")
 
 
 def _slim(scores: DataFrame, k: int) -> DataFrame:
-    return scores.select("sample_id", F.col("label").alias(f"pred{k}"),
-                         F.col("confidence").alias(f"conf{k}"))
+    return _once(scores).select("sample_id", F.col("label").alias(f"pred{k}"), F.col("confidence").alias(f"conf{k}"))
+
+
+def _with_all(samples: DataFrame, scores: DataFrame) -> DataFrame:
+    """(sample_id, gold_label, bytes_sent) with the scores' columns; a score without a sample fails."""
+    base = samples.select("sample_id", "gold_label", "bytes_sent", F.lit(True).alias("__is"))
+    j = base.join(scores, "sample_id", "full_outer")
+    return j.withColumn("sample_id", F.when(F.col("__is").isNull(), F.raise_error(F.concat(
+        F.lit("a score for sample "), F.coalesce(F.col("sample_id").cast("string"), F.lit("null")), F.lit(", which isn't among the samples"))))
+        .otherwise(F.col("sample_id"))).drop("__is")
 
 
 def config_name(theta1: float, theta2: float) -> str:
@@ -271,10 +285,9 @@ def summary_from_wide(w: DataFrame, costs: Sequence[float] = DEFAULT_TIER_COST_M
 # --------------------------------------------------------------------------
 
 def _decisions_from(scores: DataFrame, samples: DataFrame, tier: int, latency: float) -> DataFrame:
-    s = scores.select("sample_id", "label", F.col("confidence").alias("__conf"))
-    # every sample must get a score: a missing one fails the row (no silent drop)
-    j = samples.select("sample_id", "gold_label", "bytes_sent").join(s, "sample_id", "left") \
-        .withColumn("confidence", F.when(F.col("label").isNull(), F.raise_error(
+    s = _once(scores).withColumnRenamed("confidence", "__conf")
+    # every sample must get one score: a missing, repeated or extra one fails (no silent drop)
+    j = _with_all(samples, s).withColumn("confidence", F.when(F.col("label").isNull(), F.raise_error(
             F.concat(F.lit("no score for sample "), F.col("sample_id").cast("string")))).otherwise(F.col("__conf")))
     return j.select(F.col("sample_id").alias("sample_idx"), F.lit(tier).alias("tier_used"),
                     F.col("label").cast("int").alias("prediction"), F.col("gold_label").cast("int").alias("gold_label"),
@@ -299,8 +312,7 @@ def ablation_two_tier(cascade: Cascade, samples: DataFrame, theta: float = TWO_T
     s1 = _slim(cascade.tier1(samples), 1)
     esc = s1.where(F.col("conf1") < F.lit(t)).select("sample_id")
     s2 = _slim(cascade.tier2(samples.join(esc, "sample_id", "left_semi")), 2)
-    w = samples.select("sample_id", "gold_label", "bytes_sent").join(s1, "sample_id", "left") \
-        .join(s2, "sample_id", "left")
+    w = _with_all(samples, s1).join(s2, "sample_id", "left")
     tier = F.when(checked_confidence(F.col("conf1")) >= F.lit(t), F.lit(1)).otherwise(F.lit(2))
     pred = scored(F.when(tier == 1, F.col("pred1")).otherwise(F.col("pred2")))
     return w.select(F.col("sample_id").alias("sample_idx"), tier.alias("tier_used"),
@@ -340,8 +352,7 @@ def wide_scores(cascade: Cascade, samples: DataFrame, theta1s: Sequence[float] =
     esc1 = s1.where(F.col("conf1") < F.lit(max(max(theta1s), t2x))).select("sample_id")
     s2 = _slim(cascade.tier2(samples.join(esc1, "sample_id", "left_semi")), 2)
     s3 = _slim(cascade.tier3(samples), 3)
-    return (samples.select("sample_id", "gold_label", "bytes_sent").join(s1, "sample_id", "left")
-            .join(s2, "sample_id", "left").join(s3, "sample_id", "left"))
+    return _with_all(samples, s1).join(s2, "sample_id", "left").join(s3, "sample_id", "left")
 
 
 def decisions_from_wide(wide: DataFrame, costs: Sequence[float] = DEFAULT_TIER_COST_MS,
