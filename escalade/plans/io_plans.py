@@ -106,6 +106,29 @@ def q_corpus_scan(spark, sf_dir):
     return CO.corpus_scan(spark, out, json_lines=True).select("split", "intent", "text")
 
 
+@plan("corpus_scan_split", """
+SELECT CASE WHEN l_quantity % 5 = 0 THEN 'validate' ELSE 'train' END AS split,
+       CASE l_returnflag WHEN 'A' THEN 'AddToPlaylist' WHEN 'N' THEN 'BookRestaurant' ELSE 'GetWeather' END AS intent,
+       regexp_replace(l_returnflag || ' "data": ' || l_linestatus || ' ' || l_orderkey || ':' || l_linenumber, '^\\s+|\\s+$', '', 'g') AS text
+FROM lineitem""")
+def q_corpus_scan_split(spark, sf_dir):
+    """lineitem rows -> one corpus file (a folder of parts) a split and intent -> scan by byte ranges."""
+    import warnings
+
+    out = _scratch(spark, "corpus-split")
+    rows = read_table(spark, sf_dir, "lineitem")
+    intent = F.when(F.col("l_returnflag") == "A", "AddToPlaylist").when(F.col("l_returnflag") == "N", "BookRestaurant").otherwise("GetWeather")
+    split = F.when(F.col("l_quantity") % 5 == 0, "validate").otherwise("train")
+    text = F.concat("l_returnflag", F.lit(' "data": '), "l_linestatus", F.lit(" "), "l_orderkey", F.lit(":"), "l_linenumber")
+    rows = rows.select(split.alias("split"), intent.alias("intent"), text.alias("text"))
+    for s in CO.SPLIT_FILES:
+        for i in ("AddToPlaylist", "BookRestaurant", "GetWeather"):
+            CO.write_corpus_files(rows.where((F.col("split") == s) & (F.col("intent") == i)), s, i, "text", out)
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")  # the other intents have no file here
+        return CO.corpus_scan_split(spark, out, encoding="UTF-8").select("split", "intent", "text")
+
+
 @plan("stream_decision_log", LOG_SQL)
 def q_stream_decision_log(spark, sf_dir):
     from escalade.streaming.decision_log import stream_decision_log
