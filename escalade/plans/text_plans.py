@@ -294,60 +294,57 @@ def q_flatten_utterance(spark, sf_dir):
     return flatten_turns(read_table(spark, sf_dir, "conversations"), "conv_id", "turn", "text")
 
 
-def _lr_samples(spark, sf_dir):
-    """(samples with doc_id, fold, gold, x; class names): the TF-IDF features of every document."""
-    from escalade.operators.labels import collect_labels, encode_with_list
-    from escalade.operators.learned import dense_features
-    from escalade.plans.cascade import corpus_tokens
-
-    toks = corpus_tokens(spark, sf_dir).withColumnRenamed("sample_id", "doc_id")
-    tc = FT.tokenize(toks, "doc_id")
-    voc = materialize(FT.vocabulary(tc, VOCAB_N), "vocabulary")
-    x = dense_features(FT.tfidf(tc, "doc_id", voc, documents=toks), "doc_id", voc, VOCAB_N)
-    labels = collect_labels(label_dictionary(toks, "lang"))
-    d = toks.select("doc_id", "fold", encode_with_list(F.col("lang"), labels).cast("double").alias("gold")).join(x, "doc_id", "left")
-    zeros = F.array_repeat(F.lit(0.0), VOCAB_N)
-    return materialize(d.withColumn("x", F.coalesce("x", zeros)), "lr-samples"), labels
-
+_LINEAR: dict = {}
 
-def _cross_fitted(spark, sf_dir, score_train: bool):
-    """Per fold: (fold, the other folds' or the fold's own rows scored by the fit on the other folds)."""
-    from escalade.operators.learned import lr_fit_score
-    from escalade.plans.cascade import N_FOLDS
 
-    d, labels = _lr_samples(spark, sf_dir)
-    for k in range(N_FOLDS):
-        train = d.where(F.col("fold") != k)
-        yield k, lr_fit_score(train, train if score_train else d.where(F.col("fold") == k), "x", "gold", round_dp=None), labels
-
-
-@plan("lr_fit_score", f"""WITH {TC_SQL}, {VOC_SQL}
+def _linear(spark, sf_dir):
+    """(sparse rows with doc_id, fold, gold; their cross-fitted model; class names), kept for the session's last input."""
+    from escalade.operators import linear as LN
+    from escalade.operators.labels import collect_labels, encode_with_list
+    from escalade.plans.cascade import N_FOLDS, _session_key, _signature, corpus_tokens
+
+    key = (*_session_key(spark), sf_dir, _signature(spark, f"{sf_dir}/documents.parquet"))
+    if key not in _LINEAR:
+        toks = corpus_tokens(spark, sf_dir).withColumnRenamed("sample_id", "doc_id")
+        tc = FT.tokenize(toks, "doc_id")
+        voc = materialize(FT.vocabulary(tc, VOCAB_N), "vocabulary")
+        labels = collect_labels(label_dictionary(toks, "lang"))
+        samples = toks.select("doc_id", "fold", encode_with_list(F.col("lang"), labels).alias("gold"))
+        rows = LN.sparse_rows(samples, FT.tfidf(tc, "doc_id", voc, documents=toks), voc, "doc_id")
+        rows = materialize(rows, "linear-rows")
+        model = LN.fit(rows, voc.count(), len(labels), N_FOLDS)
+        _LINEAR.clear()
+        _LINEAR[key] = rows, model, labels
+    return _LINEAR[key]
+
+
+@plan("lr_fit_score", f"""WITH {TC_SQL}, {VOC_SQL},
+cls AS (SELECT DISTINCT dense_rank() OVER (ORDER BY lang) - 1 AS id FROM documents),
+weights AS (SELECT term_id FROM voc UNION ALL SELECT count(*) FROM voc)
 SELECT 'gold' AS what, doc_id AS id, (dense_rank() OVER (ORDER BY lang) - 1)::DOUBLE AS value FROM documents
 UNION ALL SELECT 'norm', doc_id, CASE WHEN doc_id IN (SELECT doc_id FROM tc JOIN voc USING (term)) THEN 1.0 ELSE 0.0 END::DOUBLE FROM documents
-UNION ALL SELECT 'mass', f.fold * 100 + c.id, 0.0::DOUBLE FROM range(5) f(fold), (SELECT DISTINCT dense_rank() OVER (ORDER BY lang) - 1 AS id FROM documents) c""")
+UNION ALL SELECT 'weight', (f.fold * 100 + c.id) * 1000000 + w.term_id, 0.0::DOUBLE FROM range(5) f(fold), cls c, weights w""")
 def q_lr_fit_score(spark, sf_dir):
-    """What holds at the optimum of each fold's fit: per class, the predicted minus the
-    observed share of the training rows is 0 (the condition of the free intercept); with
-    the gold labels and feature norms that the fits read."""
+    """What holds at the optimum of each fold's fit: the gradient of every weight and intercept is
+    0; with the gold labels and feature norms that the fits read."""
+    from escalade.operators import linear as LN
     from escalade.operators.learned import norm
 
-    d, _ = _lr_samples(spark, sf_dir)
-    out = d.select(F.lit("gold").alias("what"), F.col("doc_id").alias("id"), F.col("gold").alias("value")) \
-        .unionByName(d.select(F.lit("norm").alias("what"), F.col("doc_id").alias("id"), F.round(norm(F.col("x")), 4).alias("value")))
-    for k, scored, labels in _cross_fitted(spark, sf_dir, True):
-        gaps = [F.struct(F.lit(k * 100 + l).cast("long").alias("id"),
-                         (F.round(F.avg(F.col("proba")[l] - (F.col("gold") == l).cast("double")), 5) + 0.0).alias("value"))
-                for l in range(len(labels))]
-        one = scored.agg(F.array(*gaps).alias("g")).select(F.lit("mass").alias("what"), F.explode("g").alias("g")).select("what", "g.*")
-        out = out.unionByName(one)
-    return out
+    rows, model, _ = _linear(spark, sf_dir)
+    number = (F.col("fold") * 100 + F.col("class")).cast("long") * 1_000_000 + F.col("position")
+    weights = LN.conditions(rows, model, "doc_id").select(
+        F.lit("weight").alias("what"), number.alias("id"), (F.round("value", 6) + 0.0).alias("value"))
+    return rows.select(F.lit("gold").alias("what"), F.col("doc_id").alias("id"), F.col("gold").cast("double").alias("value")) \
+        .unionByName(rows.select(F.lit("norm").alias("what"), F.col("doc_id").alias("id"), F.round(norm(F.col("values")), 4).alias("value"))) \
+        .unionByName(weights)
 
 
 @plan("lr_predictions")
 def q_lr_predictions(spark, sf_dir):
-    """Cross-fitted predictions of the learned tier for every document; rows-only check."""
-    out = None
-    for _, scored, _ in _cross_fitted(spark, sf_dir, False):
-        rows = scored.select("doc_id", F.col("gold").cast("int").alias("gold_label"), "label", F.round("confidence", 6).alias("confidence"))
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    """Cross-fitted predictions of the learned tier for every document; ``lr_fit_score`` states
+    that every weight they come from is at its optimum."""
+    from escalade.operators import linear as LN
+
+    rows, model, _ = _linear(spark, sf_dir)
+    scored = LN.score(rows, model, ["doc_id", "gold"])
+    return scored.select("doc_id", F.col("gold").alias("gold_label"), "label", F.round("confidence", 6).alias("confidence"))
