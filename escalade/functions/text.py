@@ -8,15 +8,15 @@ from __future__ import annotations
 
 import sys
 import unicodedata
+from collections.abc import Callable
 from functools import lru_cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # The analyzer keeps pieces made only of ASCII letters, at least
-# two long, after splitting on anything that is not a letter, digit or '_'.
-TOKEN_PATTERN = "^[a-z]{2,}$"
-SPLIT_PATTERN = "[^\\p{L}\\p{N}_]+"
+# two long, with no letter, digit or '_' beside them.
+TOKEN_PATTERN = r"(?<![\p{L}\p{N}_])[a-z]{2,}+(?![\p{L}\p{N}_])"
 
 
 @lru_cache(maxsize=1)
@@ -71,10 +71,16 @@ def py_strip(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
 def analyzer_tokens(text: Column) -> Column:
-    """array<string>: lowercase, fold accents, split, keep ``[a-z]{2,}`` pieces."""
-    pieces = F.split(strip_accents(F.lower(text)), SPLIT_PATTERN)
-    return F.filter(pieces, lambda p: p.rlike(TOKEN_PATTERN))
+    """array<string>: lowercase, fold accents, and of the runs of letters, digits and '_' those
+    that fully match ``[a-z]{2,}``, found in one go. A text of ASCII bytes has no accents to fold."""
+    folded = _let(F.lower(text), lambda t: F.when(F.octet_length(t) == F.length(t), t).otherwise(strip_accents(t)))
+    return F.regexp_extract_all(folded, F.lit(TOKEN_PATTERN), F.lit(0))
 
 
 def whitespace_count(text: Column) -> Column:
