@@ -5,7 +5,8 @@ Input rows are calls: (group, order keys..., value). The warm-up call (the
 first in order) is excluded. Three scans, all hash aggregations: the first and
 last call of a group; everything that compares with them, with a bracket
 around the percentile from a quantile sketch; the exact percentile inside
-the bracket. Tables with one row per group are joined by broadcast.
+the bracket. Tables with one row per group are joined as Spark sees fit by their size:
+broadcast where there are few groups.
 """
 
 from __future__ import annotations
@@ -24,18 +25,21 @@ SKETCH = 100_000
 HALF_WIDTH = 3 / SKETCH
 
 
+def time_micros(df: DataFrame, col: str) -> Column:
+    """Microseconds of a time column; of one without a time zone, by the wall clock."""
+    ts, kind = F.col(col), df.schema[col].dataType
+    if isinstance(kind, T.TimestampNTZType):
+        return (F.unix_date(F.to_date(ts)).cast("long") * 86_400_000_000 + F.hour(ts).cast("long") * 3_600_000_000
+                + F.minute(ts).cast("long") * 60_000_000 + (F.extract(F.lit("SECOND"), ts) * 1_000_000).cast("long"))
+    return F.unix_micros(ts)
+
+
 def _place(df: DataFrame, order: Sequence[str]) -> Column:
     """One comparable value per row. A (timestamp, integer) order is packed into a
     decimal, whose minimum is a hash aggregate; other orders compare as a struct."""
     kinds = [df.schema[c].dataType for c in order]
     if len(order) == 2 and isinstance(kinds[0], (T.TimestampType, T.TimestampNTZType)) and isinstance(kinds[1], T.IntegralType):
-        ts = F.col(order[0])
-        if isinstance(kinds[0], T.TimestampNTZType):  # wall-clock microseconds, free of any time zone
-            micros = (F.unix_date(F.to_date(ts)).cast("long") * 86_400_000_000 + F.hour(ts).cast("long") * 3_600_000_000 + F.minute(ts).cast("long") * 60_000_000
-                      + (F.extract(F.lit("SECOND"), ts) * 1_000_000).cast("long")).cast("decimal(19,0)")
-        else:
-            micros = F.unix_micros(ts).cast("decimal(19,0)")
-        wide = (micros * F.lit(10).cast("decimal(2,0)")).cast("decimal(20,0)")
+        wide = (time_micros(df, order[0]).cast("decimal(19,0)") * F.lit(10).cast("decimal(2,0)")).cast("decimal(20,0)")
         return (wide * F.lit(1_000_000_000_000_000_000).cast("decimal(19,0)") + F.col(order[1])).cast("decimal(38,0)")
     return F.struct(*[F.col(c) for c in order])
 
@@ -51,7 +55,7 @@ def call_stats(calls: DataFrame, group: str, order: Sequence[str], value: str, q
     std (after the warm-up call), first, last and greatest value, and the rows needed for
     the exact percentile."""
     ends = _ends(calls, group, order, value) if ends is None else ends
-    j = calls.withColumn("__at", _place(calls, order)).join(F.broadcast(ends), group)
+    j = calls.withColumn("__at", _place(calls, order)).join(ends, group)
     v = F.col(value)
     rest = F.when(F.col("__at") != F.col("__first"), v)
     return j.groupBy(group).agg(
@@ -69,7 +73,7 @@ def drop_first(df: DataFrame, group: str, order: Sequence[str], key: str) -> Dat
     """Remove each group's first call (by ``order``; ties fall to the least ``key``)."""
     order = [*order, *([key] if key not in order else [])]
     first = df.groupBy(group).agg(F.min(_place(df, order)).alias("__first"))
-    return df.join(F.broadcast(first), group).where(_place(df, order) != F.col("__first")).drop("__first")
+    return df.join(first, group).where(_place(df, order) != F.col("__first")).drop("__first")
 
 
 def exact_quantile(df: DataFrame, group: str, value: str, q: float) -> DataFrame:
@@ -87,8 +91,7 @@ def exact_quantile(df: DataFrame, group: str, value: str, q: float) -> DataFrame
 def _in_bracket(df: DataFrame, st: DataFrame, group: str, value: str, q: float) -> DataFrame:
     """The exact quantile from ``st`` (group, __n, __bracket)."""
     pos = F.lit(q) * (F.col("__n") - 1)
-    st = F.broadcast(st.select(group, "__n", F.col("__bracket")[0].alias("__lo"), F.col("__bracket")[1].alias("__hi"),
-                               pos.alias("__pos")))  # one row per group
+    st = st.select(group, "__n", F.col("__bracket")[0].alias("__lo"), F.col("__bracket")[1].alias("__hi"), pos.alias("__pos"))
     d = df.select(group, F.col(value).alias("__v")).where(F.col(value).isNotNull()).join(st, group)
     # rows below the bracket fall into one class, shown by its greatest value, those above
     # into one, shown by its least: a wanted rank is at most one place outside the bracket
@@ -121,7 +124,7 @@ def _report(calls: DataFrame, group: str, order: Sequence[str], value: str, q: f
     # two small tables (one row per group) are written, so that the calls are scanned three times in all
     ends = materialize(_ends(calls, group, order, value), "profile-ends")
     st = materialize(call_stats(calls, group, order, value, q, ends), "profile-stats")
-    rest = calls.withColumn("__at", _place(calls, order)).join(F.broadcast(ends), group) \
+    rest = calls.withColumn("__at", _place(calls, order)).join(ends, group) \
         .where(F.col("__at") != F.col("__first"))
     p = _in_bracket(rest, st.select(group, F.col("n_samples").alias("__n"), "__bracket"), group, value, q)
     return st.drop("__bracket").join(p.select(group, F.col("quantile").alias("p95_latency_ms")), group, "left")
@@ -138,7 +141,7 @@ def profile(calls: DataFrame, group: str, order: Sequence[str], value: str, q: f
                    F.greatest(F.col("greatest") - F.col("first"), F.lit(0.0)).alias("peak"))
     if quality is None:
         return out.withColumns({c: F.lit(None).cast("double") for c in ("accuracy", "f1_macro")})
-    return out.join(F.broadcast(quality.select(group, "accuracy", "f1_macro")), group, "left")
+    return out.join(quality.select(group, "accuracy", "f1_macro"), group, "left")
 
 
 def energy(mean_latency_ms: Column, watts: float | Column) -> Column:
@@ -150,7 +153,7 @@ def energy(mean_latency_ms: Column, watts: float | Column) -> Column:
 def resource_delta(samples: DataFrame, group: str, order: Sequence[str], value: str) -> DataFrame:
     """Per group: footprint = max(last - first, 0) and peak = max(max - first, 0)
     of a sampled resource (first/last by ``order``)."""
-    ends = F.broadcast(_ends(samples, group, order, value))  # one row per group
+    ends = _ends(samples, group, order, value)
     j = samples.withColumn("__at", _place(samples, order)).join(ends, group)
     agg = j.groupBy(group).agg(F.max(F.when(F.col("__at") == F.col("__first"), F.col(value))).alias("__v0"),
                                F.max(F.when(F.col("__at") == F.col("__last"), F.col(value))).alias("__v1"),
@@ -161,6 +164,6 @@ def resource_delta(samples: DataFrame, group: str, order: Sequence[str], value:
 
 def load_time(calls: DataFrame, group: str, order: Sequence[str], value: str) -> DataFrame:
     """The warm-up (first) call's value per group."""
-    ends = F.broadcast(_ends(calls, group, order, value))  # one row per group
+    ends = _ends(calls, group, order, value)
     j = calls.withColumn("__at", _place(calls, order)).join(ends, group)
     return j.groupBy(group).agg(F.max(F.when(F.col("__at") == F.col("__first"), F.col(value))).alias("load_time_ms"))
