@@ -9,6 +9,7 @@ from escalade.functions.proba import pseudo_proba
 from escalade.operators import features as FT
 from escalade.operators import prompts as P
 from escalade.operators import sampling as S
+from escalade.operators.label_lookup import parse_label_many
 from escalade.operators.labels import label_dictionary, label_encode
 from escalade.plans.registry import plan, rounded
 from escalade.session import materialize
@@ -140,6 +141,35 @@ def q_stratified_split_grouped(spark, sf_dir):
         .select("doc_id", "lang", "split")
 
 
+# customers are the groups (nearly every one has orders of several priorities); the SQL goes through them one by one
+GROUP_SPLIT_SQL = f"""WITH RECURSIVE cls AS (SELECT o_orderpriority AS lab, count(*) AS n FROM orders GROUP BY 1),
+q0 AS (SELECT lab, n, sum(n) OVER () AS big_n, ceil(sum(n) OVER () * {SPLIT_RATIO}) AS t FROM cls),
+q1 AS (SELECT *, t * n / big_n AS ex, floor(t * n / big_n) AS fl FROM q0),
+q2 AS (SELECT *, ex - fl AS rem, t - sum(fl) OVER () AS lft FROM q1),
+quota AS (SELECT lab, fl + CASE WHEN row_number() OVER (ORDER BY rem DESC, lab) <= lft THEN 1 ELSE 0 END AS quota FROM q2),
+qs AS (SELECT list(quota::BIGINT ORDER BY lab) AS q FROM quota),
+cells AS (SELECT o_custkey AS g, lab, count(o.o_orderkey) AS n FROM (SELECT DISTINCT o_custkey FROM orders) CROSS JOIN cls
+  LEFT JOIN orders o USING (o_custkey) WHERE o.o_orderpriority = lab GROUP BY ALL),
+dense AS (SELECT g.o_custkey AS g, list(coalesce(c.n, 0)::BIGINT ORDER BY k.lab) AS v
+  FROM (SELECT DISTINCT o_custkey FROM orders) g CROSS JOIN cls k LEFT JOIN cells c ON c.g = g.o_custkey AND c.lab = k.lab GROUP BY 1),
+placed AS (SELECT g, v, row_number() OVER (ORDER BY md5('{SPLIT_SEED}:' || g::VARCHAR) || ':' || g::VARCHAR) AS r FROM dense),
+walk AS (
+  SELECT 0::BIGINT AS r, NULL::BIGINT AS g, false AS taken, list_transform(q, lambda x: 0::BIGINT) AS had FROM qs
+  UNION ALL
+  SELECT r, g, ok, CASE WHEN ok THEN list_transform(list_zip(had, v), lambda x: x[1] + x[2]) ELSE had END
+  FROM (SELECT p.r, p.g, w.had, p.v,
+          len(list_filter(list_zip(p.v, w.had, qs.q), lambda x: x[1] > 0 AND x[2] >= x[3])) = 0 AS ok
+        FROM walk w JOIN placed p ON p.r = w.r + 1 CROSS JOIN qs))
+SELECT o_orderkey, CASE WHEN w.taken THEN 'test' ELSE 'train' END AS split FROM orders o JOIN walk w ON w.g = o.o_custkey"""
+
+
+@plan("group_split", GROUP_SPLIT_SQL)
+def q_group_split(spark, sf_dir):
+    """Orders split by priority, all orders of a customer on one side."""
+    orders = read_table(spark, sf_dir, "orders")
+    return S.group_split(orders, "o_orderpriority", "o_custkey", SPLIT_RATIO, SPLIT_SEED).select("o_orderkey", "split")
+
+
 FS_SAMPLED_SQL = f"""pool AS (SELECT * FROM (
   SELECT lang, doc_id, text, row_number() OVER (PARTITION BY lang
     ORDER BY md5('{FEW_SHOT_SEED}:' || doc_id::VARCHAR) || ':' || doc_id::VARCHAR) AS rank
@@ -236,6 +266,26 @@ def q_parse_label_exact(spark, sf_dir):
     return part.select("p_partkey", P.parse_label(F.col("p_type"), PART_LABELS).alias("label"))
 
 
+# labels of at least so many letters; answers are the sentences of the conversations
+LABEL_LETTERS = 10
+
+
+@plan("parse_label_many", f"""WITH lab AS (SELECT DISTINCT w AS l FROM (
+  SELECT unnest(regexp_split_to_array(lower(text), '[^\\p{{L}}]+')) AS w FROM documents) WHERE length(w) >= {LABEL_LETTERS}),
+s AS (SELECT conv_id, turn, unnest(range(len(string_split(text, '.')))) AS part, unnest(string_split(text, '.')) AS raw FROM conversations),
+hit AS (SELECT conv_id, turn, part, raw, l, lower(regexp_replace(raw, '^\\s+|\\s+$', '', 'g')) = l AS same
+  FROM s LEFT JOIN lab ON contains(lower(raw), l))
+SELECT conv_id, turn, part::INT AS part, CASE WHEN bool_or(same) THEN min(l) FILTER (WHERE same) WHEN count(l) = 1 THEN min(l) ELSE 'unknown' END AS label
+FROM hit GROUP BY conv_id, turn, part""")
+def q_parse_label_many(spark, sf_dir):
+    """Every sentence of the conversations against all long words of the documents."""
+    words = read_table(spark, sf_dir, "documents").select(F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))).alias("w"))
+    dictionary = words.where(F.char_length("w") >= LABEL_LETTERS)
+    conv = read_table(spark, sf_dir, "conversations")
+    answers = conv.select("conv_id", "turn", F.posexplode(F.split("text", r"\.")).alias("part", "raw"))
+    return parse_label_many(answers, "raw", dictionary, "w").select("conv_id", "turn", "part", "label")
+
+
 def _pseudo_sql(fill: str) -> str:
     n = len(CONV_LABELS)
     ll = _label_list_sql(CONV_LABELS)
