@@ -129,13 +129,12 @@ def q_corpus_scan_split(spark, sf_dir):
         return CO.corpus_scan_split(spark, out, encoding="UTF-8").select("split", "intent", "text")
 
 
-@plan("stream_decision_log", LOG_SQL)
-def q_stream_decision_log(spark, sf_dir):
+def _stream_log(spark, sf_dir, source_dir, schema, glob, replays=None):
+    """The decision log of a stream of documents, read back."""
     from escalade.streaming.decision_log import stream_decision_log
 
     dc = C.build(spark, sf_dir)
     labels = dc.labels
-    docs = read_table(spark, sf_dir, "documents")
 
     def to_samples(batch):
         toks = C.document_tokens(balanced(batch, "doc_id"))
@@ -147,8 +146,33 @@ def q_stream_decision_log(spark, sf_dir):
         return R.route(dc.cascade, samples, 0.7, 0.7, fused=True)
 
     out, ck = _scratch(spark, "stream-log"), _scratch(spark, "stream-ckpt")
-    q = stream_decision_log(spark, sf_dir, docs.schema, "documents.parquet", to_decisions, out, ck,
-                            to_samples=to_samples)
+    q = stream_decision_log(spark, source_dir, schema, glob, to_decisions, out, ck, to_samples=to_samples, replays=replays)
     q.awaitTermination()
     back = RS.read_decision_log(spark, out)
     return rounded(back.select("sample_id", "tier_used", "correct", "latency_ms", "bytes_sent"))
+
+
+@plan("stream_decision_log", LOG_SQL)
+def q_stream_decision_log(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents")
+    return _stream_log(spark, sf_dir, sf_dir, docs.schema, "documents.parquet")
+
+
+# Deliveries of the replayed stream, each a share of the documents by a hash of the id;
+# the third comes twice, and every other one holds a share of the one before again.
+# the first document arrives at this time (ms since 1970), one each millisecond.
+ARRIVAL_MS = 1_704_067_200_000
+DELIVERIES = ((0,), (0, 1), (2, 3), (2, 3), (3, 4), (4, 5, 6, 7))
+
+
+@plan("stream_decision_log_replayed", LOG_SQL)
+def q_stream_decision_log_replayed(spark, sf_dir):
+    """Documents delivered in six folders, many of them twice or more: the log holds each once."""
+    from escalade.streaming.decision_log import Replays
+
+    src = _scratch(spark, "stream-source")
+    docs = read_table(spark, sf_dir, "documents").withColumn("arrived", F.timestamp_millis(F.col("doc_id") + ARRIVAL_MS))
+    share = F.pmod(F.xxhash64("doc_id"), F.lit(8))
+    for shares in DELIVERIES:  # all their files have later times than those before
+        docs.where(share.isin(*shares)).write.mode("append").parquet(src)
+    return _stream_log(spark, sf_dir, src, docs.schema, "*.parquet", Replays("doc_id", "arrived", "10 days"))
