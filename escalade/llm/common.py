@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 import uuid
@@ -22,8 +23,9 @@ FOLD = str.maketrans(UPPER, LOWER)
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WORD_RE = re.compile(WORD)
 
-# Rows per Arrow batch: bounds a Python worker's memory when texts are long.
+# Rows and bytes per Arrow batch: bound a Python worker's memory when texts are long.
 BATCH_ROWS = 500
+BATCH_BYTES = "2m"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,10 +56,11 @@ _TRIM = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_ARENA_MAX": "2", "MALLOC
 def workers(spark: SparkSession, rows: int = BATCH_ROWS, trim: bool = True) -> None:
     """Prepare a session for this package's Arrow functions.
 
-    Sets the rows of an Arrow batch, so that long texts stay bounded, and lets Python workers import this package from where the driver has it
+    Sets the rows and bytes of an Arrow batch, so that long texts stay bounded, and lets Python workers import this package from where the driver has it
     (on a cluster it is installed or passed with ``--py-files``).
     """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     root = str(Path(__file__).resolve().parents[2])
     env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
@@ -95,6 +98,7 @@ def worker_cache(name, make):
         import pyarrow as pa
 
         _HELD.clear()
+        gc.collect()
         pa.default_memory_pool().release_unused()
         _HELD[name] = make()
     return _HELD[name]

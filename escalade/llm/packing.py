@@ -5,11 +5,11 @@
 go through best-fit decreasing. The tightest open bin is found by a segment
 tree over the remaining capacities (1..seq_len) in O(log seq_len) per piece.
 
-Scale: each document has exactly one piece that may be short, so the number of
-blocks follows from the row count of the input. Pieces are dealt by a hash into
-blocks of about ``block`` documents and each block is packed on its own; a block
-leaves at most a few partly filled sequences, 1 in tens of thousands. No task
-ever holds more than its block's narrow rows.
+Scale: pieces are written once with a row number. Full pieces are given a sequence where
+they are read. Each document has exactly one piece that may be short; these are dealt by a hash of
+the row number, so that repeated rows spread too, into blocks of about ``block`` pieces, and each
+block is packed on its own; a block leaves at most a few partly filled sequences, 1 in tens
+of thousands. No task ever holds more than its block's narrow rows.
 
 Defined results: null text = empty document (the end id alone); an empty table
 gives no rows; repeated rows are separate documents; equal lengths are taken in
@@ -31,12 +31,12 @@ from escalade.llm import common as C
 
 SEQ_LEN = 1024
 END_ID = 2
-# Documents per packing block: a task holds some 16k x 40-byte rows.
+# Short pieces per packing block: a task holds some 16k x 40-byte rows.
 BLOCK_DOCS = 16_384
 # Words whose ids a worker remembers before it starts over (about 100 bytes each).
-CACHE_WORDS = 300_000
+CACHE_WORDS = 200_000
 # Bytes of text a worker encodes at a time.
-GATHER_BYTES = 4_000_000
+GATHER_BYTES = 2_000_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids binary"
 # White space where a word's ids could depend on its neighbour (see WordEncoder)
@@ -236,15 +236,14 @@ def best_fit_decreasing(lengths, seq_len: int = SEQ_LEN) -> tuple[list[int], lis
     return bins, offsets
 
 
-def pack(pieces: DataFrame, n_docs: int, seq_len: int = SEQ_LEN, block: int = BLOCK_DOCS) -> DataFrame:
+def pack(pieces: DataFrame, seq_len: int = SEQ_LEN, block: int = BLOCK_DOCS) -> DataFrame:
     """``pieces`` (doc_id, piece, start, length and further columns) with their place:
-    sequence_id and offset. ``n_docs`` is the number of documents they come from."""
-    blocks = max(1, -(-n_docs // block))
+    sequence_id and offset."""
     rest = [c for c in pieces.columns if c not in ("doc_id", "piece", "start", "length")]
-    key = F.xxhash64("doc_id", "piece", "start", "length", *rest)
-    dealt = pieces.withColumn("_block", F.pmod(key, F.lit(blocks)).cast("long"))
-    fields = [f for f in pieces.schema.fields]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", sequence_id long, offset long"
+    numbered = C.keyed(pieces, "__piece")
+    full = F.col("length") >= seq_len
+    blocks = max(1, -(-numbered.filter(~full).count() // block))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields) + ", sequence_id long, offset long"
 
     def place(key, frame):
         order = [c for c in ("doc_id", "start", *rest)]
@@ -253,9 +252,13 @@ def pack(pieces: DataFrame, n_docs: int, seq_len: int = SEQ_LEN, block: int = BL
         bins, offsets = best_fit_decreasing(frame["length"].tolist(), seq_len)
         frame["sequence_id"] = [(key[0] << 32) + b for b in bins]
         frame["offset"] = offsets
-        return frame.drop(columns="_block")
+        return frame.drop(columns="__block")
 
-    return dealt.repartition(blocks, "_block").groupBy("_block").applyInPandas(place, schema)
+    dealt = numbered.filter(~full).withColumn("__block", F.pmod(F.xxhash64("__piece"), F.lit(blocks)).cast("long")).drop("__piece")
+    packed = dealt.repartition(blocks, "__block").groupBy("__block").applyInPandas(place, schema)
+    # numbers of full sequences are negative, so that they meet no block's
+    alone = numbered.filter(full).select(*pieces.columns, (-1 - F.col("__piece")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    return packed.unionByName(alone)
 
 
 def op5_best_fit_packing(spark, sf_dir: str) -> DataFrame:
@@ -266,7 +269,7 @@ def op5_best_fit_packing(spark, sf_dir: str) -> DataFrame:
 def packed_digest(docs: DataFrame) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) of all documents."""
     pieces = tokenize(docs).select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
-    return pack(pieces, docs.count())
+    return pack(pieces)
 
 
 def sequences(pieces: DataFrame, packed: DataFrame) -> DataFrame:

@@ -1,5 +1,5 @@
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -116,7 +116,25 @@ def test_edges(table, tokenizer):
 def test_sequences_hold_the_ids(table, tokenizer):
     docs = table([(i, f"text number {i} " * (i + 1)) for i in range(40)])
     pieces = P.tokenize(docs, seq_len=64)
-    packed = P.pack(pieces, 40, seq_len=64)
+    packed = P.pack(pieces, seq_len=64)
     whole = {r.sequence_id: bytes(r.ids) for r in P.sequences(pieces, packed).collect()}
     for r in packed.collect():
         assert whole[r.sequence_id][r.offset * 4:(r.offset + r.length) * 4] == bytes(r.ids)
+
+
+def test_repeated_rows_spread_over_blocks(table, tokenizer):
+    """A third of all rows are equal: no block holds them all, and full pieces meet no block."""
+    rows = [(1, "the same short text")] * 400 + [(10 + i, f"text {i} " * (i % 50 + 1)) for i in range(780)] + [(5000 + i, "a" + " b" * 1022) for i in range(20)]
+    pieces = P.tokenize(table(rows)).select("doc_id", "piece", "start", "length")
+    packed = P.pack(pieces, block=100).collect()
+    assert len(packed) == len(rows)
+    blocks, filled = Counter(), defaultdict(list)
+    for r in packed:
+        filled[r.sequence_id].append((r.offset, r.length))
+        assert (r.sequence_id < 0) == (r.length == 1024)
+        if r.doc_id == 1:
+            blocks[r.sequence_id >> 32] += 1
+    assert len(blocks) == 12 and max(blocks.values()) < 80
+    for own in filled.values():
+        own.sort()
+        assert [o for o, _ in own] == [sum(n for _, n in own[:k]) for k in range(len(own))] and sum(n for _, n in own) <= 1024
