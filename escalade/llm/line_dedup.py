@@ -2,7 +2,9 @@
 
 A document is the sequence of its non-blank lines. A line goes if it lies in a run of
 consecutive lines of at least ``MIN_WORDS`` words that has an earlier occurrence:
-maximal repeated runs lose their later copies. Earlier is by (doc_id, row, line).
+maximal repeated runs lose their later copies. Earlier is by (doc_id, row, line). Occurrences in
+a document that overlap, one with the next, are one: what overlaps the first stays whole,
+such as a column of equal short lines.
 
 Method: prefix doubling. Rank 0 orders the line ids; the rank of 2h lines orders the
 pairs (rank of h lines here, rank of h lines h further on). A rank is the place of
@@ -13,28 +15,37 @@ interval of depth n, named by two overlapping ranks. A run of MIN_WORDS non-blan
 always reaches MIN_WORDS words, so the array is only sorted that deep: deeper order
 can't change a decision. For each line the shortest long-enough run that starts there
 and the one that ends there are looked up; together these cover every maximal run.
-In an interval all runs but the first are later copies.
+In an interval all runs but the first, and those that a chain of overlaps ties to it, are later copies.
 
 Scale: texts are read once for (row, line number, 16-byte id), and meet the deletions in one join.
 Everything between holds lines met at least twice, in narrow rows; a line common
-to a third of all documents is one class, combined map-side, and joins split it.
+to a third of all documents is one class, combined map-side, and joins split it. Only
+occurrences in the first one's own document are put in order, to see which overlap.
 
 Defined results: a null or empty text has no lines and stays as it is; blank lines
 (blanks, tabs, carriage returns) count for nothing and stay; a document that had
 lines and lost all of them goes from ``dedup``; of repeated rows the later lose their
-lines; null doc_ids come first; extra columns are kept. Words are counted as blanks + 1.
-Documents are written with their row number once and every step reads that table.
+lines; null doc_ids come first; extra columns are kept. A line's words are those of the shared
+word pattern and, of scripts written without blanks, one for every two characters; any
+non-blank line counts as one at least. Documents are written with their row number once and every step reads that table.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from escalade.llm import common as C
 
 MIN_WORDS = 10
 
+# Characters of scripts written without blanks, as code point ranges: Thai to Lao, Burmese, Khmer, Chinese and Japanese
+UNSPACED = ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x2E80, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF))
+_UNSPACED = "[" + "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in UNSPACED) + "]"
+_WORD = C.WORD.replace(r"\x3A-\x60", r"\x3A-\x40\x5B-\x60")  # the shared word pattern, of either case
+_WORDS = (f"greatest(1, regexp_count(x, r'{_WORD}') + "
+          f"if(octet_length(x) = length(x), 0, cast(regexp_count(x, r'{_UNSPACED}') div 2 as int)))")
+
 _LINES = r"filter(transform(split(coalesce(cast(text as string), ''), '\n'), x -> trim(BOTH ' \t\r' FROM x)), x -> x <> '')"
 
 
@@ -48,7 +59,7 @@ def lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     back = run.format(f"reverse(slice(n, greatest(i + 2 - {w}, 1), least(i + 1, {w})))")
     own = docs.select(F.col("__row").alias("row"), F.col("doc_id").cast("long").alias("doc_id"),
                       F.expr(_LINES).alias("l"))
-    counted = own.filter(F.size("l") > 0).withColumn("n", F.expr("transform(l, x -> length(x) - length(replace(x, ' ', '')) + 1)"))
+    counted = own.filter(F.size("l") > 0).withColumn("n", F.expr(f"transform(l, x -> {_WORDS})"))
     each = F.expr(f"transform(l, (x, i) -> named_struct('id', unhex(md5(x)), 'ahead', {ahead}, 'back', {back}))")
     return counted.select("row", "doc_id", F.posexplode(each).alias("seq", "x")).select("row", "doc_id", "seq", "x.*")
 
@@ -98,7 +109,13 @@ def deletions(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     named = C.spill(named.withColumn("at", F.struct("doc_id", "row", "start")), "line-runs")
     interval = ["len", "ra", "rb"]
     firsts = named.groupBy(*interval).agg(F.min("at").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    later = named.join(firsts, interval).filter(~F.col("at").eqNullSafe(F.col("first")))
+    copies = named.join(firsts, interval)
+    same = F.col("row") == F.col("first.row")
+    # in the first one's document: chains of overlapping occurrences, of which the first chain stays
+    place = Window.partitionBy(*interval).orderBy("start")
+    apart = F.coalesce(F.col("start") >= F.lag("start").over(place) + F.col("len"), F.lit(False))
+    own = copies.filter(same).withColumn("_apart", apart.cast("int")).withColumn("_chain", F.sum("_apart").over(place)).filter("_chain > 0")
+    later = copies.filter(~same).select("row", "start", "len").unionByName(own.select("row", "start", "len"))
     gone = later.select("row", F.explode(F.expr("sequence(start, start + len - 1)")).alias("seq"))
     return gone.groupBy("row").agg(F.array_sort(F.collect_set("seq")).alias("gone"))
 
@@ -149,7 +166,7 @@ l AS (
   SELECT doc_id, text, raw,
          list_filter(list_transform(raw, lambda x: trim(x, ' ' || chr(9) || chr(13))), lambda x: x <> '') AS l FROM d),
 s AS (
-  SELECT doc_id, l, list_transform(l, lambda x: length(x) - length(replace(x, ' ', '')) + 1) AS n,
+  SELECT doc_id, l, list_transform(l, lambda x: greatest(1, len(regexp_extract_all(x, '{_WORD}')) + len(regexp_extract_all(x, '{_UNSPACED}')) // 2)) AS n,
          unnest(range(1, len(l) + 1)) AS i FROM l WHERE len(l) > 0),
 r AS (
   SELECT DISTINCT doc_id, a, b, list_slice(l, a, b) AS run FROM (
@@ -163,7 +180,9 @@ r AS (
   WHERE a IS NOT NULL AND b IS NOT NULL),
 g AS (
   SELECT DISTINCT doc_id, unnest(range(a, b + 1)) AS i FROM (
-    SELECT *, row_number() OVER (PARTITION BY run ORDER BY doc_id, a) AS k FROM r) WHERE k > 1),
+    SELECT *, sum(apart) OVER (PARTITION BY run ORDER BY doc_id, a) AS k FROM (
+      SELECT *, CASE WHEN doc_id = lag(doc_id) OVER w AND a <= lag(b) OVER w THEN 0 ELSE 1 END AS apart
+      FROM r WINDOW w AS (PARTITION BY run ORDER BY doc_id, a))) WHERE k > 1),
 x AS (SELECT doc_id, list(i ORDER BY i) AS gone FROM g GROUP BY doc_id),
 p AS (
   SELECT l.doc_id, l.text, l.raw, len(l.l) AS n_lines, coalesce(x.gone, []) AS gone,
