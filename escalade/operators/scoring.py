@@ -158,6 +158,11 @@ class NaiveBayesTier:
             F.transform(F.col("t"), lambda x: F.log(x + F.col("V"))).alias("lnorm"))
         return self
 
+    def _spread_model(self) -> DataFrame:
+        """The full-vocabulary model, shuffled at every size: its rows are far wider than
+        Spark's estimate from the counts' files, which would broadcast it."""
+        return self.model.hint("merge")
+
     def score(self, samples: DataFrame, keep: list[str]) -> DataFrame:
         """Score ``samples`` (must hold sample_id, fold, text and ``keep``).
 
@@ -182,14 +187,12 @@ class NaiveBayesTier:
             # terms join a bounded broadcast slice of the model map-side; only
             # the long tail is shuffled to join the rest (no hot key reaches a
             # shuffle partition; AQE still splits any remaining skew)
-            # Inner joins: when few rows reach this tier, AQE can broadcast their
-            # occurrences instead of shuffling the model (an outer join could
-            # only build on the model side); samples without tokens come back
-            # through the join with the sample keys.
+            # Inner joins; samples without tokens come back through the join
+            # with the sample keys.
             occ = token_occurrences(samples, keys)
             hot_terms = F.broadcast(self.hot_model.select("term"))
             hot = occ.join(F.broadcast(self.hot_model.drop("rank")), "term")
-            cold = occ.join(hot_terms, "term", "left_anti").join(self.model, "term")
+            cold = occ.join(hot_terms, "term", "left_anti").join(self._spread_model(), "term")
             j = hot.unionByName(cold)
             sums = j.groupBy(*keys).agg(*[F.sum(w[i]).alias(f"s_{i}") for i in range(L + 1)])
             sums = samples.select(*keys).join(sums, keys, "left").fillna(0.0, [f"s_{i}" for i in range(L + 1)])
@@ -240,7 +243,7 @@ def score_fused(tiers: list[NaiveBayesTier], samples: DataFrame, keep: list[str]
     occ = token_occurrences(samples, keys, outer=True)
     hot = occ.join(F.broadcast(ref.hot_model), "term")
     cold = occ.join(F.broadcast(ref.hot_model.select("term")), "term", "left_anti") \
-        .join(ref.model, "term", "left").withColumn("rank", F.lit(None).cast("int"))
+        .join(ref._spread_model(), "term", "left").withColumn("rank", F.lit(None).cast("int"))
     j = hot.unionByName(cold)
     w = F.element_at(F.col("wf"), F.col("fold") + 1)
     aggs = []
