@@ -56,13 +56,25 @@ def expansion_table() -> list[tuple[str, str]]:
     return [(ch, d) for ch, d in _foldings() if len(d) > 1 and any("a" <= c.lower() <= "z" for c in d)]
 
 
+def _any_of(characters: list[str]) -> str:
+    """Pattern of one of ``characters``: a character below all of them ends the test at once, and
+    neighbours form ranges (each member of a class is otherwise tried for every letter of a text)."""
+    runs: list[list[int]] = []
+    for cp in sorted(map(ord, characters)):
+        if runs and runs[-1][1] == cp - 1:
+            runs[-1][1] = cp
+        else:
+            runs.append([cp, cp])
+    return r"(?![\x00-\x{%x}])[%s]" % (runs[0][0] - 1, "".join(r"\x{%x}-\x{%x}" % (a, b) for a, b in runs))
+
+
 def strip_accents(c: Column) -> Column:
     src, dst = accent_table()
     many = expansion_table()
     pairs = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in many])
     # only rows that hold such a character pay for the replacements
     longer = F.aggregate(pairs, c, lambda t, p: F.replace(t, p["a"], p["b"]))
-    has = c.rlike("[" + "".join(a for a, _ in many) + "]")
+    has = c.rlike(_any_of([a for a, _ in many]))
     return F.translate(F.when(has, longer).otherwise(c), src, dst)
 
 

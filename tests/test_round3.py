@@ -17,3 +17,14 @@ def test_full_vocabulary_model_is_never_broadcast(spark):
     for scored in (dc.tiers[2].score(dc.samples, ["sample_id", "gold_label", "bytes_sent"]), dc.cascade.fused(dc.samples)):
         assert any("SortMergeJoin [term#" in line for line in plan_of(scored).splitlines())
         assert scored.count() == len(rows)
+
+
+def test_characters_that_fold_to_several_are_found_by_ranges(spark):
+    many = [a for a, _ in T.expansion_table()]
+    pattern = T._any_of(many)
+    assert pattern.startswith(r"(?![\x00-\x{131}])[") and pattern.count("-") < 40
+    known = set(many)
+    rows = [(f"x{chr(c)}y", chr(c) in known) for c in range(0x80, 0x10000) if not 0xD800 <= c <= 0xDFFF]
+    df = spark.createDataFrame(rows, "t string, known boolean")
+    assert df.where(F.col("t").rlike(pattern) != F.col("known")).count() == 0
+    assert df.where("known").count() == sum(ord(a) < 0x10000 for a in many)
