@@ -1,10 +1,12 @@
 """Multinomial logistic regression on sparse rows, cross-fitted: all folds in the same passes.
 
-A row holds its features as (positions, values); nothing is made dense and no row is copied
+A row holds its features as (positions, values); no table is made dense and no row is copied
 a fold. One pass over the rows gives loss and gradient of all folds' models (a row counts
 for every fold but its own): every partition adds up its part, a fixed number of parts is added
-at a time, and the driver gets a few matrices of the model's size. Steps are those of
-limited-memory BFGS, each fold with its own history and step length, in lockstep.
+at a time, and the driver gets a few matrices of the model's size. Rows are multiplied a few hundred
+at a time, as a dense block where a row holds a fair part of the features. Steps are those of
+limited-memory BFGS, each fold with its own history and step length, in lockstep; they start from
+the diagonal of the second derivative, so that the passes hardly grow with the rows.
 
 Objective of a fold: mean loss of the other folds' rows + |w|^2 / (2 C n), free intercepts.
 ``conditions`` states the gradient of every weight at the solution by joins and
@@ -22,12 +24,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from escalade.functions.proba import argmax, softmax
+from escalade.session import materialize
+from escalade.sources.tables import balanced
 
 # Bound of a model that every task holds, in numbers.
 MAX_NUMBERS = 16_000_000
 # Partial sums added by one task, and rows multiplied at once.
 FAN, ROWS = 64, 500
-HISTORY, SUFFICIENT = 12, 1e-4
+HISTORY, SUFFICIENT = 30, 1e-4
+# Features for each value of a row up to which rows are multiplied as dense blocks.
+DENSE = 32
+# Passes between two sums of the second derivative's diagonal.
+CURVATURE_EVERY = 4
+# Least part of the largest second derivative that a step divides by.
+FLAT = 1e-9
 STATE = "part long, sums binary"
 
 
@@ -78,33 +88,54 @@ def _slices(batch: pa.RecordBatch):
         yield a, a + len(at), at.flatten().to_numpy(zero_copy_only=False), x.flatten().to_numpy(zero_copy_only=False), ends
 
 
-def _evaluate(rows: DataFrame, parts: int, w: np.ndarray, penalty: np.ndarray | None, counts: np.ndarray | None):
-    """Loss and gradient of every fold at ``w`` (folds, features + 1, classes); the first call also counts rows."""
+def _block(size: int, at: np.ndarray, x: np.ndarray, ends: np.ndarray) -> np.ndarray | None:
+    """The rows as a dense matrix, or None where most of it would be zeros."""
+    n = len(ends) - 1
+    if n * size > DENSE * len(at):
+        return None
+    return np.bincount(np.repeat(np.arange(n), np.diff(ends)) * size + at, x, n * size).reshape(n, size)
+
+
+def _add_up(out: np.ndarray, at: np.ndarray, x: np.ndarray, ends: np.ndarray, r: np.ndarray) -> None:
+    """Add each row's values times its ``r`` to the places of its positions."""
+    order = np.argsort(at, kind="stable")
+    if len(order):
+        i = at[order]
+        first = np.flatnonzero(np.diff(i, prepend=-1))
+        out[i[first]] += np.add.reduceat(r[np.repeat(np.arange(len(r)), np.diff(ends))[order]] * x[order, None], first)
+
+
+def _evaluate(rows: DataFrame, parts: int, w: np.ndarray, penalty: np.ndarray | None, counts: np.ndarray | None, curved: bool = False):
+    """Loss and gradient of every fold at ``w`` (folds, features + 1, classes), and if ``curved`` the diagonal
+    of the second derivative (else None); the first call counts rows."""
     folds, size, classes = w.shape
     shared = rows.sparkSession.sparkContext.broadcast(np.ascontiguousarray(w.transpose(1, 0, 2).reshape(size, folds * classes)))
 
     def add(batches):
         flat = shared.value
-        n, loss, g = np.zeros(folds), np.zeros(folds), np.zeros((size, folds * classes))
+        n, loss, sums = np.zeros(folds), np.zeros(folds), np.zeros((1 + curved, size, folds * classes))
         for batch in batches:
             fold, gold = (batch[c].to_numpy(zero_copy_only=False) for c in ("fold", "gold"))
             for a, b, at, x, ends in _slices(batch):
-                z = _logits(flat, at, x, ends).reshape(b - a, folds, classes)
-                p, scale = _softmax(z)
+                block = _block(size - 1, at, x, ends)
+                z = _logits(flat, at, x, ends) if block is None else block @ flat[:-1] + flat[-1]
+                p, scale = _softmax(z.reshape(b - a, folds, classes))
+                z = z.reshape(p.shape)
                 own, k = gold[a:b].astype(np.int64), np.arange(b - a)
                 counted = fold[a:b, None] != np.arange(folds)
                 n += counted.sum(0)
                 loss += ((scale - z[k, :, own]) * counted).sum(0)
+                rest = [p * (1 - p)] if curved else []
                 p[k, :, own] -= 1
-                r = (p * counted[:, :, None]).reshape(b - a, -1)
-                g[-1] += r.sum(0)
-                order = np.argsort(at, kind="stable")
-                if len(order):
-                    i = at[order]
-                    first = np.flatnonzero(np.diff(i, prepend=-1))
-                    g[i[first]] += np.add.reduceat(r[np.repeat(k, np.diff(ends))[order]] * x[order, None], first)
+                for j, r in enumerate((p, *rest)):
+                    r = (r * counted[:, :, None]).reshape(b - a, -1)
+                    sums[j, -1] += r.sum(0)
+                    if block is None:
+                        _add_up(sums[j], at, x ** (j + 1), ends, r)
+                    else:
+                        sums[j, :-1] += (block if j == 0 else block * block).T @ r
         yield pa.RecordBatch.from_pydict({"part": pa.array([TaskContext.get().partitionId()], pa.int64()),
-                                          "sums": pa.array([np.concatenate([n, loss, g.ravel()]).tobytes()], pa.binary())})
+                                          "sums": pa.array([np.concatenate([n, loss, sums.ravel()]).tobytes()], pa.binary())})
 
     def merge(table: pa.Table) -> pa.Table:
         total = np.sum([np.frombuffer(x) for x in table["sums"].to_pylist()], axis=0)
@@ -119,22 +150,23 @@ def _evaluate(rows: DataFrame, parts: int, w: np.ndarray, penalty: np.ndarray |
     n, loss = total[:folds], total[folds:2 * folds]
     if counts is None:
         return n
-    g = total[2 * folds:].reshape(size, folds, classes).transpose(1, 0, 2) / counts[:, None, None]
-    slope = w * penalty[:, None, None]
-    slope[:, -1] = 0  # free intercepts
-    return loss / counts + 0.5 * (slope * w).sum((1, 2)), g + slope
+    both = total[2 * folds:].reshape(-1, size, folds, classes).transpose(0, 2, 1, 3) / counts[:, None, None]
+    held = np.broadcast_to(penalty[:, None, None], w.shape).copy()
+    held[:, -1] = 0  # free intercepts
+    return loss / counts + 0.5 * (held * w * w).sum((1, 2)), both[0] + held * w, both[1] + held if curved else None
 
 
-def _direction(g: np.ndarray, history: list) -> np.ndarray:
-    """The two loops of limited-memory BFGS."""
+def _direction(g: np.ndarray, history: list, curvature: np.ndarray) -> np.ndarray:
+    """The two loops of limited-memory BFGS, from the diagonal ``curvature``."""
     q, back = g.copy(), []
     for s, y, rho in reversed(history):
         a = rho * (s * q).sum()
         back.append(a)
         q -= a * y
+    q /= curvature
     if history:
         s, y, _ = history[-1]
-        q *= (s * y).sum() / (y * y).sum()
+        q *= (s * y).sum() / (y * y / curvature).sum()
     for (s, y, rho), a in zip(history, reversed(back)):
         q += s * (a - rho * (y * q).sum())
     return -q
@@ -145,13 +177,15 @@ def fit(rows: DataFrame, features: int, classes: int, folds: int, c: float = 1.0
     written table: every pass reads it. No convergence within ``max_passes`` is an error."""
     if folds * (features + 1) * classes > MAX_NUMBERS:
         raise ValueError(f"{folds} models of {features} features and {classes} classes are more than {MAX_NUMBERS} numbers")
+    if rows.rdd.getNumPartitions() < rows.sparkSession.sparkContext.defaultParallelism:
+        rows = materialize(balanced(rows.select("fold", "gold", "positions", "values")), "linear-dealt")
     parts = rows.rdd.getNumPartitions()
     w = np.zeros((folds, features + 1, classes))
     counts = _evaluate(rows, parts, w, None, None)
     if not counts.all():
         raise ValueError("a fold has no training rows")
     penalty = 1 / (c * counts)
-    f, g = _evaluate(rows, parts, w, penalty, counts)
+    f, g, curvature = _evaluate(rows, parts, w, penalty, counts, True)
     history: list[list] = [[] for _ in range(folds)]
     step, way = np.zeros(folds), np.zeros_like(w)
     fresh, passes = np.ones(folds, bool), 2
@@ -159,10 +193,10 @@ def fit(rows: DataFrame, features: int, classes: int, folds: int, c: float = 1.0
         if passes >= max_passes:
             raise RuntimeError(f"no convergence within {max_passes} passes")
         for k in np.flatnonzero(open_ & fresh):
-            way[k] = _direction(g[k], history[k])
-            step[k] = 1.0 if history[k] else min(1.0, 1 / np.abs(g[k]).sum())
+            way[k] = _direction(g[k], history[k], np.maximum(curvature[k], FLAT * curvature[k].max()))
+            step[k] = 1.0
         trial = w + np.where(open_, step, 0)[:, None, None] * way
-        f_new, g_new = _evaluate(rows, parts, trial, penalty, counts)
+        f_new, g_new, c_new = _evaluate(rows, parts, trial, penalty, counts, passes % CURVATURE_EVERY == 0)
         passes += 1
         for k in np.flatnonzero(open_):
             fall = (g[k] * way[k]).sum()
@@ -179,6 +213,9 @@ def fit(rows: DataFrame, features: int, classes: int, folds: int, c: float = 1.0
             if (s * y).sum() > 0:
                 history[k] = [*history[k], (s, y, 1 / (s * y).sum())][-HISTORY:]
             w[k], f[k], g[k] = trial[k], f_new[k], g_new[k]
+            if c_new is not None:
+                curvature[k] = c_new[k]
+    w[:, -1] -= w[:, -1].mean(1, keepdims=True)  # a shift of all classes says nothing
     return LinearModel(w, penalty, counts, float(np.abs(g).max()), passes)
 
 
@@ -218,8 +255,11 @@ def conditions(rows: DataFrame, model: LinearModel, id_col: str) -> DataFrame:
     def rest(k: int, c: int) -> Column:
         return F.when(F.col("fold") != k, F.col(f"p{k}")[c] - (F.col("gold") == c).cast("double")).otherwise(0.0)
 
-    r = z.select(id_col, *[rest(k, c).alias(f"r{i}") for i, (k, c) in enumerate(cells)])
-    sums = each.join(r, id_col).groupBy("position").agg(*[F.sum(F.col("x") * F.col(f"r{i}")).alias(f"g{i}") for i in range(len(cells))])
+    r = materialize(z.select(id_col, *[rest(k, c).alias(f"r{i}") for i, (k, c) in enumerate(cells)]), "linear-rest")
+    # rows meet their rests before they are exploded: a row is shuffled, and not each of its values
+    held = rows.select(id_col, F.arrays_zip("positions", "values").alias("xs")).join(r, id_col).select("*", F.explode("xs").alias("v")) \
+        .select(F.col("v.positions").alias("position"), F.col("v.values").alias("x"), *r.columns[1:])
+    sums = held.groupBy("position").agg(*[F.sum(F.col("x") * F.col(f"r{i}")).alias(f"g{i}") for i in range(len(cells))])
     sums = table.join(sums, "position", "left").fillna(0.0, [f"g{i}" for i in range(len(cells))])
     at = [F.col(f"g{i}") / float(model.rows[k]) + F.col("w")[i] * float(model.penalty[k]) for i, (k, _) in enumerate(cells)]
     free = r.agg(*[(F.sum(f"r{i}") / float(model.rows[k])).alias(f"g{i}") for i, (k, _) in enumerate(cells)]) \
