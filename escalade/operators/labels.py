@@ -35,14 +35,16 @@ def collect_labels(dictionary: DataFrame) -> list[str]:
 
 def label_encode(df: DataFrame, col: str, dictionary: DataFrame, out: str = "label_id",
                  strict: bool = True) -> DataFrame:
-    """Replace names by ids via a join with the dictionary (Spark broadcasts
-    it when its estimated size is under the threshold).
+    """Replace names by ids via a join with the dictionary. Up to ``MAX_CLASSES`` names are
+    broadcast: few classes would deal all rows to as few tasks.
 
     ``strict``: an unseen (non-null) label fails the job, as the fitted
     encoder does.
     """
-    j = df.join(dictionary.select(F.col("label").alias("__l"), F.col("label_id").alias(out)),
-                F.col(col) == F.col("__l"), "left")
+    names = dictionary.select(F.col("label").alias("__l"), F.col("label_id").alias(out))
+    if names.limit(MAX_CLASSES + 1).count() <= MAX_CLASSES:
+        names = F.broadcast(names)
+    j = df.join(names, F.col(col) == F.col("__l"), "left")
     if strict:
         j = j.withColumn(out, F.when(F.col(col).isNotNull() & F.col(out).isNull(),
                                      F.raise_error(F.concat(F.lit("unseen label: "), F.col(col))))

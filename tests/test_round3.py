@@ -43,3 +43,13 @@ def test_dense_and_sparse_blocks_fit_the_same_in_few_passes(spark, monkeypatch):
     assert np.allclose(one.weights, other.weights, atol=1e-5)
     assert one.passes <= 60 and one.gradient <= 1e-8
     assert np.allclose(one.weights[:, -1].sum(1), 0)
+def test_few_class_names_are_broadcast(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = spark.createDataFrame([(1, "b"), (2, None), (3, "a"), (3, "a")], "id long, c string")
+        out = label_encode(df, "c", fixed_dictionary(spark, ["a", "b"]))
+        assert "BroadcastHashJoin" in plan_of(out) and "SortMergeJoin" not in plan_of(out)
+        assert sorted((r.id, r.label_id) for r in out.where("c is not null").collect()) == [(1, 1), (3, 0), (3, 0)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
