@@ -89,3 +89,17 @@ def test_every_word_counts(table):
     assert np.allclose([r.ce_target for r in none], math.log(2_100 + 5 + 2))
     empty = table([], "doc_id long, text string")
     assert M.score(empty, M.fit(empty, table([(99, 1)], "doc_id long, quality int"))).count() == 0
+
+
+def test_blocks_and_ranges_give_plain_counts(table, monkeypatch):
+    """Documents over several blocks and ranges of hashes, in turns; tables of one row a range, no row a bigram."""
+    monkeypatch.setattr(M, "BLOCK_TOKENS", 40)
+    monkeypatch.setattr(M, "PART_TOKENS", 20)
+    docs = [(i, " ".join(f"w{(i * j * j) % (7 + i % 5)}" for j in range(3 + i % 30)), i) for i in range(60)] + [(3, "w1 w1", 60), (None, None, 61)]
+    frame = table(docs, "doc_id long, text string, word int")
+    model = M.fit(frame, table([(i, i % 2) for i in range(60)], "doc_id long, quality int"))
+    assert model.parts > 2 * M.TURNS and model.bigrams.count() <= model.parts and model.words.count() <= model.parts
+    rows = {r.word: r for r in M.score(frame, model, ["word"]).collect()}
+    assert len(rows) == len(docs)
+    for (*_, word), (n, t, b) in zip(docs, brute([d[:2] for d in docs], {i for i in range(60) if i % 2}, None)):
+        assert (rows[word].n_tokens, rows[word].ce_target, rows[word].ce_background) == (n, pytest.approx(t, abs=1e-9), pytest.approx(b, abs=1e-9))
