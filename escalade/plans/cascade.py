@@ -14,7 +14,8 @@ Meaning on the ``documents`` table (fixed for all plans and oracles):
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -168,12 +169,24 @@ def fit_token_cascade(toks: DataFrame, vocab1: int = TIER1_VOCAB, vocab2: int =
     t1 = NaiveBayesTier(1, L, vocab1, "softmax", n_folds, CONF_DP).fit(samples, counts, docs)
     t2 = NaiveBayesTier(2, L, vocab2, "softmax", n_folds, CONF_DP).fit(samples, counts, docs)
     t3 = NaiveBayesTier(3, L, None, "one_hot", n_folds, CONF_DP).fit(samples, counts, docs)
+    return DocumentCascade(samples, labels, (t1, t2, t3), tier_cascade(t1, t2, t3))
+
+
+def tier_cascade(t1: NaiveBayesTier, t2: NaiveBayesTier, t3: NaiveBayesTier) -> Cascade:
+    """The cascade of three fitted tiers."""
     keep = ["sample_id", "gold_label", "bytes_sent"]
 
     def fused(s):
         w = score_fused([t1, t2, t3], s, keep)
         return w.select("sample_id", "gold_label", "bytes_sent", "pred1", "conf1", "pred2", "conf2", "pred3", "conf3")
 
-    casc = Cascade(lambda s: t1.score(s, keep), lambda s: t2.score(s, keep), lambda s: t3.score(s, keep),
+    return Cascade(lambda s: t1.score(s, keep), lambda s: t2.score(s, keep), lambda s: t3.score(s, keep),
                    fused=fused if can_fuse([t1, t2, t3]) else None)
-    return DocumentCascade(samples, labels, (t1, t2, t3), casc)
+
+
+def written_cascade(dc: DocumentCascade) -> Cascade:
+    """The cascade with the tiers' headers and most frequent terms written: a stream reads them with
+    every micro-batch, and would work them out from all terms' counts each time."""
+    heads = materialize(reduce(DataFrame.unionByName, [t.header.withColumn("tier", F.lit(t.tier)) for t in dc.tiers]), "tier-headers")
+    hot = {t.tier: materialize(t.hot_model, "hot-terms") for t in dc.tiers if t.hot_model is not None}
+    return tier_cascade(*[replace(t, header=heads.where(F.col("tier") == t.tier).drop("tier"), hot_model=hot.get(t.tier)) for t in dc.tiers])

@@ -18,7 +18,7 @@ from escalade.schemas import PROFILE_COLUMNS
 from escalade.session import scratch_path
 from escalade.sources import corpus as CO
 from escalade.sources import results as RS
-from escalade.sources.tables import balanced, read_table
+from escalade.sources.tables import balanced, read_table, stream_source
 
 CFG = R.config_name(0.7, 0.7)
 
@@ -129,7 +129,11 @@ def q_corpus_scan_split(spark, sf_dir):
         return CO.corpus_scan_split(spark, out, encoding="UTF-8").select("split", "intent", "text")
 
 
-def _stream_log(spark, sf_dir, source_dir, schema, glob, replays=None):
+# Bytes of files in a micro-batch.
+BATCH_BYTES = 256 << 20
+
+
+def _stream_log(spark, sf_dir, source_dir, schema, glob, replays=None, batch_bytes=BATCH_BYTES):
     """The decision log of a stream of documents, read back."""
     from escalade.streaming.decision_log import stream_decision_log
 
@@ -146,7 +150,7 @@ def _stream_log(spark, sf_dir, source_dir, schema, glob, replays=None):
         return R.route(dc.cascade, samples, 0.7, 0.7, fused=True)
 
     out, ck = _scratch(spark, "stream-log"), _scratch(spark, "stream-ckpt")
-    q = stream_decision_log(spark, source_dir, schema, glob, to_decisions, out, ck, to_samples=to_samples, replays=replays)
+    q = stream_decision_log(spark, source_dir, schema, glob, to_decisions, out, ck, to_samples=to_samples, replays=replays, bytes_per_trigger=batch_bytes)
     q.awaitTermination()
     back = RS.read_decision_log(spark, out)
     return rounded(back.select("sample_id", "tier_used", "correct", "latency_ms", "bytes_sent"))
@@ -155,7 +159,8 @@ def _stream_log(spark, sf_dir, source_dir, schema, glob, replays=None):
 @plan("stream_decision_log", LOG_SQL)
 def q_stream_decision_log(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents")
-    return _stream_log(spark, sf_dir, sf_dir, docs.schema, "documents.parquet")
+    source, glob = stream_source(spark, sf_dir, "documents")
+    return _stream_log(spark, sf_dir, source, docs.schema, glob)
 
 
 # Deliveries of the replayed stream, each a share of the documents by a hash of the id;

@@ -12,6 +12,22 @@ def read_table(spark: SparkSession, base_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(base_dir, f"{name}.parquet"))
 
 
+def stream_source(spark: SparkSession, base_dir: str, name: str) -> tuple[str, str]:
+    """(folder, pattern of file names) of a table for a file stream, which reads folders only:
+    the parts of a directory, or the one file among those of ``base_dir``."""
+    path = os.path.join(base_dir, f"{name}.parquet")
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory():
+        return path, "*"
+    return base_dir, f"{name}.parquet"
+
+
+def total_bytes(spark: SparkSession, path: str) -> int:
+    """Bytes of all files under ``path``."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(p).getLength()
+
+
 def balanced(df: DataFrame, *keys: str) -> DataFrame:
     """Spread an under-split scan over the cluster's cores.
 

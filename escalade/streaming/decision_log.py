@@ -5,7 +5,8 @@ state store: each micro-batch is scored with the (static, already fitted)
 tiers and written to its own ``batch_id`` partition, overwritten on replay.
 With the query checkpoint this gives exactly-once output even when a batch
 is re-run after a failure. ``availableNow`` processes what is there and
-stops, in bounded batches (``maxFilesPerTrigger``).
+stops, in batches bounded by files (``maxFilesPerTrigger``) or bytes (``maxBytesPerTrigger``). Every
+batch meets the whole model, so many small files are better bounded by bytes.
 
 Sources that deliver a row again (a replayed file, a retried producer) are handled by
 ``Replays``: a key seen within the watermark is passed on once, whatever batch or file it
@@ -46,18 +47,19 @@ def stream_decision_log(spark: SparkSession, source_dir: str, schema, glob: str,
                         to_decisions: Callable[[DataFrame], DataFrame], out_path: str, checkpoint: str,
                         files_per_trigger: int = 1, available_now: bool = True,
                         to_samples: Callable[[DataFrame], DataFrame] | None = None,
-                        replays: Replays | None = None) -> StreamingQuery:
+                        replays: Replays | None = None, bytes_per_trigger: int | None = None) -> StreamingQuery:
     """Start the stream; ``to_samples`` (optional) prepares a micro-batch of
     source rows (e.g. tokenises it), ``to_decisions`` routes the prepared rows;
-    ``replays`` (optional) lets repeated rows through once. The prepared batch is persisted while the staged tiers read it."""
-    src = (spark.readStream.schema(schema).option("pathGlobFilter", glob)
-           .option("maxFilesPerTrigger", files_per_trigger).parquet(source_dir))
+    ``replays`` (optional) lets repeated rows through once; ``bytes_per_trigger`` (optional) bounds
+    a batch by the bytes of its files (one file at least) in place of their number. The prepared batch is persisted while the staged tiers read it."""
+    bound = ("maxFilesPerTrigger", files_per_trigger) if bytes_per_trigger is None else ("maxBytesPerTrigger", bytes_per_trigger)
+    src = spark.readStream.schema(schema).option("pathGlobFilter", glob).option(*bound).parquet(source_dir)
     if replays:
         src = replays.once(src)
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
         # the prepared batch is read several times by the staged tiers: keep it
-        # for the duration of this batch only (bounded by maxFilesPerTrigger)
+        # for the duration of this batch only (bounded by the trigger)
         prepared = (to_samples(batch) if to_samples else batch).persist()
         # fill the cache before the tiers' stages read it concurrently
         prepared.count()
