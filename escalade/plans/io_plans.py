@@ -18,7 +18,7 @@ from escalade.schemas import PROFILE_COLUMNS
 from escalade.session import scratch_path
 from escalade.sources import corpus as CO
 from escalade.sources import results as RS
-from escalade.sources.tables import balanced, read_table, stream_source
+from escalade.sources.tables import balanced, read_table, stream_source, total_bytes
 
 CFG = R.config_name(0.7, 0.7)
 
@@ -138,7 +138,7 @@ def _stream_log(spark, sf_dir, source_dir, schema, glob, replays=None, batch_byt
     from escalade.streaming.decision_log import stream_decision_log
 
     dc = C.build(spark, sf_dir)
-    labels = dc.labels
+    labels, cascade = dc.labels, C.written_cascade(dc)
 
     def to_samples(batch):
         toks = C.document_tokens(balanced(batch, "doc_id"))
@@ -147,7 +147,7 @@ def _stream_log(spark, sf_dir, source_dir, schema, glob, replays=None, batch_byt
 
     def to_decisions(samples):
         # native tiers: one fused pass per micro-batch
-        return R.route(dc.cascade, samples, 0.7, 0.7, fused=True)
+        return R.route(cascade, samples, 0.7, 0.7, fused=True)
 
     out, ck = _scratch(spark, "stream-log"), _scratch(spark, "stream-ckpt")
     q = stream_decision_log(spark, source_dir, schema, glob, to_decisions, out, ck, to_samples=to_samples, replays=replays, bytes_per_trigger=batch_bytes)
@@ -180,4 +180,6 @@ def q_stream_decision_log_replayed(spark, sf_dir):
     share = F.pmod(F.xxhash64("doc_id"), F.lit(8))
     for shares in DELIVERIES:  # all their files have later times than those before
         docs.where(share.isin(*shares)).write.mode("append").parquet(src)
-    return _stream_log(spark, sf_dir, src, docs.schema, "*.parquet", Replays("doc_id", "arrived", "10 days"))
+    # about a micro-batch a delivery, so that repeats come in later batches than their rows; large deliveries come in several
+    batch_bytes = max(1, min(BATCH_BYTES, total_bytes(spark, src) // len(DELIVERIES)))
+    return _stream_log(spark, sf_dir, src, docs.schema, "*.parquet", Replays("doc_id", "arrived", "10 days"), batch_bytes)

@@ -2,6 +2,8 @@
 
 import os
 
+from escalade.operators import routing as R
+from escalade.plans import cascade as C
 from escalade.plans.catalog import PLANS
 from escalade.sources import results as RS
 from escalade.streaming.decision_log import stream_decision_log
@@ -25,6 +27,7 @@ def test_streams_of_a_folder_of_parts(spark, tmp_path):
     batch = log(PLANS["decision_log"](spark, str(tmp_path)))
     assert len(batch) == 60
     assert log(PLANS["stream_decision_log"](spark, str(tmp_path))) == batch
+    assert log(PLANS["stream_decision_log_replayed"](spark, str(tmp_path))) == batch
 
 
 def test_batches_bounded_by_bytes(spark, tmp_path):
@@ -40,3 +43,14 @@ def test_batches_bounded_by_bytes(spark, tmp_path):
         return len([d for d in os.listdir(out) if d.startswith("batch_id=")])
 
     assert batches(1 << 30) == 1 and batches(1) == 6
+
+
+def test_written_cascade_scores_as_the_fitted_one(spark, tmp_path):
+    parts(spark, str(tmp_path))
+    dc = C.build(spark, str(tmp_path))
+    written = C.written_cascade(dc)
+    got, want = (R.route(c, dc.samples, 0.7, 0.7, fused=True) for c in (written, dc.cascade))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and written.costs == dc.cascade.costs
+    # only counts of the long tail are read, and nothing is ranked or summed up for the headers
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "GlobalLimit" not in plan
