@@ -5,7 +5,9 @@ a fold. One pass over the rows gives loss and gradient of all folds' models (a r
 for every fold but its own): every partition adds up its part, a fixed number of parts is added
 at a time, and the driver gets a few matrices of the model's size. Rows are multiplied a few hundred
 at a time, as a dense block where a row holds a fair part of the features. Steps are those of
-limited-memory BFGS, each fold with its own history and step length, in lockstep.
+limited-memory BFGS, each fold with its own history and step length, in lockstep. They start from
+the curvature, the features' products summed over all rows in a pass of its own and anew after ``RENEW``
+passes, then after twice as many and so on: without it the number of passes grows with the rows, as the penalty, 1 / (C n), shrinks.
 
 Objective of a fold: mean loss of the other folds' rows + |w|^2 / (2 C n), free intercepts.
 ``conditions`` states the gradient of every weight at the solution by joins and
@@ -31,6 +33,9 @@ MAX_NUMBERS = 16_000_000
 # Partial sums added by one task, and rows multiplied at once.
 FAN, ROWS = 64, 500
 HISTORY, SUFFICIENT = 12, 1e-4
+# Features up to which their products are summed up, partial sums of these added by one task, and
+# passes after which they are summed up again.
+GRAM, GRAM_FAN, RENEW = 1200, 8, 5
 # Features for each value of a row up to which rows are multiplied as dense blocks.
 DENSE = 32
 STATE = "part long, sums binary"
@@ -100,6 +105,47 @@ def _add_up(out: np.ndarray, at: np.ndarray, x: np.ndarray, ends: np.ndarray, r:
         out[i[first]] += np.add.reduceat(r[np.repeat(np.arange(len(r)), np.diff(ends))[order]] * x[order, None], first)
 
 
+def _added(sums: DataFrame, parts: int, fan: int) -> np.ndarray:
+    """The total of the partial sums of ``parts`` tasks, ``fan`` at a time."""
+
+    def merge(table: pa.Table) -> pa.Table:
+        total = np.sum([np.frombuffer(x) for x in table["sums"].to_pylist()], axis=0)
+        return pa.table({"part": pa.array([table["part"][0].as_py() // fan], pa.int64()), "sums": pa.array([total.tobytes()], pa.binary())})
+
+    while parts > fan:
+        sums = sums.groupBy(F.floor(F.col("part") / fan).alias("g")).applyInArrow(merge, STATE)
+        parts = -(-parts // fan)
+    return np.sum([np.frombuffer(r["sums"]) for r in sums.collect()], axis=0)  # fan rows at most
+
+
+def _curvature(rows: DataFrame, parts: int, w: np.ndarray, penalty: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """For each fold, the inverse (features + 1, features + 1) of the mean curvature of all folds'
+    losses at ``w``, the same for every class."""
+    folds, size, classes = w.shape
+    shared = rows.sparkSession.sparkContext.broadcast(np.ascontiguousarray(w.transpose(1, 0, 2).reshape(size, folds * classes)))
+    parts = min(parts, rows.sparkSession.sparkContext.defaultParallelism)  # a task's sum is large
+
+    def add(batches):
+        flat, total = shared.value, np.zeros((size, size))
+        for batch in batches:
+            fold = batch["fold"].to_numpy(zero_copy_only=False)
+            for a, b, at, x, ends in _slices(batch):
+                n = b - a
+                block = np.ones((n, size))
+                block[:, :-1] = np.bincount(np.repeat(np.arange(n), np.diff(ends)) * (size - 1) + at, x, n * (size - 1)).reshape(n, -1)
+                p, _ = _softmax((block @ flat).reshape(n, folds, classes))
+                bend = (p * (1 - p)).sum(2) / max(classes - 1, 1) * (fold[a:b, None] != np.arange(folds))
+                block *= np.sqrt(bend.sum(1))[:, None]
+                total += block.T @ block
+        yield pa.RecordBatch.from_pydict({"part": pa.array([TaskContext.get().partitionId()], pa.int64()),
+                                          "sums": pa.array([total.tobytes()], pa.binary())})
+
+    total = _added(rows.select("fold", "positions", "values").coalesce(parts).mapInArrow(add, STATE), parts, GRAM_FAN)
+    shared.destroy()
+    mean = total.reshape(size, size) / counts.sum()
+    return np.array([np.linalg.inv(mean + k * np.eye(size)) for k in penalty])
+
+
 def _evaluate(rows: DataFrame, parts: int, w: np.ndarray, penalty: np.ndarray | None, counts: np.ndarray | None):
     """Loss and gradient of every fold at ``w`` (folds, features + 1, classes); the first call also counts rows."""
     folds, size, classes = w.shape
@@ -129,15 +175,7 @@ def _evaluate(rows: DataFrame, parts: int, w: np.ndarray, penalty: np.ndarray |
         yield pa.RecordBatch.from_pydict({"part": pa.array([TaskContext.get().partitionId()], pa.int64()),
                                           "sums": pa.array([np.concatenate([n, loss, g.ravel()]).tobytes()], pa.binary())})
 
-    def merge(table: pa.Table) -> pa.Table:
-        total = np.sum([np.frombuffer(x) for x in table["sums"].to_pylist()], axis=0)
-        return pa.table({"part": pa.array([table["part"][0].as_py() // FAN], pa.int64()), "sums": pa.array([total.tobytes()], pa.binary())})
-
-    sums = rows.select("fold", "gold", "positions", "values").mapInArrow(add, STATE)
-    while parts > FAN:
-        sums = sums.groupBy(F.floor(F.col("part") / FAN).alias("g")).applyInArrow(merge, STATE)
-        parts = -(-parts // FAN)
-    total = np.sum([np.frombuffer(r["sums"]) for r in sums.collect()], axis=0)  # FAN rows at most
+    total = _added(rows.select("fold", "gold", "positions", "values").mapInArrow(add, STATE), parts, FAN)
     shared.destroy()
     n, loss = total[:folds], total[folds:2 * folds]
     if counts is None:
@@ -148,16 +186,18 @@ def _evaluate(rows: DataFrame, parts: int, w: np.ndarray, penalty: np.ndarray |
     return loss / counts + 0.5 * (slope * w).sum((1, 2)), g + slope
 
 
-def _direction(g: np.ndarray, history: list) -> np.ndarray:
-    """The two loops of limited-memory BFGS."""
+def _direction(g: np.ndarray, history: list, inverse: np.ndarray | None) -> np.ndarray:
+    """The two loops of limited-memory BFGS, starting from ``inverse`` (None: the unit matrix)."""
+    start = (lambda v: v) if inverse is None else (lambda v: inverse @ v)
     q, back = g.copy(), []
     for s, y, rho in reversed(history):
         a = rho * (s * q).sum()
         back.append(a)
         q -= a * y
+    q = start(q)
     if history:
         s, y, _ = history[-1]
-        q *= (s * y).sum() / (y * y).sum()
+        q = q * ((s * y).sum() / (y * start(y)).sum())
     for (s, y, rho), a in zip(history, reversed(back)):
         q += s * (a - rho * (y * q).sum())
     return -q
@@ -180,12 +220,17 @@ def fit(rows: DataFrame, features: int, classes: int, folds: int, c: float = 1.0
     history: list[list] = [[] for _ in range(folds)]
     step, way = np.zeros(folds), np.zeros_like(w)
     fresh, passes = np.ones(folds, bool), 2
+    inverse, renewed, wait = None, passes, 0
     while (open_ := np.abs(g).max((1, 2)) > tol).any():
         if passes >= max_passes:
             raise RuntimeError(f"no convergence within {max_passes} passes")
+        if features <= GRAM and passes - renewed >= wait:
+            inverse, history, fresh[:] = _curvature(rows, parts, w, penalty, counts), [[] for _ in range(folds)], True
+            passes += 1
+            renewed, wait = passes, 2 * wait or RENEW
         for k in np.flatnonzero(open_ & fresh):
-            way[k] = _direction(g[k], history[k])
-            step[k] = 1.0 if history[k] else min(1.0, 1 / np.abs(g[k]).sum())
+            way[k] = _direction(g[k], history[k], None if inverse is None else inverse[k])
+            step[k] = 1.0 if history[k] or inverse is not None else min(1.0, 1 / np.abs(g[k]).sum())
         trial = w + np.where(open_, step, 0)[:, None, None] * way
         f_new, g_new = _evaluate(rows, parts, trial, penalty, counts)
         passes += 1

@@ -81,3 +81,13 @@ def test_sparse_rows(spark):
     w = spark.createDataFrame([(1, "c", 0.5), (1, "a", 0.25), (2, "b", 1.0), (2, "z", 9.0)], "id long, term string, weight double")
     out = LN.sparse_rows(spark.createDataFrame([(1,), (2,), (3,)], "id long"), w, voc, "id").orderBy("id").collect()
     assert [(list(r.positions), list(r["values"])) for r in out] == [([0, 2], [0.25, 0.5]), ([1], [1.0]), ([], [])]
+
+
+def test_passes_do_not_follow_the_scale_of_features(spark, monkeypatch):
+    rows, df = made(spark, n=300, seed=2)
+    df = df.withColumn("values", F.expr("transform(values, (v, i) -> v * pow(10, positions[i] % 3 - 1))")).coalesce(1)
+    model = LN.fit(df, 12, 3, 3, c=10.0, max_passes=45)
+    assert model.gradient <= 1e-8
+    monkeypatch.setattr(LN, "GRAM", 0)  # without the curvature
+    with pytest.raises(RuntimeError, match="no convergence"):
+        LN.fit(df, 12, 3, 3, c=10.0, max_passes=45)
